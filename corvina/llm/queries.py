@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.llm import line_dedup, source_mix, url_lists
+from corvina.llm import line_dedup, repetition, secrets, source_mix, url_lists
 from corvina.llm.common import table
 
 
@@ -20,6 +20,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(docs).select("doc_id", "source", "line_dedup.*", "text")
 
 
+def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.judge_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = source_mix.sized(table(spark, sf_dir, "documents"))
     taken = source_mix.mix(sizes, source_mix.plan_mix(sizes))
@@ -29,6 +37,8 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_lists": op1_url_lists,
     "op2_line_dedup": op2_line_dedup,
+    "op3_repetition": op3_repetition,
+    "op4_secrets": op4_secrets,
     "op10_source_mix": op10_source_mix,
 }
 
