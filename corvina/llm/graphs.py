@@ -1,0 +1,34 @@
+"""Connected components by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corvina.llm.common import cut_lineage
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
+def components(links: DataFrame) -> DataFrame:
+    """id, root (the smallest id of its component) for every id of ``links`` (a, b).
+
+    A step hangs each node's larger neighbours, then its smaller ones, under its smallest neighbour,
+    until nothing changes: each component is then a star. Every step is written to the checkpoint
+    folder. Only minima are aggregated, so a hub's neighbours are never gathered in one place.
+    """
+    edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
+    while (now := _state(edges)) != before:
+        before = now
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = cut_lineage(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+    nodes = edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    return nodes.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

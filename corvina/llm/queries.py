@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.llm import language_crf, line_dedup, quality_model, repetition, secrets, source_mix, url_lists
+from corvina.llm import bag_minhash, language_crf, line_dedup, quality_model, repetition, secrets, source_mix, url_lists
 from corvina.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op6_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_minhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = source_mix.sized(table(spark, sf_dir, "documents"))
     taken = source_mix.mix(sizes, source_mix.plan_mix(sizes))
@@ -49,6 +53,7 @@ QUERIES = {
     "op4_secrets": op4_secrets,
     "op5_quality_model": op5_quality_model,
     "op6_language_crf": op6_language_crf,
+    "op9_bag_minhash": op9_bag_minhash,
     "op10_source_mix": op10_source_mix,
 }
 
