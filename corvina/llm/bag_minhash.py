@@ -8,10 +8,11 @@ of their weighted Jaccard similarity. A document's processes stop once their tim
 component, which keeps the work near (shingles + components x log components).
 
 Rows with the same text are one node. Nodes that share a band are candidates. First every node is
-compared with one leader of each of its bands (twice, with different leaders), exactly, and linked
-nodes become classes. What is left are nodes that share a band but no class: in small bands all such
-pairs are compared, in large ones fixed-size blocks meet and only pairs whose signatures agree
-enough go on. So a band never becomes all of its pairs, and no pair is dropped for its band's size.
+compared with one leader of each of its bands (the smallest id, then the one with most links),
+exactly, and linked nodes become classes. What is left are nodes that share a band but no class: in
+small bands all such pairs are compared. In large ones fixed-size blocks of nodes meet inside a task,
+which looks at a pair's signatures, then at its hashed shingles, and passes on what reaches the
+similarity. So a band never becomes all of its pairs, and no pair is dropped for its band's size.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
 #: Bands with more nodes are compared block by block,
 SMALL_BAND = 24
-#: of so many nodes each, where pairs are verified
-BLOCK = 256
-#: if so large a share of components agrees: five standard errors under the similarity.
+#: of so many nodes each, where pairs are compared
+BLOCK = 512
+#: by their shingles if so large a share of components agrees: five standard errors below the similarity.
 AGREE = 0.64
 #: Bytes of text whose signatures are drawn at once; a longer text is drawn alone.
 CHUNK = 1 << 20
@@ -182,32 +183,62 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.sortWithinPartitions("a").mapInPandas(_verify, "a long, b long, similarity double")
 
 
+def cells_of(text: str) -> bytes:
+    """The multiset as a sorted set of 32-bit hashes: of each shingle and its number among equals."""
+    _, hashes, counts = shingles([text])
+    number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.unique((_mix(np.repeat(hashes, counts) * np.uint64(_MULTIPLIER) + number.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)).tobytes()
+
+
+def _cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield pd.Series([cells_of(text) for text in texts], dtype=object)
+
+
 def _close(pieces: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a query and a node of another class, of one block each, whose signatures agree."""
+    """Pairs of a query and a node of another class, of one block each, that look similar enough. A
+    pair counts in the first band that it shares."""
     query, node = pieces[pieces["is_query"]], pieces[~pieces["is_query"]]
-    found = []
+    found: list[tuple[int, int]] = []
     if len(query) and len(node):
+        band = int(pieces["k"].iloc[0])
         right = np.frombuffer(b"".join(node["bytes"]), np.uint8).reshape(len(node), SIZE)
         ids, roots = node["id"].to_numpy(), node["root"].to_numpy()
-        for one, root, own in zip(query["id"], query["root"], query["bytes"], strict=True):
-            agree = (right == np.frombuffer(own, np.uint8)).mean(axis=1)
-            found += [(min(one, other), max(one, other)) for other in ids[(agree >= AGREE) & (roots != root)].tolist()]
+        cells = [np.frombuffer(one, np.uint32) for one in node["cells"]]
+        sizes = np.array([len(one) for one in cells])
+        for one, root, sign, own in zip(query["id"], query["root"], query["bytes"], query["cells"], strict=True):
+            same = right == np.frombuffer(sign, np.uint8)
+            mine = np.frombuffer(own, np.uint32)
+            some = np.flatnonzero((same.mean(axis=1) >= AGREE) & (roots != root) & (np.minimum(sizes, len(mine)) >= SIMILARITY * np.maximum(sizes, len(mine))))
+            some = some[same[some].reshape(len(some), ROWS, BANDS).all(axis=1).argmax(axis=1) == band]
+            if not len(some):
+                continue
+            flat = np.concatenate([cells[i] for i in some])
+            at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+            both = np.add.reduceat((mine[at] == flat).astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
+            # hashes of 32 bits may meet by chance, seldom more than once in a pair
+            close = some[both + 1 >= (SIMILARITY * (sizes[some] + len(mine)) / (1 + SIMILARITY))]
+            found += [(min(one, other), max(one, other)) for other in ids[close].tolist()]
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
-def _leftover(members: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+def _leftover(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) that share a band but no class and aren't known to be far apart."""
-    known = members.select("band", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    known = members.select("band", "k", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = known.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.mode("root").alias("most")).where("low <> high").drop("low", "high")
     rest = cut_lineage(known.join(mixed, "band"))
     small = rest.where(F.col("n") <= SMALL_BAND)
     other = small.select("band", F.col("id").alias("b"), F.col("root").alias("root_b"))
     pairs = small.select("band", F.col("id").alias("a"), "root").join(other, "band").where("a < b and root <> root_b").select("a", "b")
-    large = rest.where(F.col("n") > SMALL_BAND).join(nodes.select("id", "bytes"), "id")
+    large = rest.where(F.col("n") > SMALL_BAND)
+    ids = small_side(cut_lineage(large.select("id").distinct()))
+    cells = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").where("text is not null")
+    cells = cells.select("id", F.pandas_udf(_cut, "binary")(F.col("text")).alias("cells"))
+    large = large.join(cut_lineage(nodes.select("id", "bytes").join(cells, "id")), "id")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    columns = ["band", "id", "root", "bytes"]
+    columns = ["band", "k", "id", "root", "bytes", "cells"]
     query = large.where("root <> most").select(*columns, F.lit(True).alias("is_query"), own.alias("query_block"), every.alias("block"))
     node = large.select(*columns, F.lit(False).alias("is_query"), own.alias("block"), every.alias("query_block"))
     close = query.unionByName(node).groupBy("band", "block", "query_block").applyInPandas(_close, "a long, b long")
@@ -226,17 +257,19 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     firsts = signed.groupBy("same").agg(F.min("doc_id").alias("id"))
     nodes = signed.groupBy("same").agg(F.min(F.struct("doc_id", "bands", "bytes")).alias("r")).select(F.col("r.doc_id").alias("id"), "r.bands", "r.bytes")
     nodes = cut_lineage(nodes.where("bands is not null"))
-    banded = nodes.select("id", F.explode("bands").alias("band"))
+    banded = nodes.select("id", F.posexplode("bands").alias("k", "band"))
     shared = banded.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = cut_lineage(banded.join(shared, "band"))
     links = cut_lineage(verified(members.where("leader < id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), docs))
     roots = cut_lineage(components(links))
     known = members.select("band", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    other = known.groupBy("band").agg(F.min(F.struct(F.xxhash64("id", "band").alias("h"), F.col("id").alias("a"), F.col("root").alias("root_a"))).alias("l")).select("band", "l.a", "l.root_a")
+    degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    known = known.join(degrees, "id", "left")
+    other = known.groupBy("band").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.col("id").alias("a"), F.col("root").alias("root_a"))).alias("l")).select("band", "l.a", "l.root_a")
     again = known.join(other, "band").where("root <> root_a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     links = cut_lineage(links.unionByName(verified(again, docs)))
     roots = cut_lineage(components(links))
-    links = links.unionByName(verified(_leftover(members, roots, nodes), docs))
+    links = links.unionByName(verified(_leftover(members, roots, nodes, docs), docs))
     roots = cut_lineage(components(links))
     classes = firsts.join(roots, "id", "left").select("same", F.coalesce("root", "id").alias("class_id"))
     own = signed.select("doc_id", "same").join(classes, "same").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
