@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.llm import bag_minhash, language_crf, line_dedup, piece_codec, quality_model, repetition, secrets, source_mix, url_lists
+from corvina.llm import bag_minhash, language_crf, line_dedup, piece_codec, quality_model, repetition, rp_forest, secrets, source_mix, url_lists
 from corvina.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op6_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     coded = piece_codec.encode_documents(docs, piece_codec.Codec(docs))
@@ -59,6 +63,7 @@ QUERIES = {
     "op4_secrets": op4_secrets,
     "op5_quality_model": op5_quality_model,
     "op6_language_crf": op6_language_crf,
+    "op7_rp_forest": op7_rp_forest,
     "op8_piece_codec": op8_piece_codec,
     "op9_bag_minhash": op9_bag_minhash,
     "op10_source_mix": op10_source_mix,
