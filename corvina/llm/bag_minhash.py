@@ -9,10 +9,10 @@ component, which keeps the work near (shingles + components x log components).
 
 Rows with the same text are one node. Nodes that share a band are candidates. First every node is
 compared with one leader of each of its bands (the smallest id, then the one with most links),
-exactly, and linked nodes become classes. What is left are nodes that share a band but no class: in
-small bands all such pairs are compared. In large ones fixed-size blocks of nodes meet inside a task,
-which looks at a pair's signatures, then at its hashed shingles, and passes on what reaches the
-similarity. So a band never becomes all of its pairs, and no pair is dropped for its band's size.
+exactly, and linked nodes become classes. What is left are nodes that share a band but no class:
+blocks of a band's nodes, of a fixed size at most, meet inside a task, which looks at a pair's
+signatures, then at its hashed shingles, and passes on what reaches the similarity. So a band never
+becomes all of its pairs, and no pair is dropped for its band's size.
 """
 
 from __future__ import annotations
@@ -31,9 +31,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
-#: Bands with more nodes are compared block by block,
-SMALL_BAND = 24
-#: of so many nodes each, where pairs are compared
+#: Nodes of a band that meet each other at once; their pairs are compared
 BLOCK = 512
 #: by their shingles if so large a share of components agrees: five standard errors below the similarity.
 AGREE = 0.64
@@ -195,54 +193,84 @@ def _cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([cells_of(text) for text in texts], dtype=object)
 
 
-def _close(pieces: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a query and a node of another class, of one block each, that look similar enough. A
-    pair counts in the first band that it shares."""
-    query, node = pieces[pieces["is_query"]], pieces[~pieces["is_query"]]
+def _close(rows: dict[str, np.ndarray], start: int, end: int) -> list[tuple[int, int]]:
+    """Of the rows from start to end, a block of one band: pairs of a query and a node of another
+    class that look similar enough. A pair counts in the first band that it shares."""
+    query = start + np.flatnonzero(rows["is_query"][start:end])
+    node = start + np.flatnonzero(rows["is_node"][start:end])
     found: list[tuple[int, int]] = []
-    if len(query) and len(node):
-        band = int(pieces["k"].iloc[0])
-        right = np.frombuffer(b"".join(node["bytes"]), np.uint8).reshape(len(node), SIZE)
-        ids, roots = node["id"].to_numpy(), node["root"].to_numpy()
-        cells = [np.frombuffer(one, np.uint32) for one in node["cells"]]
-        sizes = np.array([len(one) for one in cells])
-        for one, root, sign, own in zip(query["id"], query["root"], query["bytes"], query["cells"], strict=True):
-            same = right == np.frombuffer(sign, np.uint8)
-            mine = np.frombuffer(own, np.uint32)
-            some = np.flatnonzero((same.mean(axis=1) >= AGREE) & (roots != root) & (np.minimum(sizes, len(mine)) >= SIMILARITY * np.maximum(sizes, len(mine))))
-            some = some[same[some].reshape(len(some), ROWS, BANDS).all(axis=1).argmax(axis=1) == band]
-            if not len(some):
-                continue
-            flat = np.concatenate([cells[i] for i in some])
+    if not len(query) or not len(node):
+        return found
+    band = rows["k"][start]
+    right = np.frombuffer(b"".join(rows["bytes"][node]), np.uint8).reshape(len(node), SIZE)
+    ids, roots = rows["id"][node], rows["root"][node]
+    cells = [np.frombuffer(one, np.uint32) for one in rows["cells"][node]]
+    sizes = np.array([len(one) for one in cells])
+    for i in query.tolist():
+        mine = np.frombuffer(rows["cells"][i], np.uint32)
+        same = right == np.frombuffer(rows["bytes"][i], np.uint8)
+        alike = np.minimum(sizes, len(mine)) >= SIMILARITY * np.maximum(sizes, len(mine))
+        some = np.flatnonzero((same.mean(axis=1) >= AGREE) & (roots != rows["root"][i]) & alike)
+        some = some[same[some].reshape(len(some), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+        if len(some):
+            flat = np.concatenate([cells[j] for j in some])
             at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
             both = np.add.reduceat((mine[at] == flat).astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
             # hashes of 32 bits may meet by chance, seldom more than once in a pair
-            close = some[both + 1 >= (SIMILARITY * (sizes[some] + len(mine)) / (1 + SIMILARITY))]
-            found += [(min(one, other), max(one, other)) for other in ids[close].tolist()]
-    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+            close = some[both + 1 >= SIMILARITY * (sizes[some] + len(mine)) / (1 + SIMILARITY)]
+            found += [(min(rows["id"][i], j), max(rows["id"][i], j)) for j in ids[close].tolist()]
+    return found
+
+
+def _close_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks come sorted, one after another; one that a batch cuts waits for the next batch."""
+    key = ["band", "block", "query_block"]
+    waiting: list[pd.DataFrame] = []
+    for batch in _and_none(batches):
+        if batch is not None:
+            waiting.append(batch)
+            ends = batch[key].to_numpy()
+            if len(batch) and (ends == ends[0]).all() and (len(waiting) == 1 or (waiting[0][key].iloc[-1].to_numpy() == ends[0]).all()):
+                continue
+        if not waiting:
+            continue
+        frame = pd.concat(waiting, ignore_index=True)
+        keys = frame[key].to_numpy()
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        bounds = [0, *cuts.tolist()] + ([len(frame)] if batch is None else [])
+        rows = {c: frame[c].to_numpy() for c in frame.columns}
+        found = [pair for start, end in zip(bounds, bounds[1:], strict=False) for pair in _close(rows, start, end)]
+        waiting = [] if batch is None else [frame.iloc[bounds[-1] :]]
+        yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+
+def _and_none(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
 
 
 def _leftover(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) that share a band but no class and aren't known to be far apart."""
+    """Distinct pairs (a, b) that share a band but no class and aren't known to be far apart. In a band
+    of two the one pair has been compared already."""
     known = members.select("band", "k", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = known.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.mode("root").alias("most")).where("low <> high").drop("low", "high")
+    mixed = known.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.mode("root").alias("most")).where("low <> high and n > 2").drop("low", "high")
     rest = cut_lineage(known.join(mixed, "band"))
-    small = rest.where(F.col("n") <= SMALL_BAND)
-    other = small.select("band", F.col("id").alias("b"), F.col("root").alias("root_b"))
-    pairs = small.select("band", F.col("id").alias("a"), "root").join(other, "band").where("a < b and root <> root_b").select("a", "b")
-    large = rest.where(F.col("n") > SMALL_BAND)
-    ids = small_side(cut_lineage(large.select("id").distinct()))
+    ids = small_side(cut_lineage(rest.select("id").distinct()))
     cells = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").where("text is not null")
     cells = cells.select("id", F.pandas_udf(_cut, "binary")(F.col("text")).alias("cells"))
-    large = large.join(cut_lineage(nodes.select("id", "bytes").join(cells, "id")), "id")
+    rest = rest.join(cut_lineage(nodes.select("id", "bytes").join(cells, "id")), "id")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    columns = ["band", "k", "id", "root", "bytes", "cells"]
-    query = large.where("root <> most").select(*columns, F.lit(True).alias("is_query"), own.alias("query_block"), every.alias("block"))
-    node = large.select(*columns, F.lit(False).alias("is_query"), own.alias("block"), every.alias("query_block"))
-    close = query.unionByName(node).groupBy("band", "block", "query_block").applyInPandas(_close, "a long, b long")
-    return pairs.unionByName(close).distinct()
+    every = F.sequence(F.lit(0), blocks - 1)
+    minor = F.col("root") != F.col("most")
+    place = lambda block, query_block, is_query, is_node: F.struct(block.alias("block"), query_block.alias("query_block"), is_query.alias("is_query"), is_node.alias("is_node"))
+    yes, no = F.lit(True), F.lit(False)
+    as_node = F.transform(every, lambda b: place(own, b, no, yes))
+    as_query = F.when(minor, F.transform(every, lambda b: place(b, own, yes, no))).otherwise(F.array().cast("array<struct<block:int,query_block:int,is_query:boolean,is_node:boolean>>"))
+    places = F.when(blocks == 1, F.array(place(own, own, minor, yes))).otherwise(F.concat(as_node, as_query))
+    met = rest.select("band", "k", "id", "root", "bytes", "cells", F.explode(places).alias("p")).select("band", "p.*", "k", "id", "root", "bytes", "cells")
+    met = met.repartition("band", "block", "query_block").sortWithinPartitions("band", "block", "query_block")
+    return met.mapInPandas(_close_pairs, "a long, b long").distinct()
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
