@@ -29,7 +29,7 @@ DROPOUT = 0.1
 SEED = 2024
 VARIANTS = 4
 #: Remembered units of each variant; beyond that the memory starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 60_000
 #: Units of at most so many characters are merged together in numpy, by classes of length.
 LENGTHS = (4, 8, 12, 20, 36)
 #: Characters of texts whose units are gathered before they are encoded.
@@ -304,10 +304,20 @@ class Codec:
         return 2 if len(self.shared.value[0]) <= 1 << 16 else 4
 
 
+RESULT = "ids binary, n_pieces long, lossless boolean"
+
+
 def encode_documents(docs: DataFrame, codec: Codec) -> DataFrame:
-    """doc_id, n_pieces, ids (packed), decoded, lossless for each row of ``docs`` (doc_id, text).
-    ``lossless``: the decoded text is the text, null for null."""
-    packed = docs.select("doc_id", "text", codec.encode(F.col("text"), F.col("doc_id")).alias("ids"))
-    out = packed.select("doc_id", "text", "ids", codec.decode(F.col("ids")).alias("decoded"))
-    n_pieces = F.coalesce(F.octet_length("ids") / codec.width(), F.lit(0)).cast("long")
-    return out.select("doc_id", n_pieces.alias("n_pieces"), "ids", "decoded", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    """doc_id, ids (packed), n_pieces, lossless for each row of ``docs`` (doc_id, text). ``lossless``:
+    the ids were decoded again, to the very text. A null text has null ids, no pieces, and is lossless."""
+    shared, options, width = codec.shared, codec.options, codec.width()
+
+    def round_trip(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        encoder = _encoder(shared, *options)
+        for texts, keys in batches:
+            packed = encoder.encode_all(list(texts), list(keys))
+            same = [text is None or decode(ids, encoder.pieces) == text for ids, text in zip(packed, texts, strict=True)]
+            yield pd.DataFrame({"ids": packed, "n_pieces": [len(ids or b"") // width for ids in packed], "lossless": same})
+
+    coded = docs.select("doc_id", F.pandas_udf(round_trip, RESULT)(F.col("text"), F.col("doc_id").cast("string")).alias("r"))
+    return coded.select("doc_id", "r.*")
