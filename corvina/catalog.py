@@ -1,21 +1,4 @@
-"""Every registered query of the library and the DuckDB SQL it is compared with."""
+"""Every registered query of the library and the DuckDB SQL that it is compared with."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from corvina.session import table
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def register(name: str, sql: str | None = None):
-    def keep(function):
-        QUERIES[name] = function
-        if sql is not None:
-            ORACLES[name] = sql
-        return function
-
-    return keep
+from corvina.plans import analytics_queries, relational_queries, retrieval_queries, streaming_queries, text_queries  # noqa: F401
+from corvina.registry import ORACLES, QUERIES  # noqa: F401
