@@ -48,11 +48,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, n_pieces, ids (array of piece ids), lossless."""
-    codec = piece_codec.Codec(docs)
-    packed = docs.select("doc_id", "source", "lang", "text", codec.encode(F.col("text"), F.col("doc_id")).alias("packed"))
-    coded = packed.select("*", codec.ids(F.col("packed")).alias("ids"), codec.decode(F.col("packed")).alias("decoded"))
-    return coded.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_pieces"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    """doc_id, source, lang, ids (array of piece ids), n_pieces, lossless."""
+    return piece_codec.encode_documents(docs, piece_codec.Codec(docs), ("doc_id", "source", "lang"), packed=False)
 
 
 STAGES = [

@@ -20,9 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
@@ -34,6 +36,8 @@ REMEMBERED = 60_000
 LENGTHS = (4, 8, 12, 20, 36)
 #: Characters of texts whose units are gathered before they are encoded.
 GATHER = 1 << 19
+#: Rows of a batch that are coded before they are sent on.
+STEP = 256
 
 BLANK = "▁"
 #: Stands for the character that the model writes for a blank where the text itself has it.
@@ -304,20 +308,26 @@ class Codec:
         return 2 if len(self.shared.value[0]) <= 1 << 16 else 4
 
 
-RESULT = "ids binary, n_pieces long, lossless boolean"
-
-
-def encode_documents(docs: DataFrame, codec: Codec) -> DataFrame:
-    """doc_id, ids (packed), n_pieces, lossless for each row of ``docs`` (doc_id, text). ``lossless``:
-    the ids were decoded again, to the very text. A null text has null ids, no pieces, and is lossless."""
+def encode_documents(docs: DataFrame, codec: Codec, keep: tuple[str, ...] = ("doc_id",), packed: bool = True) -> DataFrame:
+    """The columns of ``keep``, ids (packed, or an array of integers), n_pieces, lossless for each row of
+    ``docs`` (doc_id, text and what is kept). ``lossless``: the ids were decoded again, to the very
+    text. A null text has null ids, no pieces, and is lossless. A batch is coded STEP rows at a time,
+    in one worker, so that only its texts and a few rows' ids are in memory."""
     shared, options, width = codec.shared, codec.options, codec.width()
 
-    def round_trip(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared, *options)
-        for texts, keys in batches:
-            packed = encoder.encode_all(list(texts), list(keys))
-            same = [text is None or decode(ids, encoder.pieces) == text for ids, text in zip(packed, texts, strict=True)]
-            yield pd.DataFrame({"ids": packed, "n_pieces": [len(ids or b"") // width for ids in packed], "lossless": same})
-
-    coded = docs.select("doc_id", F.pandas_udf(round_trip, RESULT)(F.col("text"), F.col("doc_id").cast("string")).alias("r"))
-    return coded.select("doc_id", "r.*")
+        for batch in batches:
+            for at in range(0, batch.num_rows, STEP):
+                part = batch.slice(at, STEP)
+                texts = part.column("_text").to_pylist()
+                found = encoder.encode_all(texts, part.column("_key").to_pylist())
+                same = [text is None or decode(ids, encoder.pieces) == text for ids, text in zip(found, texts, strict=True)]
+                counts = [len(ids or b"") // width for ids in found]
+                ids = pa.array(found, pa.binary()) if packed else pa.array([None if x is None else np.frombuffer(x, encoder.pieces.packed).astype(np.int32) for x in found], pa.list_(pa.int32()))
+                columns = [part.column(c) for c in keep]
+                yield pa.RecordBatch.from_arrays([*columns, ids, pa.array(counts, pa.int64()), pa.array(same, pa.bool_())], names=[*keep, "ids", "n_pieces", "lossless"])
+
+    kept = docs.select(*keep)
+    schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.BinaryType() if packed else T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("lossless", T.BooleanType())])
+    return docs.select(*keep, F.col("text").alias("_text"), F.col("doc_id").cast("string").alias("_key")).mapInArrow(code, schema)
