@@ -297,7 +297,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     again = known.join(other, "band").where("root <> root_a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     links = cut_lineage(links.unionByName(verified(again, docs)))
     roots = cut_lineage(components(links))
-    links = links.unionByName(verified(_leftover(members, roots, nodes, docs), docs))
+    links = links.unionByName(cut_lineage(verified(_leftover(members, roots, nodes, docs), docs)))
     roots = cut_lineage(components(links))
     classes = firsts.join(roots, "id", "left").select("same", F.coalesce("root", "id").alias("class_id"))
     own = signed.select("doc_id", "same").join(classes, "same").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from corvina.llm.common import cut_lineage
 
 
+#: Edges that one task passes on: a step of a small graph doesn't write a file for each of many tasks.
+TASK_EDGES = 100_000
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
@@ -22,13 +26,14 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while (now := _state(edges)) != before:
-        before = now
+        before, tasks = now, now[0] // TASK_EDGES + 1
+        edges = edges.coalesce(tasks)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        large = large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").coalesce(tasks).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut_lineage(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        edges = cut_lineage(small.unionByName(least.select("a", F.col("m").alias("b"))).coalesce(tasks).distinct().coalesce(tasks))
     nodes = edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
     return nodes.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
