@@ -70,6 +70,12 @@ def table_cells(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "table_idx", "row_idx", F.posexplode(cells).alias("cell_idx", "c")).withColumn("text", T.squeeze(F.regexp_replace("c", "<[^>]*>", " "))).drop("c")
 
 
+def list_items(pages: DataFrame) -> DataFrame:
+    """page_id, idx, text of HTML list items."""
+    items = F.regexp_extract_all(F.col("html"), F.lit(r"(?is)<li(?:\s[^>]*)?>(.*?)</li>"), F.lit(1))
+    return pages.select("page_id", F.posexplode(items).alias("idx", "c")).withColumn("text", T.squeeze(F.regexp_replace("c", "<[^>]*>", " "))).drop("c")
+
+
 def table_pairs(cells: DataFrame) -> DataFrame:
     """page_id, table_idx, row_idx, question, answer from tables of two rows or more. The header names
     the columns by substrings, the last fitting one of each kind; without such a header a table of two

@@ -185,6 +185,12 @@ def table_cells(spark: SparkSession, d: str) -> DataFrame:
     return extraction.table_cells(table(spark, d, "pages"))
 
 
+@register("src05_list_items", r"""WITH l AS (SELECT page_id, regexp_extract_all(html, '(?is)<li(?:\s[^>]*)?>(.*?)</li>', 1) AS x FROM pages), i AS (SELECT page_id, CAST(generate_subscripts(x, 1) - 1 AS INT) AS idx, unnest(x) AS c FROM l)
+SELECT page_id, idx, trim(regexp_replace(regexp_replace(c, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM i""")
+def list_items(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.list_items(table(spark, d, "pages"))
+
+
 @register("f18_validate", f"""WITH {ENTRIES_SQL}, e AS (SELECT id, list_filter([CASE WHEN question = '' THEN 'question_missing' END, CASE WHEN question <> '' AND length(question) < 5 THEN 'question_short' END,
   CASE WHEN answer = '' THEN 'answer_missing' END, CASE WHEN answer <> '' AND length(answer) < 10 THEN 'answer_short' END], lambda x: x IS NOT NULL) AS errors FROM entries) SELECT id, array_to_string(errors, ',') AS errors, len(errors) = 0 AS is_valid FROM e""")
 def validate(spark: SparkSession, d: str) -> DataFrame:
