@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvina.operators import analytics as A
 from corvina.operators import experiments as E
 from corvina.operators import feedback as B
+from corvina.operators import quality as Y
 from corvina.plans.views import FEEDBACK_SQL, LOG_SQL, feedback, query_log
 from corvina.registry import register
 from corvina.session import table
@@ -246,3 +247,45 @@ def failed_logins(spark: SparkSession, d: str) -> DataFrame:
     window = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
     rows = table(spark, d, "events").withColumn("failures", F.sum((F.col("event_type") == "error").cast("int")).over(window)).where("event_type = 'error'")
     return rows.select("event_id", "failures", F.when(F.col("failures") >= 5, "critical").when(F.col("failures") >= 3, "high").otherwise("medium").alias("severity"))
+
+
+@register("m06_response_quality", """WITH a AS (SELECT conv_id, turn, text, length(trim(text)) AS n, turn % 4 AS sources, turn % 3 = 0 AS ctx, turn % 5 = 0 AS fb FROM conversations WHERE role = 'assistant'),
+s AS (SELECT *, CAST((turn * 37) % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS conf FROM a)
+SELECT conv_id, turn, CASE WHEN sources = 0 THEN CAST(0.3 AS DOUBLE) ELSE greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), conf + least(CAST(0.2 AS DOUBLE), CAST(0.05 AS DOUBLE) * sources) + CASE WHEN ctx THEN CAST(0.1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END - CASE WHEN fb THEN CAST(0.2 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)) END AS relevance,
+  CASE WHEN n < 20 THEN CAST(0.2 AS DOUBLE) WHEN n < 50 THEN CAST(0.5 AS DOUBLE) WHEN n < 200 THEN CAST(0.8 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS completeness, CASE WHEN conf >= 0.7 THEN 'semantic' WHEN conf >= 0.3 THEN 'partial' ELSE 'fallback' END AS response_type,
+  length(text) > 1000 OR len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 100)) > 10 OR len(regexp_extract_all(text, 'Q:')) > 1 AS dumped FROM s""")
+def response_quality(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").where("role = 'assistant'").withColumn("conf", F.col("turn") * 37 % 100 / F.lit(100.0))
+    turn = F.col("turn")
+    return rows.select(
+        "conv_id", "turn", Y.relevance(F.col("conf"), turn % 4, turn % 3 == 0, turn % 5 == 0).alias("relevance"), Y.completeness(F.col("text")).alias("completeness"),
+        Y.response_type(F.col("conf")).alias("response_type"), Y.looks_dumped(F.col("text")).alias("dumped"),
+    )
+
+
+@register("x12_retraining", f"""WITH {LOG_SQL}, s AS (SELECT user_id, count(*) AS n, sum(cents) / (count(*) * CAST(50000 AS DOUBLE)) AS conf, sum(k % 5 + 1) / CAST(count(*) AS DOUBLE) AS rating FROM log GROUP BY user_id)
+SELECT user_id, n, CASE WHEN n >= 100 THEN CASE WHEN conf < 0.6 THEN 'low_confidence' WHEN rating < 3 THEN 'low_satisfaction' END END AS reason FROM s""")
+def retraining(spark: SparkSession, d: str) -> DataFrame:
+    n = F.count("*")
+    out = query_log(spark, d).groupBy("user_id").agg(n.alias("n"), (F.sum("cents") / (n * F.lit(50000.0))).alias("conf"), (F.sum(F.col("k") % 5 + 1) / n).alias("rating"))
+    return out.select("user_id", "n", Y.needs_retraining(F.col("n"), F.col("conf"), F.col("rating")).alias("reason"))
+
+
+@register("x13_long_sessions", f"""WITH {LOG_SQL}, n AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 240 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM log WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session_no FROM n), s AS (SELECT user_id, session_no, count(*) AS n, max(ts) - min(ts) > INTERVAL 8 HOUR AS too_long FROM g GROUP BY user_id, session_no)
+SELECT user_id, count(*) AS n_sessions, count(*) FILTER (too_long) AS n_too_long, max(n) AS most FROM s GROUP BY user_id""")
+def long_sessions(spark: SparkSession, d: str) -> DataFrame:
+    found = A.sessions(query_log(spark, d), ["user_id"], "ts", 240)
+    too_long = F.unix_micros("last_activity") - F.unix_micros("started_at") > 8 * 3_600_000_000
+    return found.groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.count(F.when(too_long, 1)).alias("n_too_long"), F.max("n_interactions").alias("most"))
+
+
+@register("x09_retention", f"WITH {LOG_SQL} SELECT intent, count(*) AS n FROM log WHERE ts >= TIMESTAMP '2024-02-01' - INTERVAL 15 DAY GROUP BY intent")
+def retention(spark: SparkSession, d: str) -> DataFrame:
+    recent = query_log(spark, d).where(F.col("ts") >= F.lit("2024-02-01").cast("timestamp") - F.expr("interval 15 days"))
+    return recent.groupBy("intent").agg(F.count("*").alias("n"))
+
+
+@register("a31_welch")
+def welch(spark: SparkSession, d: str) -> DataFrame:
+    return E.welch(_results(spark, d)).select("test_id", "metric", "n_control", "n_treatment")
