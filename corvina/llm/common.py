@@ -22,8 +22,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder that the cluster shares, so that a lost executor
     costs no recomputation from the start. Only where no folder is configured (tests) is one made."""
     context = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="corvina-checkpoint-"))
+    if context.getCheckpointDir() is None:
+        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="corvina-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
