@@ -196,3 +196,20 @@ cant=can't wont=won't isnt=isn't arent=aren't wasnt=wasn't werent=weren't hasnt=
 shouldnt=shouldn't wouldnt=wouldn't couldnt=couldn't mustnt=mustn't neednt=needn't darent=daren't u=you ur=your
 youre=you're theres=there's theyre=they're its=it's hes=he's shes=she's weve=we've youve=you've theyve=they've ive=I've
 im=I'm id=I'd ill=I'll wed=we'd youd=you'd theyd=they'd shed=she'd hed=he'd""".split())
+
+#: Common words, question words and patterns of each language, in the order in which ties are decided.
+LANGUAGES = {
+    "en": ("the and is are was were have has had do does did will would could should can what how where when who why which that this these those with for from about", "what how where when who why which", [r"\b(ing|ed|ly|tion|sion)\b", r"\b(a|an|the)\s+\w+"]),
+    "es": ("el la los las un una y es son está están ser estar tener hacer poder deber qué cómo dónde cuándo quién cuál que con para por de en sobre", "qué cómo dónde cuándo quién cuál", [r"\b(ción|sión|mente|ando|iendo)\b", r"\b(el|la|los|las)\s+\w+"]),
+    "fr": ("le la les un une des et est sont être avoir faire pouvoir devoir aller venir que quoi comment où quand qui pourquoi avec pour par de dans sur sous", "que quoi comment où quand qui pourquoi", [r"\b(tion|sion|ment|ant|ent)\b", r"\b(le|la|les)\s+\w+"]),
+    "de": ("der die das den dem des ein eine einen und ist sind war waren haben hat hatte was wie wo wann wer warum welche welcher mit für von zu in auf über unter", "was wie wo wann wer warum welche", [r"\b(ung|keit|heit|lich|isch)\b", r"\b(der|die|das)\s+\w+"]),
+    "it": ("il la lo gli le un una e è sono essere avere fare potere dovere andare che cosa come dove quando chi perché con per da di in su sotto", "che cosa come dove quando chi perché", [r"\b(zione|sione|mente|ando|endo)\b", r"\b(il|la|lo)\s+\w+"]),
+    "pt": ("o a os as um uma e é são está estão ser estar ter fazer poder dever que como onde quando quem com para por de em sobre sob", "que como onde quando quem", [r"\b(ção|são|mente|ando|endo)\b", r"\b(o|a|os|as)\s+\w+"]),
+}
+SCRIPTS = {"ru": r"[а-яёА-ЯЁ]", "zh": r"[一-鿿]", "ja": r"[぀-ゟ゠-ヿ]", "ko": r"[가-힯]", "ar": r"[؀-ۿ]"}
+
+PRONOUNS = ["it", "this", "that", "they", "them", "these", "those"]
+ASKING = ["what", "how", "where", "when", "who", "why", "which"]
+CONJUNCTIONS = ["and", "or", "but"]
+CONTEXT_PHRASES = ["like before", "as mentioned", "the same", "similar to", "like that", "like this", "as usual", "again"]
+VAGUE = ["thing", "stuff", "issue", "problem", "matter", "situation", "something", "anything", "everything", "nothing"]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvina.functions import lexicons as L
 from corvina.functions import text as T
+from corvina.functions import understanding as N
 from corvina.functions import vectors as V
 from corvina.operators import dedupe, extraction
 from corvina.plans.views import ENTRIES_SQL, entries
@@ -212,3 +213,32 @@ def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
 @register("j13_similar_questions")
 def similar_questions(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.similar(entries(spark, d).select("id", F.substring("question", 1, 300).alias("question")))
+
+
+@register("t20_language")
+def language(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", N.language(F.col("text")).alias("l")).select("conv_id", "turn", "l.*")
+
+
+_AMBIGUOUS = f"""u AS (SELECT conv_id, turn, lower(text) AS low, turn > min(turn) OVER (PARTITION BY conv_id) AS has_context FROM conversations WHERE role = 'user'),
+c AS (SELECT *, regexp_matches(low, '\\b({'|'.join(L.PRONOUNS)})\\b') AND NOT has_context AS c1, len(list_filter(string_split_regex(low, '\\s+'), lambda w: w <> '')) <= 2 AS c2,
+  len(list_filter({L.ASKING}, lambda w: contains(low, w))) > 1 OR len(list_filter({L.CONJUNCTIONS}, lambda w: contains(low, w))) > 0 AS c3,
+  len(list_filter({L.CONTEXT_PHRASES}, lambda w: contains(low, w))) > 0 AND NOT has_context AS c4, len(list_filter({L.VAGUE}, lambda w: contains(low, w))) > 0 AS c5 FROM u)"""
+
+
+@register("t33_ambiguity", f"""WITH {_AMBIGUOUS} SELECT conv_id, turn, concat_ws(',', CASE WHEN c1 THEN 'pronoun_ambiguity' END, CASE WHEN c2 THEN 'incomplete_query' END, CASE WHEN c3 THEN 'multiple_intent' END, CASE WHEN c4 THEN 'context_dependent' END, CASE WHEN c5 THEN 'vague_terms' END) AS types,
+  CAST(least(1, CASE WHEN c1 THEN 0.7 ELSE 1 END, CASE WHEN c2 THEN 0.6 ELSE 1 END, CASE WHEN c3 THEN 0.8 ELSE 1 END, CASE WHEN c4 THEN 0.9 ELSE 1 END, CASE WHEN c5 THEN 0.6 ELSE 1 END) AS DOUBLE) AS confidence FROM c""")
+def ambiguity(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").where("role = 'user'")
+    has_context = F.col("turn") > F.min("turn").over(Window.partitionBy("conv_id"))
+    rows = rows.withColumn("has_context", has_context)
+    return rows.select("conv_id", "turn", N.ambiguity(F.col("text"), F.col("has_context")).alias("a")).select("conv_id", "turn", F.array_join("a.types", ",").alias("types"), "a.confidence")
+
+
+@register("t31_with_context")
+def with_context(spark: SparkSession, d: str) -> DataFrame:
+    """Pronouns resolved by the keywords of the conversation's last three queries."""
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-3, -1)
+    rows = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text", F.slice(T.query_keywords(F.col("text")), 1, 2).alias("keys"))
+    rows = rows.withColumn("context", F.array_distinct(F.flatten(F.collect_list("keys").over(before))))
+    return rows.select("conv_id", "turn", N.resolve_pronouns(F.col("text"), F.col("context")).alias("resolved"))
