@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm.common import cut_lineage, small_side
+from corvina.llm.common import cut_lineage, short_batches, small_side
 from corvina.llm.graphs import components
 
 SHINGLE = 5
@@ -36,7 +36,7 @@ BLOCK = 512
 #: by their shingles if so large a share of components agrees: five standard errors below the similarity.
 AGREE = 0.64
 #: Bytes of text whose signatures are drawn at once; a longer text is drawn alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 LEVELS = 40
 
 _MULTIPLIER = 0xD1342543DE82EF95
@@ -280,7 +280,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     Equal texts are linked, also empty ones. A null text is like no other; a null id gets no class.
     Rows that share an id are one document with several texts.
     """
-    signed = docs.where("doc_id is not null and text is not null").select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("same"), F.pandas_udf(_sign, "bands array<long>, bytes binary")(F.col("text")).alias("s"))
+    signed = short_batches(docs).where("doc_id is not null and text is not null").select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("same"), F.pandas_udf(_sign, "bands array<long>, bytes binary")(F.col("text")).alias("s"))
     signed = cut_lineage(signed.select("doc_id", "same", "s.bands", "s.bytes"))
     firsts = signed.groupBy("same").agg(F.min("doc_id").alias("id"))
     nodes = signed.groupBy("same").agg(F.min(F.struct("doc_id", "bands", "bytes")).alias("r")).select(F.col("r.doc_id").alias("id"), "r.bands", "r.bytes")

@@ -13,6 +13,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a measured table may be broadcast.
 BROADCAST_ROWS = 100_000
 
+#: Rows of an Arrow batch of texts.
+TEXT_ROWS = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,6 +31,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """``df``, once its session sends no more than TEXT_ROWS rows at a time to Python: workers hold whole
+    texts, and with thousands of them in a batch two workers' memory outgrows what the heap leaves."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it was counted to be small, else ``df`` for a shuffled join.
     ``df`` should be materialised, since it is counted here."""

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvina.llm.common import bucket_of
+from corvina.llm.common import bucket_of, short_batches
 
 BUCKETS = 1 << 16
 BLOCK = 32
@@ -30,7 +30,7 @@ BLOCK = 32
 RESCALE = 4
 FLOOR = 1e-30
 #: Bytes of text labelled at once; a longer text is labelled alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 DOCS_PER_LANGUAGE = 150
 #: Languages that are learned: the most frequent ones.
 LANGUAGES = 50
@@ -287,7 +287,7 @@ RESULT = "lang_pred string, score double"
 
 def language_of(text: Column, model: Model, docs: DataFrame) -> Column:
     """A struct lang_pred, score for every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.transitions))
+    shared = short_batches(docs).sparkSession.sparkContext.broadcast((model.languages, model.weights, model.transitions))
 
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Model(*shared.value)

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvina.llm.common import short_batches
+
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 2024
@@ -330,4 +332,4 @@ def encode_documents(docs: DataFrame, codec: Codec, keep: tuple[str, ...] = ("do
 
     kept = docs.select(*keep)
     schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.BinaryType() if packed else T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("lossless", T.BooleanType())])
-    return docs.select(*keep, F.col("text").alias("_text"), F.col("doc_id").cast("string").alias("_key")).mapInArrow(code, schema)
+    return short_batches(docs).select(*keep, F.col("text").alias("_text"), F.col("doc_id").cast("string").alias("_key")).mapInArrow(code, schema)
