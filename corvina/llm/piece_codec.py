@@ -2,21 +2,24 @@
 
 The pieces and scores of a merge-type (BPE) model with byte fallback are read from a model file; no
 tokenizer is trained. The encoder merges the best-scored neighbours first, as the model's own does,
-but a candidate that comes up is skipped if a keyed hash of the seed, the variant, the text unit and
-the candidate's place falls under the dropout rate. The result varies with the key, not with the
-machine or the run, and always decodes to the very text.
+but a candidate that comes up is skipped if a keyed hash of the seed, the document's id, the unit's
+number in the text and the candidate's place in the unit falls under the dropout rate. The result
+varies with the key, not with the machine or the run, and always decodes to the very text.
 
 No piece has a blank behind another character, so merges never leave a unit (blanks and what follows
-them up to the next blank or line end), and units are encoded one by one. The variant of a unit is
-its number in the text plus a hash of the document's id, modulo VARIANTS: a word is cut differently
-within and across documents, yet the cuts of frequent words are remembered.
+them up to the next blank or line end), and units are encoded one by one. Every occurrence of a unit
+has draws of its own. What is remembered is how a unit merges: for a set of skipped steps a node has
+the candidates that come up behind the last of them if none of those is skipped, and the resulting
+pieces. An occurrence draws all candidates of its node at once and goes on, if one is skipped, to the
+node that skips it too.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -31,9 +34,12 @@ from corvina.llm.common import short_batches
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 2024
-VARIANTS = 4
-#: Remembered units of each variant; beyond that the memory starts anew.
-REMEMBERED = 60_000
+#: Remembered nodes; beyond that the memory starts anew.
+REMEMBERED = 300_000
+#: Steps of a unit that a node may skip; an occurrence that skips a later one is merged on its own.
+STEPS = 64
+#: Occurrences that draw at once.
+DRAWN = 1 << 17
 #: Units of at most so many characters are merged together in numpy, by classes of length.
 LENGTHS = (4, 8, 12, 20, 36)
 #: Characters of texts whose units are gathered before they are encoded.
@@ -91,10 +97,24 @@ def load_pieces(path: str = MODEL_FILE) -> tuple[list[str], list[float], list[st
 
 
 class Encoder:
-    def __init__(self, pieces: Pieces, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
-        self.pieces, self.seed, self.variants = pieces, seed, variants
+    def __init__(self, pieces: Pieces, dropout: float = DROPOUT, seed: int = SEED):
+        self.pieces, self.seed = pieces, seed
         self.limit = int(dropout * (1 << 32))
-        self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Node 0 stands for occurrences that are merged on their own."""
+        self.roots: dict[str, int] = {}
+        self.units, self.packed = [""], [b""]
+        #: Of each node: its skipped steps as bits, the first step behind them, its candidates' start and number.
+        self.skips, self.base, self.start, self.size = np.zeros(1024, np.uint64), *(np.zeros(1024, np.int64) for _ in range(3))
+        #: Of each candidate: its place in the unit, hashed, and the node that skips it (-1: not known yet).
+        self.place, self.child, self.candidates = np.zeros(1024, np.uint64), np.zeros(1024, np.int64), 0
+
+    @property
+    def known(self) -> list[dict[str, bytes]]:
+        """The remembered units as they are without a skipped merge (key 0)."""
+        return [{unit: self.packed[node] for unit, node in self.roots.items()}]
 
     def _keeps(self, key: int, start: int, middle: int, end: int) -> bool:
         """Whether the merge of [start, middle) and [middle, end) is made when it comes up."""
@@ -102,8 +122,9 @@ class Encoder:
         h = ((h ^ (h >> 29)) * int(D)) & _MASK
         return (h >> 32) >= self.limit
 
-    def _merge(self, symbols: list[str], key: int) -> list[str]:
-        rank, n = self.pieces.rank, len(symbols)
+    def _merge(self, symbols: list[str], keeps: Callable[[int, int, int, int], bool]) -> list[str]:
+        """``keeps`` is asked with the step's number and the candidate's start, middle and end."""
+        step, rank, n = -1, self.pieces.rank, len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda: list[tuple[int, int, int, int]] = []
 
@@ -118,7 +139,8 @@ class Encoder:
             _, i, j, end = heapq.heappop(agenda)
             if not symbols[i] or after[i] != j or j >= n or after[j] != end:
                 continue
-            if self.limit and not self._keeps(key, i, j, end):
+            step += 1
+            if not keeps(step, i, j, end):
                 continue
             symbols[i], symbols[j], after[i] = symbols[i] + symbols[j], "", end
             if end < n:
@@ -128,20 +150,40 @@ class Encoder:
                 propose(before[i])
         return [symbol for symbol in symbols if symbol]
 
-    def _key(self, unit: str, variant: int) -> int:
-        return xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass"), self.seed * 1000003 + variant) if self.limit else 0
+    def _keys(self, doc_ids: list[str | None], counts: np.ndarray) -> np.ndarray:
+        """A key for each unit of documents of so many units: of the seed, the whole id and its number."""
+        own = np.array([xxhash.xxh3_64_intdigest(doc_id or "", self.seed) for doc_id in doc_ids], np.uint64)
+        number = np.arange(1, counts.sum() + 1) - np.repeat(np.cumsum(counts) - counts, counts)
+        x = np.repeat(own, counts) + number.astype(np.uint64) * A
+        x = (x ^ (x >> np.uint64(30))) * D
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return (x ^ (x >> np.uint64(31))) | np.uint64(1)
 
-    def unit(self, unit: str, variant: int) -> bytes:
-        """The packed ids of one unit of any length and with any characters."""
+    def _cut(self, unit: str, keeps: Callable[[int, int, int, int], bool]) -> bytes:
         symbols = [BLANK if c == " " else LITERAL if c == BLANK else c for c in unit]
         ids: list[int] = []
-        for symbol in self._merge(symbols, self._key(unit, variant)):
+        for symbol in self._merge(symbols, keeps):
             if (found := self.pieces.id_of.get(symbol)) is not None:
                 ids.append(found)
             else:
                 ids += [self.pieces.byte_ids[b] for b in (BLANK if symbol == LITERAL else symbol).encode("utf-8", "surrogatepass")]
         return np.array(ids, self.pieces.packed).tobytes()
 
+    def unit(self, unit: str, key: int) -> bytes:
+        """The packed ids of one unit of any length and with any characters; key 0 skips no merge."""
+        return self._cut(unit, lambda _, *place: not (key and self.limit) or self._keeps(key, *place))
+
+    def _path(self, unit: str, skips: int, base: int) -> tuple[bytes, list[int]]:
+        """A node's packed ids and candidates, for a unit with any characters."""
+        places: list[int] = []
+
+        def keeps(step: int, start: int, middle: int, end: int) -> bool:
+            if self.limit and step >= base:
+                places.append((start * int(A) + middle * int(B) + end * int(C)) & _MASK)
+            return step >= STEPS or not skips >> step & 1
+
+        return self._cut(unit, keeps), places
+
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks (NONE where there is no such piece, or no right neighbour: -1) and ids of merges."""
         pieces = self.pieces
@@ -150,9 +192,10 @@ class Encoder:
         found = (pieces.pairs[at] == pair) & (right >= 0)
         return np.where(found, pieces.made[at, 0], NONE), pieces.made[at, 1]
 
-    def _together(self, ids: np.ndarray, keys: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """(packed ids of all units, how many each has) of units of known characters, a row each, with
-        -1 behind their ends. The same agenda as ``_merge``, a step for all rows at a time."""
+    def _together(self, ids: np.ndarray, skips: np.ndarray, since: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """(packed ids of all nodes, how many each has, candidates of all, how many each has) for units
+        of known characters, a row each, with -1 behind their ends. The same agenda as ``_merge``, a
+        step for all rows at a time."""
         n, width = ids.shape
         wide = width + 1  # a column of -1 behind the last character
         symbol = np.full((n, wide), -1, np.int64)
@@ -165,8 +208,10 @@ class Encoder:
         (first,) = np.nonzero((symbol[:-1] >= 0) & (symbol[1:] >= 0))
         rank[first], made[first] = self._ranks(symbol[first], symbol[first + 1])
         size = (symbol.reshape(n, wide) >= 0).sum(axis=1)
-        row = np.arange(n)
+        row, step = np.arange(n), -1
+        owners, places = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         while len(row):
+            step += 1
             i = rank.reshape(n, wide)[row].argmin(axis=1)
             at = row * wide + i
             live = rank[at] < NONE
@@ -176,8 +221,10 @@ class Encoder:
             end = np.where(j < width, after[beside], width)
             if self.limit:
                 stop = np.minimum(end, size[row]).astype(np.uint64)
-                h = keys[row] + i.astype(np.uint64) * A + j.astype(np.uint64) * B + stop * C
-                keep = (((h ^ (h >> np.uint64(29))) * D) >> np.uint64(32)) >= self.limit
+                behind = step >= since[row]
+                owners.append(row[behind])
+                places.append((i.astype(np.uint64) * A + j.astype(np.uint64) * B + stop * C)[behind])
+                keep = (skips[row] >> np.uint64(min(step, STEPS - 1))) & np.uint64(step < STEPS) == 0
                 rank[at[~keep]] = NONE
                 i, at, beside, end, own = i[keep], at[keep], beside[keep], end[keep], row[keep]
             else:
@@ -193,18 +240,34 @@ class Encoder:
             left = (base + left)[has]
             rank[left], made[left] = self._ranks(symbol[left], symbol[at[has]])
         used = symbol >= 0
-        return symbol[used].astype(self.pieces.packed).tobytes(), used.reshape(n, wide).sum(axis=1)
-
-    def learn(self, units: list[str], variant: int) -> None:
-        """Encodes distinct units and remembers them."""
-        known = self.known[variant]
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        return symbol[used].astype(self.pieces.packed).tobytes(), used.reshape(n, wide).sum(axis=1), np.concatenate(places)[order], np.bincount(owner, minlength=n)
+
+    def _remember(self, units: list[str], packed: list[bytes], skips: np.ndarray, base: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        first, n, m = len(self.packed), len(self.packed) + len(units), self.candidates + len(places)
+        room = lambda array, size: array if size <= len(array) else np.concatenate((array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype)))
+        self.skips, self.base, self.start, self.size = (room(x, n) for x in (self.skips, self.base, self.start, self.size))
+        self.place, self.child = room(self.place, m), room(self.child, m)
+        self.skips[first:n], self.base[first:n], self.size[first:n] = skips, base, sizes
+        self.start[first:n] = self.candidates + np.cumsum(sizes) - sizes
+        self.place[self.candidates : m], self.child[self.candidates : m] = places, -1
+        self.units += units
+        self.packed += packed
+        self.candidates = m
+        return np.arange(first, n)
+
+    def learn(self, units: list[str], skips: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Nodes of distinct units and skipped steps, ``base`` being the first step behind those."""
+        nodes = np.zeros(len(units), np.int64)
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         codes = self.pieces.of_char[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4")]
         ends = np.cumsum(sizes)
         strange = np.concatenate(([0], np.cumsum(codes < 0)))
-        odd = (strange[ends] - strange[ends - sizes] > 0) | (sizes > LENGTHS[-1])
+        odd = strange[ends] - strange[ends - sizes] > 0
         for i in np.flatnonzero(odd).tolist():
-            known[units[i]] = self.unit(units[i], variant)
+            packed, places = self._path(units[i], int(skips[i]), int(base[i]))
+            nodes[i] = self._remember([units[i]], [packed], skips[i : i + 1], base[i : i + 1], np.array(places, np.uint64), np.array([len(places)]))[0]
         least = 0
         for width in LENGTHS:
             some = np.flatnonzero(~odd & (sizes > least) & (sizes <= width))
@@ -214,11 +277,56 @@ class Encoder:
             column = np.arange(width)
             at = (ends - sizes)[some][:, None] + column
             ids = np.where(column < sizes[some][:, None], codes[np.minimum(at, len(codes) - 1)], -1)
-            keys = np.fromiter((self._key(units[i], variant) for i in some.tolist()), np.uint64, len(some))
-            packed, counts = self._together(ids, keys)
+            packed, counts, places, candidates = self._together(ids, skips[some], base[some])
             to = (np.cumsum(counts) * np.dtype(self.pieces.packed).itemsize).tolist()
-            for i, start, end in zip(some.tolist(), [0, *to], to, strict=False):
-                known[units[i]] = packed[start:end]
+            cut = [packed[start:end] for start, end in zip([0, *to], to, strict=False)]
+            nodes[some] = self._remember([units[i] for i in some.tolist()], cut, skips[some], base[some], places, candidates)
+        return nodes
+
+    def _skip(self, at: np.ndarray) -> None:
+        """Learns the nodes that skip the candidates at the given distinct positions."""
+        owner = np.searchsorted(self.start[: len(self.packed)], at, side="right") - 1
+        step = self.base[owner] + at - self.start[owner]
+        late = step >= STEPS
+        self.child[at[late]] = 0
+        at, owner, step = at[~late], owner[~late], step[~late]
+        if len(at):
+            nodes = self.learn([self.units[i] for i in owner.tolist()], self.skips[owner] | (np.uint64(1) << step.astype(np.uint64)), step + 1)
+            self.child[at] = nodes
+
+    def _draw(self, nodes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The last nodes of occurrences with the given roots and keys."""
+        nodes = nodes.copy()
+        open_ = np.flatnonzero(self.size[nodes])
+        while len(open_):
+            own = nodes[open_]
+            sizes = self.size[own]
+            ends = np.cumsum(sizes)
+            place = np.arange(ends[-1]) + np.repeat(self.start[own] - ends + sizes, sizes)
+            h = np.repeat(keys[open_], sizes) + self.place[place]
+            hit = np.flatnonzero((((h ^ (h >> np.uint64(29))) * D) >> np.uint64(32)) < self.limit)
+            who = np.searchsorted(ends, hit, side="right")
+            lead = np.append(True, who[1:] != who[:-1])[: len(who)]
+            who, place = who[lead], place[hit[lead]]
+            if len(new := np.unique(place[self.child[place] < 0])):
+                self._skip(new)
+            open_, found = open_[who], self.child[place]
+            nodes[open_] = found
+            open_ = open_[self.size[found] > 0]
+        return nodes
+
+    def _cuts(self, units: list[str], keys: np.ndarray) -> list[bytes]:
+        """Packed ids of each of the units, which may repeat."""
+        if len(self.packed) >= REMEMBERED:
+            self._forget()
+        if new := [unit for unit in set(units).difference(self.roots) if len(unit) <= LENGTHS[-1]]:
+            none = np.zeros(len(new), np.int64)
+            self.roots.update(zip(new, self.learn(new, none.astype(np.uint64), none).tolist(), strict=True))
+        nodes = self._draw(np.fromiter(map(self.roots.get, units, repeat(0)), np.int64, len(units)), keys)
+        out = list(map(self.packed.__getitem__, nodes.tolist()))
+        for i in np.flatnonzero(nodes == 0).tolist():
+            out[i] = self.unit(units[i], int(keys[i]))
+        return out
 
     def encode_all(self, texts: list[str | None], keys: list[str | None]) -> list[bytes | None]:
         """Packed ids of whole texts: none for an empty one, null for null."""
@@ -229,21 +337,14 @@ class Encoder:
             while to < len(texts) and (to == at or size + len(texts[to] or "") <= GATHER):
                 size += len(texts[to] or "")
                 to += 1
-            cut = [(UNIT.findall(" " + text) if text else [], xxhash.xxh3_64_intdigest(key or "", self.seed) % self.variants) for text, key in zip(texts[at:to], keys[at:to], strict=True)]
-            for v, known in enumerate(self.known):
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                wanted: set[str] = set()
-                for units, first in cut:
-                    wanted.update(units[(v - first) % self.variants :: self.variants])
-                if new := [unit for unit in wanted if unit not in known]:
-                    self.learn(new, v)
-            for (units, first), text in zip(cut, texts[at:to], strict=True):
-                parts: list = [None] * len(units)
-                for v, known in enumerate(self.known):
-                    own = slice((v - first) % self.variants, None, self.variants)
-                    parts[own] = map(known.__getitem__, units[own])
-                out.append(None if text is None else b"".join(parts))
+            cut = [UNIT.findall(" " + text) if text else [] for text in texts[at:to]]
+            counts = np.array([len(units) for units in cut], np.int64)
+            own, units = self._keys(keys[at:to], counts), list(chain.from_iterable(cut))
+            parts: list[bytes] = []
+            for i in range(0, len(units), DRAWN):
+                parts += self._cuts(units[i : i + DRAWN], own[i : i + DRAWN])
+            ends = np.cumsum(counts).tolist()
+            out += [None if text is None else b"".join(parts[start:end]) for text, start, end in zip(texts[at:to], [0, *ends], ends, strict=False)]
             at = to
         return out
 
@@ -257,21 +358,21 @@ def decode(packed: bytes, pieces: Pieces) -> str:
 _ENCODERS: dict = {}
 
 
-def _encoder(shared, dropout: float, seed: int, variants: int) -> Encoder:
+def _encoder(shared, dropout: float, seed: int) -> Encoder:
     """One per worker and model: what it remembers serves all its tasks."""
-    key = (shared.value[3], dropout, seed, variants)
+    key = (shared.value[3], dropout, seed)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(Pieces(*shared.value[:3]), dropout, seed, variants)
+        _ENCODERS[key] = Encoder(Pieces(*shared.value[:3]), dropout, seed)
     return _ENCODERS[key]
 
 
 class Codec:
     """Column functions for one model. ``dropout`` 0 gives the model's own segmentation."""
 
-    def __init__(self, docs: DataFrame, path: str = MODEL_FILE, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, docs: DataFrame, path: str = MODEL_FILE, dropout: float = DROPOUT, seed: int = SEED):
         self.shared = docs.sparkSession.sparkContext.broadcast((*load_pieces(path), path))
-        self.options = (dropout, seed, variants)
+        self.options = (dropout, seed)
 
     def encode(self, text: Column, doc_id: Column) -> Column:
         """Packed ids (binary, little-endian unsigned) of whole texts. A null text has none (null); a

@@ -146,6 +146,23 @@ def test_codec(encoders):
         assert all(dropping.unit(unit, variant) == packed for unit, packed in known.items())
 
 
+def test_codec_draws_for_each_occurrence(encoders):
+    """Every occurrence is cut by its own draws, as if it were merged alone; no few cuts recur."""
+    _, dropping = encoders
+    random.seed(10)
+    texts = [" ".join(random.choice(["the", "internationally", "mañana", "日本語", "y" * 50, "a-b", "qzx▁"]) for _ in range(60)) for _ in range(40)]
+    ids = [str(i) for i in range(40)]
+    cut = [piece_codec.UNIT.findall(" " + text) for text in texts]
+    keys = iter(dropping._keys(ids, np.array([len(units) for units in cut])).tolist())
+    assert dropping.encode_all(texts, ids) == [b"".join(dropping.unit(unit, next(keys)) for unit in units) for units in cut]
+    encoder = piece_codec.Encoder(dropping.pieces, 0.1)
+    assert len(set(encoder.encode_all(["internationally"] * 2000, [str(i) for i in range(2000)]))) > 40
+    # one merge, of "a" with the blank before it: a tenth of the occurrences go without
+    for texts, ids in ((["a"] * 5000, [str(i) for i in range(5000)]), (["a" + " a" * 4999], ["1"])):
+        pieces = len(b"".join(encoder.encode_all(texts, ids))) // 2
+        assert 5000 * 0.085 < pieces - 5000 < 5000 * 0.115
+
+
 def test_signatures_are_unbiased():
     random_ = np.random.default_rng(7)
     errors = []
