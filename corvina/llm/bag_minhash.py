@@ -122,7 +122,8 @@ def signatures(owner: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n: int
 
 
 def signature_rows(texts: list[str | None]) -> list[tuple[list[int] | None, bytes | None]]:
-    """(hash of each band, a byte of each component) of each text; (None, None) without words."""
+    """(hash of each band, marks) of each text: a byte of each component, then the bands' hashes. (None,
+    None) without words."""
     out: list = [(None, None)] * len(texts)
     batch: list[int] = []
     length = 0
@@ -136,7 +137,7 @@ def signature_rows(texts: list[str | None]) -> list[tuple[list[int] | None, byte
             bands = bands ^ np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             for row, k in enumerate(batch):
                 if np.isfinite(times[row, 0]):
-                    out[k] = (bands[row].view(np.int64).tolist(), (bits[row] & np.uint64(255)).astype(np.uint8).tobytes())
+                    out[k] = (bands[row].view(np.int64).tolist(), (bits[row] & np.uint64(255)).astype(np.uint8).tobytes() + bands[row].astype(">u8").tobytes())
             batch, length = [], 0
         if i >= 0 and texts[i]:
             batch.append(i)
@@ -146,7 +147,8 @@ def signature_rows(texts: list[str | None]) -> list[tuple[list[int] | None, byte
 
 def _sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
-        yield pd.DataFrame(signature_rows(list(texts)), columns=["bands", "bytes"])
+        # the marks' bands are put behind the bytes again where they are needed
+        yield pd.DataFrame([(bands, marks and marks[:SIZE]) for bands, marks in signature_rows(list(texts))], columns=["bands", "bytes"])
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -195,23 +197,26 @@ def _cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def _close(rows: dict[str, np.ndarray], start: int, end: int) -> list[tuple[int, int]]:
     """Of the rows from start to end, a block of one band: pairs of a query and a node of another
-    class that look similar enough. A pair counts in the first band that it shares."""
+    class that look similar enough. A pair counts in the first band that it shares, by the bands' whole
+    hashes: the bytes of components that differ may agree by chance."""
     query = start + np.flatnonzero(rows["is_query"][start:end])
     node = start + np.flatnonzero(rows["is_node"][start:end])
     found: list[tuple[int, int]] = []
     if not len(query) or not len(node):
         return found
     band = rows["k"][start]
-    right = np.frombuffer(b"".join(rows["bytes"][node]), np.uint8).reshape(len(node), SIZE)
+    marks = np.frombuffer(b"".join(rows["bytes"][node]), np.uint8).reshape(len(node), SIZE + 8 * BANDS)
+    right, bands = np.ascontiguousarray(marks[:, :SIZE]), np.ascontiguousarray(marks[:, SIZE:]).view(np.uint64)
     ids, roots = rows["id"][node], rows["root"][node]
     cells = [np.frombuffer(one, np.uint32) for one in rows["cells"][node]]
     sizes = np.array([len(one) for one in cells])
     for i in query.tolist():
         mine = np.frombuffer(rows["cells"][i], np.uint32)
-        same = right == np.frombuffer(rows["bytes"][i], np.uint8)
+        same = right == np.frombuffer(rows["bytes"][i], np.uint8, SIZE)
         alike = np.minimum(sizes, len(mine)) >= SIMILARITY * np.maximum(sizes, len(mine))
         some = np.flatnonzero((same.mean(axis=1) >= AGREE) & (roots != rows["root"][i]) & alike)
-        some = some[same[some].reshape(len(some), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+        shared = bands[some, : band + 1] == np.frombuffer(rows["bytes"][i], np.uint64, band + 1, SIZE)
+        some = some[shared[:, band] & ~shared[:, :band].any(axis=1)]
         if len(some):
             flat = np.concatenate([cells[j] for j in some])
             at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
@@ -258,7 +263,8 @@ def _leftover(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs: Data
     ids = small_side(cut_lineage(rest.select("id").distinct()))
     cells = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").where("text is not null")
     cells = cells.select("id", F.pandas_udf(_cut, "binary")(F.col("text")).alias("cells"))
-    rest = rest.join(cut_lineage(nodes.select("id", "bytes").join(cells, "id")), "id")
+    hashes = F.unhex(F.array_join(F.transform("bands", lambda band: F.lpad(F.hex(band), 16, "0")), ""))
+    rest = rest.join(cut_lineage(nodes.select("id", F.concat("bytes", hashes).alias("bytes")).join(cells, "id")), "id")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     every = F.sequence(F.lit(0), blocks - 1)

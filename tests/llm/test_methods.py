@@ -232,6 +232,22 @@ def test_leftover_blocks(monkeypatch):
     assert cut == whole == {(i, j) for i, j in itertools.combinations(range(40), 2) if first(i, j) == 0}
 
 
+def test_leftover_bytes_that_agree_by_chance():
+    """A pair is compared in a band that it shares, though in an earlier one all bytes agree by chance."""
+    import pandas as pd
+
+    random.seed(11)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join([f"x{i}" if k == i else w for k, w in enumerate(base)]) for i in range(40)]
+    signs = bag_minhash.signature_rows(texts)
+    first = lambda i, j: next(b for b in range(bag_minhash.BANDS) if signs[i][0][b] == signs[j][0][b])
+    i, j = next((i, j) for i, j in itertools.combinations(range(40), 2) if first(i, j) > 0)
+    k, rows = first(i, j), bag_minhash.ROWS
+    marks = {i: signs[i][1], j: signs[i][1][:rows] + signs[j][1][rows:]}
+    frame = pd.DataFrame([(5, 0, 0, True, True, k, n, n, marks[n], bag_minhash.cells_of(texts[n])) for n in (i, j)], columns=["band", "block", "query_block", "is_query", "is_node", "k", "id", "root", "bytes", "cells"])
+    assert {(i, j)} == set(map(tuple, pd.concat(bag_minhash._close_pairs(iter([frame]))).to_numpy().tolist()))
+
+
 def test_mix_reaches_targets(spark):
     rows = queries.op10_source_mix(spark, MIDDLE).collect()
     taken, target, largest = collections.Counter(), {}, collections.Counter()
