@@ -54,8 +54,12 @@ def drop_boilerplate(pages: DataFrame, page: str = "doc_id", host: str = "source
     flagged = cut_lineage(boilerplate_lines(lines, pages, host, ratio, min_pages)).alias("f")
     hits = lines.join(flagged, lines["host"].eqNullSafe(F.col("f.host")) & (lines["line"] == F.col("f.line")))
     hits = hits.groupBy(lines["page"], lines["host"]).agg(F.collect_set(lines["line"]).alias("_drop")).alias("h")
-    packed = pages.select(F.struct("*").alias("row"), F.split(F.col(text), "\n").alias("_lines"), F.col(page).alias("page"), F.col(host).alias("host"))
-    both = packed.join(hits, packed["page"].eqNullSafe(F.col("h.page")) & packed["host"].eqNullSafe(F.col("h.host")), "left").select("row", "_lines", "_drop")
+    packed = pages.select(F.struct("*").alias("row"), F.col(page).alias("page"), F.col(host).alias("host"))
+    # hits have a row for each key at most and are the smaller side: hashed, so that texts needn't be sorted
+    hits = hits.hint("shuffle_hash")
+    both = packed.join(hits, packed["page"].eqNullSafe(F.col("h.page")) & packed["host"].eqNullSafe(F.col("h.host")), "left")
+    # texts are split behind the join, so that they move once
+    both = both.select("row", F.split(F.col("row")[text], "\n").alias("_lines"), "_drop")
     filled = lambda line: _trimmed(line) != ""
     kept = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda line: ~F.array_contains(F.col("_drop"), _hashes(_trimmed(line)))))
     both = both.select("row", "_lines", kept.alias("_kept"))
