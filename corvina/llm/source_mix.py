@@ -26,6 +26,8 @@ CAP = 2.0
 SEED = "mix-1"
 #: Rank bins of a source; the last bin taken is ranked document by document.
 BINS = 65536
+#: Bins that are summed to one before the last stride taken is looked at bin by bin.
+STRIDE = 256
 
 
 def _uniform(doc_id: Column, seed: str) -> Column:
@@ -80,6 +82,12 @@ def _copies(theta: Column, bits: Column, cap: float) -> Column:
     return F.coalesce(F.least(F.lit(cap), theta * bits), F.lit(cap))
 
 
+def _upto(rows: DataFrame) -> DataFrame:
+    """``rows`` with the words up to each bin of its source, from those ``before`` the first one."""
+    window = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("upto", F.col("before") + F.sum("words").over(window))
+
+
 def plan_mix(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, seed=SEED, bins=BINS) -> DataFrame:
     """A row per source: source, source_size, target, theta (expected copies by bit of size; null: the
     cap) and the last place of the ranking that is taken (cut_rank, cut_id, cut_size; null: none).
@@ -100,9 +108,15 @@ def plan_mix(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, seed=SEED,
     plan = _by_source(targets, sure, "left").withColumn("rest", F.col("target") - F.coalesce("sure", F.lit(0))).drop("sure")
     plan = cut_lineage(plan)
     drawn = _ranked(sizes, plan, cap, seed).where("rank is not null").withColumn("bin", F.floor(F.col("rank") * bins))
-    ends = drawn.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"), F.max(F.struct("rank", "doc_id", "size")).alias("last"))
-    ends = ends.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    inside = ends.where("upto <= rest").groupBy("source").agg(F.max("last").alias("cut"))
+    ends = cut_lineage(drawn.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"), F.max(F.struct("rank", "doc_id", "size")).alias("last")))
+    # bins are summed by strides first, so that no window is longer than a stride or their number
+    strides = ends.groupBy("source", F.floor(F.col("bin") / STRIDE).alias("bin")).agg(F.sum("words").alias("words"), F.max("rest").alias("rest"), F.max("last").alias("last"))
+    strides = cut_lineage(_upto(strides.withColumn("before", F.lit(0))))
+    halved = strides.where("upto > rest").groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("edge"))
+    halved = halved.select("source", F.col("edge.bin").alias("_stride"), "edge.before")
+    ends = _upto(_by_source(ends, small_side(cut_lineage(halved))).where(F.floor(F.col("bin") / STRIDE) == F.col("_stride")).drop("_stride"))
+    inside = strides.select("source", "upto", "rest", "last").unionByName(ends.select("source", "upto", "rest", "last"))
+    inside = inside.where("upto <= rest").groupBy("source").agg(F.max("last").alias("cut"))
     edge = ends.where("upto > rest").groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("edge"))
     edge = small_side(cut_lineage(edge.select("source", "edge.*"))).withColumnRenamed("bin", "_bin")
     row = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
