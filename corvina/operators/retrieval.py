@@ -1,7 +1,7 @@
 """Retrieval: vector, n-gram and lexical search, re-ranking, and the cascade over them.
 
-A search takes a stated set of queries against all entries. Query sets are small by contract (a user
-asks a handful of questions at once) and are broadcast only where `small` has counted them.
+A search takes a stated set of queries against all entries. Vectors meet in pairs of blocks, n-grams and
+keywords by equi-joins on them; neither needs the query set to be small.
 """
 
 from __future__ import annotations
@@ -16,14 +16,12 @@ from pyspark.sql import functions as F
 from corvina.functions import text as T
 from corvina.functions import vectors as V
 
-#: Queries up to which a query set is broadcast to the entries; more go in blocks.
-QUERIES = 4096
-
-
-def small(queries: DataFrame) -> DataFrame:
-    if (n := queries.limit(QUERIES + 1).count()) > QUERIES:
-        raise ValueError(f"more than {QUERIES} queries ({n}); search in blocks of that size")
-    return F.broadcast(queries)
+#: Rows of a block of vectors; two blocks are scored at once.
+BLOCK = 1024
+#: Query blocks up to which all of them are broadcast to the entries' blocks.
+BROADCAST_BLOCKS = 16
+#: Bytes of an Arrow batch of pairs of blocks.
+BATCH_BYTES = 64 << 20
 
 
 def top_k(scored: DataFrame, k: int, by: list[str], score: str = "sim", tie: str = "id") -> DataFrame:
@@ -33,15 +31,63 @@ def top_k(scored: DataFrame, k: int, by: list[str], score: str = "sim", tie: str
     return scored.withColumn("rn", place).where(F.col("rn") <= k)
 
 
-def vector_scores(entries: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
-    """qid, the entry's columns and sim, where the cosine is at least the threshold. Vectors are made
-    unit length once each, so that a pair costs one dot product."""
-    unit = lambda df: df.where(V.usable(V.doubles(F.col("embedding")))).withColumn("embedding", V.doubles(F.col("embedding")))
-    q = small(unit(queries).select("qid", F.col("embedding").alias("q"), V.norm(F.col("embedding")).alias("q_norm")))
-    e = unit(entries).withColumn("e_norm", V.norm(F.col("embedding")))
-    sim = V.dot(F.col("embedding"), F.col("q")) / (F.col("e_norm") * F.col("q_norm"))
-    pairs = e.crossJoin(q).withColumn("sim", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sim)))
-    return pairs.where(F.col("sim") >= threshold).drop("q", "q_norm", "e_norm", "embedding")
+def _blocks(rows: DataFrame, names: tuple[str, str, str]) -> tuple[DataFrame, int]:
+    """Rows with a usable vector in blocks of one dimension, about BLOCK in each: the dimension, the rows
+    without their vectors, and all vectors one after another. And the number of blocks to expect."""
+    dim, packed, flat = names
+    rows = rows.withColumn("embedding", V.doubles(F.col("embedding"))).where(V.usable(F.col("embedding")))
+    parts = max(1, -(-rows.count() // BLOCK))
+    others = F.struct(*[c for c in rows.columns if c != "embedding"])
+    placed = rows.select(F.size("embedding").alias(dim), others.alias("row"), "embedding", F.pmod(F.xxhash64("embedding"), F.lit(parts)).alias("part"))
+    # a block of many equal vectors is cut by the rows' own hashes
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("part", F.hash("row")), F.lit(parts)))
+    both = placed.groupBy(dim, "part").agg(F.collect_list(F.struct("row", "embedding")).alias("b"))
+    return both.select(dim, F.col("b.row").alias(packed), F.flatten("b.embedding").alias(flat)), parts
+
+
+def _cosines(threshold: float, most: int | None):
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for e_dim, left, q_dim, right in zip(*batch, strict=True):
+                if e_dim != q_dim:
+                    found.append((np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)))
+                    continue
+                e, q = left.reshape(-1, e_dim), right.reshape(-1, q_dim)
+                # components are added in order, so equal vectors score alike wherever they stand
+                sim, e_norm, q_norm = np.zeros((len(e), len(q))), np.zeros(len(e)), np.zeros(len(q))
+                for d in range(e_dim):
+                    sim += e[:, d, None] * q[None, :, d]
+                    e_norm += e[:, d] * e[:, d]
+                    q_norm += q[:, d] * q[:, d]
+                sim = np.clip(sim / (np.sqrt(e_norm)[:, None] * np.sqrt(q_norm)[None, :]), -1, 1)
+                keep = sim >= threshold
+                if most is not None and len(e) > most:
+                    keep &= sim >= np.partition(sim, len(e) - most, axis=0)[len(e) - most]
+                i, j = np.nonzero(keep)
+                found.append((i.astype(np.int32), j.astype(np.int32), sim[i, j]))
+            yield pd.DataFrame(found, columns=["i", "j", "sim"])
+
+    return score
+
+
+def vector_scores(entries: DataFrame, queries: DataFrame, threshold: float, most: int | None = None) -> DataFrame:
+    """qid, the entry's columns and sim, where the cosine is at least the threshold. ``queries``: qid,
+    embedding. With ``most`` given, only rows that can be among a query's ``most`` best are passed on.
+
+    Entries and queries are packed into blocks, and each pair of blocks is scored in numpy, in double
+    precision: the work is all pairs of the stated queries, the rows that leave a task are hits.
+    Vectors that aren't usable, or of another dimension than the query's, match nothing.
+    """
+    session = entries.sparkSession
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    e, _ = _blocks(entries, ("e_dim", "e_rows", "e_flat"))
+    q, parts = _blocks(queries.select("qid", "embedding"), ("q_dim", "q_rows", "q_flat"))
+    pairs = e.crossJoin(F.broadcast(q) if parts <= BROADCAST_BLOCKS else q)
+    hits = F.pandas_udf(_cosines(threshold, most), "i array<int>, j array<int>, sim array<double>")("e_dim", "e_flat", "q_dim", "q_flat")
+    pairs = pairs.select("e_rows", "q_rows", hits.alias("h"))
+    named = F.transform(F.arrays_zip("h.i", "h.j", "h.sim"), lambda h: F.struct(F.get("q_rows", h["j"])["qid"].alias("qid"), F.get("e_rows", h["i"]).alias("row"), h["sim"].alias("sim")))
+    return pairs.select(F.explode(named).alias("p")).select("p.qid", "p.row.*", "p.sim")
 
 
 def filtered(scored: DataFrame, keep: Column, k: int, over_fetch: int = 5) -> DataFrame:
@@ -77,15 +123,27 @@ def ngram_matches(entries: DataFrame, queries: DataFrame, threshold: float) -> D
 
 
 def lexical_scores(entries: DataFrame, queries: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """qid, id, sim: 0.3 keyword share + 0.4 question overlap + 0.2 overlap with synonyms, over the
-    entries' question and keywords, plus 0.1 character ratio by ``sequence_ratio`` where that can
-    still decide: pairs that can't reach the threshold with a full ratio are left out before it."""
-    q = small(queries.select("qid", F.lower(T.matcher_form(F.col("text"))).alias("q_text")).withColumn("q_words", T.matcher_keywords(F.col("q_text"))).withColumn("q_wide", T.expand_synonyms(F.col("q_words"))))
-    e = entries.select("id", F.col("question").alias("e_text"), T.matcher_keywords(F.col("question")).alias("e_words"), T.matcher_keywords(F.col("keywords")).alias("k_words"))
-    e = e.withColumn("all_words", F.array_union("e_words", "k_words")).withColumn("e_wide", T.expand_synonyms(F.col("all_words")))
-    share = F.when((F.size("k_words") == 0) | (F.size("q_wide") == 0), 0.0).otherwise(F.size(F.array_intersect("q_wide", "all_words")) / F.size("q_wide"))
-    plain = 0.3 * share + 0.4 * T.jaccard(F.col("q_words"), F.col("e_words")) + 0.2 * T.jaccard(F.col("q_wide"), F.col("e_wide"))
-    pairs = e.crossJoin(q).withColumn("plain", plain).where(F.col("plain") >= threshold - 0.1)
+    """qid, id, plain, sim: 0.3 keyword share + 0.4 question overlap + 0.2 overlap with synonyms, over
+    the entries' question and keywords, plus 0.1 character ratio by ``sequence_ratio`` where that can
+    still decide: pairs that can't reach the threshold with a full ratio are left out before it.
+
+    A score without the ratio needs a common word, so pairs come from an equi-join on words; sums over
+    a pair's common words give all three overlaps, without either side's word lists.
+    """
+    q = queries.select("qid", F.lower(T.matcher_form(F.col("text"))).alias("q_text")).withColumn("own", T.matcher_keywords(F.col("q_text"))).withColumn("wide", T.expand_synonyms(F.col("own")))
+    e = entries.select("id", F.col("question").alias("e_text"), T.matcher_keywords(F.col("question")).alias("own"), T.matcher_keywords(F.col("keywords")).alias("keys"))
+    e = e.withColumn("every", F.array_union("own", "keys")).withColumn("wide", T.expand_synonyms(F.col("every")))
+    has = lambda words: F.array_contains(words, F.col("word")).cast("int")
+    q_words = q.select("qid", F.size("own").alias("nq_own"), F.size("wide").alias("nq_wide"), "own", F.explode("wide").alias("word")).select("qid", "nq_own", "nq_wide", "word", has("own").alias("q_own"))
+    e_words = e.select("id", F.size("own").alias("ne_own"), F.size("wide").alias("ne_wide"), F.size("keys").alias("ne_keys"), "own", "every", F.explode("wide").alias("word"))
+    e_words = e_words.select("id", "ne_own", "ne_wide", "ne_keys", "word", has("own").alias("e_own"), has("every").alias("e_every"))
+    sizes = ["nq_own", "nq_wide", "ne_own", "ne_wide", "ne_keys"]
+    common = q_words.join(e_words, "word").groupBy("qid", "id", *sizes).agg(F.sum("e_every").alias("every"), F.sum(F.col("q_own") * F.col("e_own")).alias("own"), F.count("*").alias("wide"))
+    share = F.when(F.col("ne_keys") == 0, 0.0).otherwise(F.col("every") / F.col("nq_wide"))
+    overlap = lambda both, a, b: F.when(F.col(a) + F.col(b) == 0, 0.0).otherwise(F.col(both) / (F.col(a) + F.col(b) - F.col(both)))
+    plain = 0.3 * share + 0.4 * overlap("own", "nq_own", "ne_own") + 0.2 * overlap("wide", "nq_wide", "ne_wide")
+    pairs = common.withColumn("plain", plain).where(F.col("plain") >= threshold - 0.1).select("qid", "id", "plain")
+    pairs = pairs.join(q.select("qid", "q_text"), "qid").join(e.select("id", "e_text"), "id")
     ratio = sequence_ratio(F.col("q_text"), F.lower("e_text"))
     return pairs.withColumn("sim", F.col("plain") + 0.1 * ratio).where(F.col("sim") >= threshold).select("qid", "id", "plain", "sim")
 

@@ -107,9 +107,9 @@ def latest_status(spark: SparkSession, d: str) -> DataFrame:
     return query_log(spark, d).groupBy(F.col("intent").alias("component")).agg(F.max_by("cents", F.struct("ts", "query_id")).alias("latest"), F.max("k").alias("slowest"), F.count("*").alias("n"))
 
 
-@register("a42_smoothed", f"WITH {LOG_SQL}, l AS (SELECT user_id, list(k ORDER BY query_id) AS v FROM log WHERE user_id < 40 GROUP BY user_id) SELECT user_id, list_reduce(list_transform(v, lambda x: CAST(x AS DOUBLE)), lambda s, x: CASE WHEN s = 0 THEN x ELSE s * (1 - CAST(0.1 AS DOUBLE)) + x * CAST(0.1 AS DOUBLE) END) AS ema FROM l")
+@register("a42_smoothed", f"WITH {LOG_SQL}, l AS (SELECT user_id, list(k ORDER BY query_id) AS v FROM log GROUP BY user_id) SELECT user_id, list_reduce(list_transform(v, lambda x: CAST(x AS DOUBLE)), lambda s, x: CASE WHEN s = 0 THEN x ELSE s * (1 - CAST(0.1 AS DOUBLE)) + x * CAST(0.1 AS DOUBLE) END) AS ema FROM l")
 def smoothed(spark: SparkSession, d: str) -> DataFrame:
-    return A.smoothed(query_log(spark, d).where("user_id < 40"), ["user_id"], "query_id", "k")
+    return A.smoothed(query_log(spark, d), ["user_id"], "query_id", "k")
 
 
 @register("w06_moving_mean", f"""WITH {LOG_SQL} SELECT query_id, count(*) OVER w AS n_window, CAST(sum(cents) OVER w AS BIGINT) AS sum_window FROM log WINDOW w AS (PARTITION BY intent ORDER BY ts, query_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")

@@ -14,18 +14,21 @@ from corvina.session import table
 
 #: The vectors are nearly independent: a threshold of 0.2 fills the result lists.
 THRESHOLD = 0.2
+#: The stated queries: rows whose id is divisible by it, against all rows.
+EVERY = 50
 
 _SCORES = f"""v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-scored AS (SELECT q.id AS qid, v.id, v.label, list_cosine_similarity(v.e, q.e) AS sim FROM v, v AS q WHERE q.id < 50 AND list_cosine_similarity(v.e, q.e) >= {THRESHOLD})"""
+scored AS (SELECT q.id AS qid, v.id, v.label, list_cosine_similarity(v.e, q.e) AS sim FROM v, v AS q WHERE q.id % {EVERY} = 0 AND list_cosine_similarity(v.e, q.e) >= {THRESHOLD})"""
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
 
 
-def _scored(spark: SparkSession, d: str, n: int = 50) -> DataFrame:
+def _scored(spark: SparkSession, d: str, most: int | None, keep=None) -> DataFrame:
     v = _vectors(spark, d)
-    return R.vector_scores(v, v.where(F.col("id") < n).select(F.col("id").alias("qid"), "embedding"), THRESHOLD)
+    queries = v.where(F.col("id") % EVERY == 0).select(F.col("id").alias("qid"), "embedding")
+    return R.vector_scores(v if keep is None else v.where(keep), queries, THRESHOLD, most)
 
 
 def _top(rows: str, k: int, score: str = "sim") -> str:
@@ -34,40 +37,42 @@ def _top(rows: str, k: int, score: str = "sim") -> str:
 
 @register("j01_vector_topk", f"WITH {_SCORES}, t AS ({_top('scored', 10)}) SELECT qid, id, label, CAST(rn AS INT) AS rn FROM t")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_k(_scored(spark, d), 10, ["qid"]).select("qid", "id", "label", "rn")
+    return R.top_k(_scored(spark, d, 10), 10, ["qid"]).select("qid", "id", "label", "rn")
 
 
 @register("j02_single_vector", f"WITH {_SCORES}, t AS ({_top('scored', 20)}) SELECT id, label FROM t WHERE qid = 0")
 def single_vector(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d, 1).orderBy(F.desc("sim"), "id").limit(20).select("id", "label")
+    v = _vectors(spark, d)
+    scored = R.vector_scores(v, v.where("id = 0").select(F.col("id").alias("qid"), "embedding"), THRESHOLD, 20)
+    return scored.orderBy(F.desc("sim"), "id").limit(20).select("id", "label")
 
 
 @register("o09_filtered", f"WITH {_SCORES}, c AS ({_top('scored', 25)}), t AS ({_top('(SELECT qid, id, label, sim FROM c WHERE label IN (1, 3, 5))', 5)}) SELECT qid, id, CAST(rn AS INT) AS rn FROM t")
 def filtered(spark: SparkSession, d: str) -> DataFrame:
-    return R.filtered(_scored(spark, d), F.col("label").isin(1, 3, 5), 5).select("qid", "id", "rn")
+    return R.filtered(_scored(spark, d, 25), F.col("label").isin(1, 3, 5), 5).select("qid", "id", "rn")
 
 
 @register("f09_prefiltered", f"WITH {_SCORES}, t AS ({_top('(SELECT * FROM scored WHERE label IN (1, 3, 5))', 5)}) SELECT qid, id, CAST(rn AS INT) AS rn FROM t")
 def prefiltered(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_k(_scored(spark, d).where(F.col("label").isin(1, 3, 5)), 5, ["qid"]).select("qid", "id", "rn")
+    return R.top_k(_scored(spark, d, 5, F.col("label").isin(1, 3, 5)), 5, ["qid"]).select("qid", "id", "rn")
 
 
 @register("o06_boosted", f"""WITH {_SCORES}, c AS ({_top('scored', 20)}), b AS (SELECT qid, id, sim * (CASE WHEN id % 400 < 30 THEN CAST(1.1 AS DOUBLE) ELSE 1 END) * (CASE WHEN label > 5 THEN CAST(1.05 AS DOUBLE) ELSE 1 END) AS boosted FROM c),
 t AS ({_top('b', 10, 'boosted')}) SELECT qid, id, CAST(rn AS INT) AS rn FROM t""")
 def boosted(spark: SparkSession, d: str) -> DataFrame:
-    return R.boosted(_scored(spark, d), F.col("id") % 400 < 30, F.col("label") > 5, 10).select("qid", "id", "rn")
+    return R.boosted(_scored(spark, d, 20), F.col("id") % 400 < 30, F.col("label") > 5, 10).select("qid", "id", "rn")
 
 
 @register("o07_relevance", f"""WITH {_SCORES}, s AS (SELECT qid, id, CAST(0.7 AS DOUBLE) * sim + CAST(0.2 AS DOUBLE) * (label / CAST(10 AS DOUBLE)) + CAST(0.1 AS DOUBLE) * (CASE WHEN id % 400 <= 30 THEN 1 WHEN id % 400 <= 90 THEN CAST(0.8 AS DOUBLE) WHEN id % 400 <= 180 THEN CAST(0.6 AS DOUBLE) ELSE CAST(0.4 AS DOUBLE) END) AS relevance FROM scored),
 t AS ({_top('s', 10, 'relevance')}) SELECT qid, id, CAST(rn AS INT) AS rn FROM t""")
 def relevance(spark: SparkSession, d: str) -> DataFrame:
-    scored = _scored(spark, d).withColumn("relevance", R.relevance(F.col("sim"), F.col("label") / 10.0, F.col("id") % 400))
+    scored = _scored(spark, d, None).withColumn("relevance", R.relevance(F.col("sim"), F.col("label") / 10.0, F.col("id") % 400))
     return R.top_k(scored, 10, ["qid"], "relevance").select("qid", "id", "rn")
 
 
 @register("j17_diverse")
 def diverse(spark: SparkSession, d: str) -> DataFrame:
-    near = R.top_k(_scored(spark, d), 50, ["qid"]).select("qid", "id", "sim")
+    near = R.top_k(_scored(spark, d, 50), 50, ["qid"]).select("qid", "id", "sim")
     return R.diverse(near.join(_vectors(spark, d).select("id", "embedding"), "id"), 0.3, 5).select("qid", "id", "rn")
 
 
@@ -100,30 +105,29 @@ s2 AS (SELECT qid, id FROM ({_top('(SELECT * FROM scored WHERE label = 2)', 5)})
 u AS (SELECT qid, id, 1 AS stage FROM s1 UNION ALL SELECT qid, id, 2 FROM s2 UNION ALL SELECT qid, id, 3 FROM s3) SELECT qid, id, stage FROM u QUALIFY stage = min(stage) OVER (PARTITION BY qid)""")
 def cascade(spark: SparkSession, d: str) -> DataFrame:
     exact = R.top_k(_matches(spark, d, 0.9).withColumnRenamed("share", "sim"), 3, ["qid"])
-    scored = _scored(spark, d)
-    return R.cascade([exact, R.top_k(scored.where("label = 2"), 5, ["qid"]), R.top_k(scored, 5, ["qid"])]).select("qid", "id", "stage")
+    return R.cascade([exact, R.top_k(_scored(spark, d, 5, F.col("label") == 2), 5, ["qid"]), R.top_k(_scored(spark, d, 5), 5, ["qid"])]).select("qid", "id", "stage")
 
 
 @register("j04_lexical")
 def lexical(spark: SparkSession, d: str) -> DataFrame:
     rows = entries(spark, d).withColumn("keywords", F.array_join(T.entry_keywords(F.col("question")), " "))
-    queries = rows.where("id % 97 = 0").select(F.col("id").alias("qid"), F.col("question").alias("text"))
+    queries = rows.where(F.col("id") % EVERY == 0).select(F.col("id").alias("qid"), F.col("question").alias("text"))
     return R.top_k(R.lexical_scores(rows, queries), 5, ["qid"]).select("qid", "id", "rn")
 
 
-@register("j16_overlap", f"""WITH {_SCORES}, t AS ({_top('scored', 5)}), w AS (SELECT qid, id, list_distinct(list_transform(string_split_regex(trim(lower(substr(text, 1, 400))), '\\s+'), lambda x: x)) AS words FROM t JOIN documents ON doc_id = id),
+@register("j16_overlap", f"""WITH {_SCORES}, t AS ({_top('scored', 5)}), w AS (SELECT qid, id, list_distinct(list_transform(string_split_regex(trim(lower(text)), '\\s+'), lambda x: x)) AS words FROM t JOIN documents ON doc_id = id),
 p AS (SELECT a.qid, len(list_intersect(a.words, b.words)) / CAST(len(list_distinct(list_concat(a.words, b.words))) AS DOUBLE) AS j FROM w a JOIN w b ON a.qid = b.qid AND a.id < b.id)
 SELECT qid, count(*) AS n_pairs, CASE WHEN avg(j) > 0.7 THEN 'high' WHEN avg(j) > 0.4 THEN 'medium' ELSE 'low' END AS overlap FROM p GROUP BY qid""")
 def overlap(spark: SparkSession, d: str) -> DataFrame:
-    words = F.array_distinct(T.words(F.lower(F.substring("text", 1, 400))))
+    words = F.array_distinct(T.words(F.lower("text")))
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), words.alias("words"))
-    near = R.top_k(_scored(spark, d), 5, ["qid"]).select("qid", "id").join(texts, "id")
+    near = R.top_k(_scored(spark, d, 5), 5, ["qid"]).select("qid", "id").join(texts, "id")
     return R.overlap_class(near).select("qid", "n_pairs", "overlap")
 
 
-@register("q03_answers", f"WITH {_SCORES}, t AS ({_top('scored', 3)}) SELECT qid, string_agg(substr(text, 1, 80), chr(10) || chr(10) ORDER BY rn) AS answer, CASE WHEN count(*) > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS confidence FROM t JOIN documents ON doc_id = id GROUP BY qid")
+@register("q03_answers", f"WITH {_SCORES}, t AS ({_top('scored', 3)}) SELECT qid, string_agg(text, chr(10) || chr(10) ORDER BY rn) AS answer, CASE WHEN count(*) > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS confidence FROM t JOIN documents ON doc_id = id GROUP BY qid")
 def answers(spark: SparkSession, d: str) -> DataFrame:
-    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("answer"))
-    near = R.top_k(_scored(spark, d), 3, ["qid"]).join(texts, "id")
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("answer"))
+    near = R.top_k(_scored(spark, d, 3), 3, ["qid"]).join(texts, "id")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "answer"))), lambda x: x["answer"]), "\n\n")
     return near.groupBy("qid").agg(joined.alias("answer"), F.lit(1.0).alias("confidence"))
