@@ -2,8 +2,13 @@
 
 How hard a value is to guess is the cheapest way to cut it into words, dates, repeats, keyboard
 walks and brute-force spans (decimal logarithm of the guesses), found by dynamic programming over
-its ends. A value that names a credential and costs at least MIN_GUESSES is reported with the kind
-``guess`` where no pattern has it yet; words and walks used as placeholders cost less and aren't.
+its places: every segment of every kind is offered wherever it fits. A value that names a credential and
+costs at least MIN_GUESSES is reported with the kind ``guess`` where no pattern has it yet; words and
+walks used as placeholders cost less and aren't.
+
+A word costs the logarithm of its rank, among frequent stems of passwords or among the corpus's own
+words, which ``word_ranks`` counts over all documents: an everyday word in a credential's place is no
+secret, however long it is.
 """
 
 from __future__ import annotations
@@ -23,11 +28,14 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]+")
 ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 12, 18, 16
 HINTS = (b"passw", b"secret", b"token", b"api")
+#: Decimal logarithm of the guesses from which a value counts as a secret, the largest alphabet, and the
+#: length that the two imply: no shorter value can cost so much.
+MIN_GUESSES, ALPHABET = 12.0, 95
+SHORTEST = math.ceil(MIN_GUESSES / math.log10(ALPHABET))
+NAMES = "pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|auth)[_-]?key|credentials?"
 #: What names a credential, and the value that follows it.
-CONTEXT = re.compile(rb"""(pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|auth)[_-]?key|credentials?)["']?\x20*(?::=|=>|[:=])\x20*["']?([^\x00-\x20"'<>,;]{8,})""", re.IGNORECASE)
+CONTEXT = re.compile(rf"""({NAMES})["']?\x20*(?::=|=>|[:=])\x20*["']?([^\x00-\x20"'<>,;]{{{SHORTEST},}})""".encode(), re.IGNORECASE)
 CONTEXT_HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential")
-#: Decimal logarithm of the guesses from which a value counts as a secret.
-MIN_GUESSES = 12.0
 #: Each further segment multiplies the guesses: an attacker doesn't know the cut.
 SEGMENT = 0.6
 
@@ -37,13 +45,32 @@ default root master guest hello love monkey dragon letmein access server databas
 local host your my the here insert value placeholder dummy none null true false string name mail
 company summer winter spring autumn football baseball sunshine princess shadow super public private
 client service account api app web data""".split()
-RANK = {word: math.log10(i + 2) for i, word in enumerate(WORDS)}
-LONGEST_WORD = max(map(len, WORDS))
+#: Words of the corpus that are ranked, the most frequent ones, the fewest documents that each is in, and
+#: its length.
+RANKED, IN_DOCUMENTS, LETTERS = 30_000, 3, (3, 24)
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 PLACE = {key: (x, y) for y, row in enumerate(ROWS) for x, key in enumerate(row)}
 LEET = str.maketrans("4301$5@7", "aeolssat")
-DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
-REPEAT = re.compile(r"(.{1,4}?)\1{2,}", re.DOTALL)
+DATES = [
+    (re.compile(r"(?:19|20)\d\d"), math.log10(120)),
+    (re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])"), math.log10(120 * 366)),
+    (re.compile(r"(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d"), math.log10(120 * 366)),
+]
+#: Characters of a repeat's unit at most, and of a part of a longer repeat or walk (which is offered whole as well).
+UNIT, SPAN = 4, 64
+
+
+class Ranks(dict):
+    """What each word costs, from the corpus's words in their order: the stems' rank if it is better."""
+
+    def __init__(self, words: list[str] = ()):
+        super().__init__((word, math.log10(i + 2)) for i, word in enumerate(words))
+        for i, word in enumerate(WORDS):
+            self[word] = min(self.get(word, math.inf), math.log10(i + 2))
+        self.longest = max(map(len, self))
+
+
+STEMS = Ranks()
 
 
 def _alphabet(value: str) -> float:
@@ -51,50 +78,68 @@ def _alphabet(value: str) -> float:
     return math.log10(max(10, size + 33 * any(not c.isalnum() for c in value)))
 
 
-def _walks(value: str) -> Iterator[tuple[int, int]]:
-    """Maximal runs of three or more keys, each next to the one before on the keyboard."""
-    start = 0
-    for i in range(1, len(value) + 1):
-        a, b = PLACE.get(value[i - 1]), PLACE.get(value[i]) if i < len(value) else None
-        if a is None or b is None or a == b or max(abs(a[0] - b[0]), abs(a[1] - b[1])) > 1:
-            if i - start >= 3:
-                yield start, i
-            start = i
+def _reach(value: str) -> list[int]:
+    """For each place, where the run of keys ends that starts there, each next to the one before."""
+    out = list(range(1, len(value) + 1))
+    for i in range(len(value) - 2, -1, -1):
+        a, b = PLACE.get(value[i]), PLACE.get(value[i + 1])
+        if a is not None and b is not None and a != b and max(abs(a[0] - b[0]), abs(a[1] - b[1])) <= 1:
+            out[i] = out[i + 1]
+    return out
+
+
+def _ends(first: int, last: int, step: int, start: int) -> Iterator[int]:
+    """first, first + step, ... within SPAN of the start, and the last one."""
+    yield from range(first, min(last, start + SPAN) + 1, step)
+    if last > start + SPAN:
+        yield last
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, rank: Ranks = STEMS) -> float:
     """Decimal logarithm of the guesses that the cheapest segmentation needs; 0 for no characters."""
-    per_char, lower = _alphabet(value), value.lower()
+    n, per_char, lower = len(value), _alphabet(value), value.lower()
+    lower = lower if len(lower) == n else value
     plain = lower.translate(LEET) if lower.isascii() else lower
-    plain = plain if len(plain) == len(value) else value
-    found: dict[int, list[tuple[int, float]]] = {}
-    for m in DATE.finditer(value):
-        found.setdefault(m.end(), []).append((m.start(), math.log10(120) if m.end() - m.start() == 4 else math.log10(120 * 366)))
-    for m in REPEAT.finditer(value):
-        found.setdefault(m.end(), []).append((m.start(), len(m[1]) * per_char + math.log10((m.end() - m.start()) // len(m[1]))))
-    for i, c in enumerate(value):
-        if c in "_-.":
-            found.setdefault(i + 1, []).append((i, math.log10(3)))
-    for start, end in _walks(lower if len(lower) == len(value) else value):
-        for a in range(start, end - 2):
-            for b in range(a + 3, end + 1):
-                found.setdefault(b, []).append((a, math.log10(len(PLACE) * (b - a)) + 0.3 * (b - a)))
-    best = [0.0] * (len(value) + 1)
-    brute = 0.0  # the cheapest cost before an open brute-force span, less what its start has cost
-    for end in range(1, len(value) + 1):
-        brute = min(brute, best[end - 1] + (SEGMENT if end > 1 else 0) - (end - 1) * per_char)
-        cost = brute + end * per_char
-        for start, more in found.get(end, ()):
-            cost = min(cost, best[start] + more + (SEGMENT if start else 0))
-        for start in range(max(0, end - LONGEST_WORD), end - 1):
-            if (rank := RANK.get(plain[start:end])) is not None:
-                changed = sum(a != b for a, b in zip(plain[start:end], value[start:end], strict=True))
-                cost = min(cost, best[start] + rank + 0.3 * changed + (SEGMENT if start else 0))
-        best[end] = cost
-    return best[-1]
-
-
-def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int]], float]:
+    walks = _reach(lower)
+    periods = [[0] * (n + 1) for _ in range(UNIT + 1)]  # how far from each place the value goes on as `unit` places later
+    for unit in range(1, UNIT + 1):
+        for i in range(n - unit - 1, -1, -1):
+            if value[i] == value[i + unit]:
+                periods[unit][i] = periods[unit][i + 1] + 1
+    best = [math.inf] * (n + 1)
+    best[0] = 0.0
+    brute = math.inf  # the cheapest cost before an open brute-force span, less what its start has cost
+    for start in range(n):
+        if start:
+            best[start] = min(best[start], brute + start * per_char)
+        base = best[start] + (SEGMENT if start else 0)
+        brute = min(brute, base - start * per_char)
+
+        def offer(end: int, cost: float, base: float = base) -> None:
+            if base + cost < best[end]:
+                best[end] = base + cost
+
+        for pattern, cost in DATES:
+            if m := pattern.match(value, start):
+                offer(m.end(), cost)
+        for unit in range(1, UNIT + 1):
+            if (times := (periods[unit][start] + unit) // unit) >= 3:
+                for end in _ends(start + 3 * unit, start + times * unit, unit, start):
+                    offer(end, unit * per_char + math.log10((end - start) // unit))
+        if value[start] in "_-.":
+            offer(start + 1, math.log10(3))
+        if walks[start] - start >= 3:
+            for end in _ends(start + 3, walks[start], 1, start):
+                offer(end, math.log10(len(PLACE) * (end - start)) + 0.3 * (end - start))
+        for end in range(start + 2, min(n, start + rank.longest) + 1):
+            if (cost := rank.get(plain[start:end])) is not None:
+                offer(end, cost + 0.3 * sum(a != b for a, b in zip(plain[start:end], value[start:end], strict=True)))
+            if plain is not lower and (cost := rank.get(lower[start:end])) is not None:
+                offer(end, cost + 0.3 * sum(a != b for a, b in zip(lower[start:end], value[start:end], strict=True)))
+    return min(best[n], brute + n * per_char) if n else 0.0
+
+
+def find_secrets(text: str | None, rank: Ranks = STEMS) -> tuple[list[tuple[int, int, int]], float]:
     """(start, kind's number, end) in code points, sorted, and the highest guess cost of a value in a
     credential's place (0 if there is none)."""
     raw = (text or "").encode("utf-8", "surrogatepass")
@@ -109,7 +154,7 @@ def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int]], float]:
         base = list(found)
         for m in CONTEXT.finditer(raw):
             start, end = m.span(2)
-            guesses = guess_cost(raw[start:end].decode("utf-8", "replace"))
+            guesses = guess_cost(raw[start:end].decode("utf-8", "replace"), rank)
             cost = max(cost, guesses)
             if guesses >= MIN_GUESSES and not any(a < end and start < b for a, _, b in base):
                 found.append((start, 3, end))
@@ -129,24 +174,38 @@ def _named(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def _scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    names = [field.split()[0] for field in RESULT.split(", ")]
-    for texts in batches:
-        rows = []
-        for text in texts:
-            spans, cost = find_secrets(text)
-            kinds = [kind for _, kind, _ in spans]
-            base = _named([span for span in spans if span[1] < 3])
-            rows.append((*map(kinds.count, range(4)), cost, hashlib.sha256(base.encode()).hexdigest(), _named(spans)))
-        yield pd.DataFrame(rows, columns=names)
+def word_ranks(docs: DataFrame, most: int = RANKED, at_least: int = IN_DOCUMENTS) -> list[str]:
+    """The corpus's words by the number of documents they are in, ties by code point: ``most`` at most,
+    in ``at_least`` documents each. A word is a run of letters between blanks, with a mark behind it or
+    without; what follows a credential's name isn't counted."""
+    clean = F.regexp_replace(F.lower("text"), rf"""(?:{NAMES})["']?\x20*(?::=|=>|[:=])\x20*["']?[^\x00-\x20"'<>,;]+""", " ")
+    pattern = rf"(?<![^\x00-\x20])\p{{L}}{{{LETTERS[0]},{LETTERS[1]}}}(?=[.,;:!?]?(?:[\x00-\x20]|$))"
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(clean, F.lit(pattern), F.lit(0)))).alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= at_least)
+    return [row["word"] for row in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
-def scan_secrets(text: Column) -> Column:
+def scan_secrets(text: Column, docs: DataFrame, words: list[str]) -> Column:
     """A struct with the fields of RESULT for every whole text; null is an empty text. ``spans``:
-    kind:start:end, by start, then kind, in code points, end exclusive."""
-    return F.pandas_udf(_scan, RESULT)(text)
+    kind:start:end, by start, then kind, in code points, end exclusive. ``words``: see ``word_ranks``."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        rank = Ranks(shared.value)
+        names = [field.split()[0] for field in RESULT.split(", ")]
+        for texts in batches:
+            rows = []
+            for text in texts:
+                spans, cost = find_secrets(text, rank)
+                kinds = [kind for _, kind, _ in spans]
+                base = _named([span for span in spans if span[1] < 3])
+                rows.append((*map(kinds.count, range(4)), cost, hashlib.sha256(base.encode()).hexdigest(), _named(spans)))
+            yield pd.DataFrame(rows, columns=names)
+
+    return F.pandas_udf(scan, RESULT)(text)
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
-    """doc_id and the fields of RESULT, a row for each row of ``docs`` (doc_id, text)."""
-    return docs.select("doc_id", scan_secrets(F.col("text")).alias("r")).select("doc_id", "r.*")
+    """doc_id and the fields of RESULT, a row for each row of ``docs`` (doc_id, text). The words that
+    values are cut into are ranked over all of ``docs`` first."""
+    return docs.select("doc_id", scan_secrets(F.col("text"), docs, word_ranks(docs)).alias("r")).select("doc_id", "r.*")

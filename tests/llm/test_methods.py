@@ -69,6 +69,54 @@ def test_guess_cost():
     assert [kind for _, kind, _ in found] == [3] and guesses > secrets.MIN_GUESSES
 
 
+def test_guess_cost_is_the_least_of_all_segmentations():
+    """Every segment of every kind at every place, tried one by one."""
+    rank = secrets.Ranks(["everything", "garden", "rose", "den"])
+    keys = secrets.PLACE
+
+    def segments(value, a, b, per_char):
+        piece = value[a:b]
+        yield (b - a) * per_char
+        for pattern, cost in secrets.DATES:
+            if pattern.fullmatch(piece):
+                yield cost
+        for unit in range(1, 5):
+            if len(piece) % unit == 0 and len(piece) // unit >= 3 and piece == piece[:unit] * (len(piece) // unit):
+                yield unit * per_char + np.log10(len(piece) // unit)
+        if piece in "_-.":
+            yield np.log10(3)
+        low = piece.lower()
+        if len(piece) >= 3 and all(x in keys and y in keys and x != y and max(abs(keys[x][0] - keys[y][0]), abs(keys[x][1] - keys[y][1])) <= 1 for x, y in itertools.pairwise(low)):
+            yield np.log10(len(keys) * len(piece)) + 0.3 * len(piece)
+        for plain in {low, low.translate(secrets.LEET)}:
+            if len(piece) > 1 and plain in rank:
+                yield rank[plain] + 0.3 * sum(x != y for x, y in zip(plain, piece, strict=True))
+
+    def least(value):
+        best = [0.0] + [np.inf] * len(value)
+        per_char = secrets._alphabet(value)
+        for b in range(1, len(value) + 1):
+            best[b] = min(best[a] + cost + (secrets.SEGMENT if a else 0) for a in range(b) for cost in segments(value, a, b, per_char))
+        return best[-1]
+
+    random.seed(13)
+    pieces = ["2024-05-06", "19990101", "1", "12", "ab", "aaa", "qwer", "Garden", "r0se", "den", "xK$", "-", "pass", "everything"]
+    for _ in range(300):
+        value = "".join(random.choices(pieces, k=random.randint(1, 5)))
+        assert secrets.guess_cost(value, rank) == pytest.approx(least(value))
+
+
+def test_everyday_words_are_no_secrets(spark):
+    docs = spark.createDataFrame([(i, f"they said everything, then password: qzwvkxjyhrtb{i} and left") for i in range(5)], "doc_id long, text string")
+    words = secrets.word_ranks(docs, at_least=3)
+    assert words == ["and", "everything", "left", "said", "then", "they"] and secrets.word_ranks(docs, 2, 3) == words[:2] and secrets.word_ranks(docs, at_least=6) == []
+    rank = secrets.Ranks(words)
+    kinds = lambda text: [secrets.KINDS[kind] for _, kind, _ in secrets.find_secrets(text, rank)[0]]
+    assert kinds("secret: everything") == [] and kinds("password: xK9$vQ2") == ["guess"] and kinds("pwd: 2024-01-01") == []
+    got = secrets.scan_documents(docs).collect()
+    assert all(r["n_assign"] == 1 for r in got)
+
+
 def test_secret_digest(spark):
     rows = queries.op4_secrets(spark, SMALL).collect()
     for row in rows:
@@ -102,6 +150,24 @@ def test_language_held_out(spark):
     assert rows and np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in rows]) > 0.97
 
 
+def test_many_languages(spark):
+    """No language is left out for being one of many; a sample too small for all has a row of each."""
+    random.seed(12)
+    syllables = [a + b for a in "bcdfghklmnprstvwz" for b in "aeiou"]
+    known = {}
+    for i in range(56):
+        own = random.sample(syllables, 22)
+        known[f"l{i}"] = ["".join(random.choices(own, k=random.randint(2, 4))) for _ in range(100)]
+    text = lambda name: " ".join(random.choices(known[name], k=40))
+    model = language_crf.train([(text(name), name) for name in known for _ in range(8)])
+    asked = [name for name in known for _ in range(2)]
+    assert model.languages == sorted(known)
+    assert np.mean([found == name for (found, _), name in zip(model.predict([text(name) for name in asked]), asked, strict=True)]) > 0.97
+    docs = spark.createDataFrame([(i, text(name), name) for i, name in enumerate(known)] * 1 + [(1000 + i, "a b", "l0") for i in range(200)], "doc_id long, text string, lang string")
+    sample = collections.Counter(language for _, language in language_crf.language_sample(docs, 150, 60))
+    assert set(sample.values()) == {1} and len(sample) > 30
+
+
 def test_code_switched_words():
     english, german = "the house of the old man with this thing and that other thing".split(), "der hund und die katze liegen auf dem sofa mit einer maus zusammen".split()
     model = language_crf.train([(" ".join(english), "en"), (" ".join(german), "de")], sequences=300)
