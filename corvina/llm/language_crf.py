@@ -9,8 +9,12 @@ A chain is as long as its text. To run many chains at once in numpy, a text is c
 BLOCK words: each block's transfer matrix is built, messages pass from block to block through those
 matrices, and then all blocks fill in their own words. The cut changes nothing in the result.
 
-Training uses a bounded sample (DOCS_PER_LANGUAGE rows per language and SEQUENCES chains built from
-them, parameters), in which segments of different languages follow each other.
+Training uses a bounded sample (DOCS_PER_LANGUAGE rows per language, fewer where the languages are so
+many that SAMPLE rows don't hold that many of each, and SEQUENCES chains or more built from them,
+parameters), in which segments of different languages follow each other. Every language of the
+training rows is learned. Languages are a closed set, not documents: what grows with their number is
+one weight for each feature bucket (of which there are fewer beyond WEIGHTS weights) and the cost of a
+word, which is their square.
 """
 
 from __future__ import annotations
@@ -25,16 +29,20 @@ from pyspark.sql import functions as F
 from corvina.llm.common import bucket_of, short_batches
 
 BUCKETS = 1 << 16
+#: Weights from which on further languages share fewer buckets.
+WEIGHTS = 1 << 24
 BLOCK = 32
+#: Languages up to which chains are cut into blocks; a transfer matrix has their square.
+CUT = 32
 #: Steps between two rescalings of messages, and the least a word's potential is of its largest.
 RESCALE = 4
 FLOOR = 1e-30
 #: Bytes of text labelled at once; a longer text is labelled alone.
 CHUNK = 1 << 18
-DOCS_PER_LANGUAGE = 150
-#: Languages that are learned: the most frequent ones.
-LANGUAGES = 50
-SEQUENCES = 1200
+#: Sampled rows of a language, and of all of them together (one of each at least).
+DOCS_PER_LANGUAGE, SAMPLE = 150, 12_000
+#: Chains to train on, and the least for each language.
+SEQUENCES, SEQUENCES_PER_LANGUAGE = 1200, 20
 LENGTH = 64
 SWITCH = 0.3
 EPOCHS = 4
@@ -89,22 +97,27 @@ class Words:
         if not len(self):
             return np.zeros((0, weights.shape[1]))
         total = np.empty((weights.shape[1], len(self)))
+        grams, of_word = self._within(self.grams, len(weights)), self._within(self.of_word, len(weights))
         for language, own in enumerate(np.ascontiguousarray(weights.T)):
-            by_byte = own.take(self.grams[0])
-            by_byte += own.take(self.grams[1])
+            by_byte = own.take(grams[0])
+            by_byte += own.take(grams[1])
             total[language] = np.add.reduceat(by_byte, self.starts - 1)
-            for buckets in self.of_word:
+            for buckets in of_word:
                 total[language] += own.take(buckets)
         return total.T
 
+    @staticmethod
+    def _within(buckets: list[np.ndarray], size: int) -> list[np.ndarray]:
+        return buckets if size >= BUCKETS else [b & (size - 1) for b in buckets]
+
     def add(self, weights: np.ndarray, by_word: np.ndarray) -> None:
         """Adds ``by_word`` [words, languages] to each of the word's features."""
-        for buckets in self.of_word:
+        for buckets in self._within(self.of_word, len(weights)):
             np.add.at(weights, buckets, by_word)
         owner = np.zeros(len(self.grams[0]), np.int64)
         owner[self.starts[1:] - 1] = 1
         owner = np.cumsum(owner)
-        for buckets in self.grams:
+        for buckets in self._within(self.grams, len(weights)):
             (used,) = np.nonzero(buckets)
             np.add.at(weights, buckets[used], by_word[owner[used]])
         weights[0] = 0
@@ -137,19 +150,21 @@ def marginals(emissions: np.ndarray, transitions: np.ndarray, lengths: np.ndarra
     live = [int(k) for k in (held[None, :] > np.arange(block)[:, None]).sum(axis=1)]
     begin = start[by_size]
     local = [psi[begin[:k] + t] for t, k in enumerate(live)]
-    transfer = np.broadcast_to(np.eye(size), (total, size, size)).copy()
-    for t, k in enumerate(live):
-        moved = (transfer[:k].reshape(-1, size) @ step).reshape(k, size, size)
-        np.multiply(moved, local[t][:, None, :], out=transfer[:k])
-        if t % RESCALE == RESCALE - 1:
-            transfer[:k] /= transfer[:k].max(axis=(1, 2), keepdims=True)
-    transfer /= transfer.max(axis=(1, 2), keepdims=True)
+    state, back = np.full((total, size), 1.0 / size), np.ones((total, size))
     slot = np.empty(total, np.int64)
     slot[by_size] = np.arange(total)
     order = np.argsort(-blocks, kind="stable")
-    state, back = np.empty((total, size)), np.empty((total, size))
     forward, backward = np.full((len(lengths), size), 1.0 / size), np.ones((len(lengths), size))
-    for j in range(int(blocks.max(initial=0))):
+    across_blocks = int(blocks.max(initial=0))
+    if across_blocks > 1:
+        transfer = np.broadcast_to(np.eye(size), (total, size, size)).copy()
+        for t, k in enumerate(live):
+            moved = (transfer[:k].reshape(-1, size) @ step).reshape(k, size, size)
+            np.multiply(moved, local[t][:, None, :], out=transfer[:k])
+            if t % RESCALE == RESCALE - 1:
+                transfer[:k] /= transfer[:k].max(axis=(1, 2), keepdims=True)
+        transfer /= transfer.max(axis=(1, 2), keepdims=True)
+    for j in range(across_blocks if across_blocks > 1 else 0):
         now = order[: int((blocks > j).sum())]
         at = slot[first_block[now] + j]
         state[at] = forward[now]
@@ -181,7 +196,8 @@ class Model:
         """[texts, languages]: expected shares of each text's lettered words; zeros without any."""
         raw, lengths = buffer_of(texts)
         words = Words(raw)
-        odds = marginals(words.emissions(self.weights), self.transitions, lengths) * words.lettered[:, None]
+        block = BLOCK if len(self.languages) <= CUT else max(BLOCK, int(lengths.max(initial=0)))
+        odds = marginals(words.emissions(self.weights), self.transitions, lengths, block) * words.lettered[:, None]
         sums = np.concatenate((np.zeros((1, len(self.languages))), np.cumsum(odds, axis=0)))
         ends = np.cumsum(lengths)
         totals = sums[ends] - sums[ends - lengths]
@@ -193,9 +209,9 @@ class Model:
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
         known = [i for i, text in enumerate(texts) if text and any(map(str.isalpha, text))] if self.languages else []
         batch: list[int] = []
-        size = 0
+        size, chunk = 0, CHUNK if len(self.languages) <= CUT else CHUNK * CUT // len(self.languages)
         for i in [*known, -1]:
-            if batch and (i < 0 or size + len(texts[i]) > CHUNK):
+            if batch and (i < 0 or size + len(texts[i]) > chunk):
                 for k, share in zip(batch, self.shares([texts[j] for j in batch]), strict=True):
                     out[k] = (self.languages[int(share.argmax())], float(min(1.0, share.max())))
                 batch, size = [], 0
@@ -214,11 +230,14 @@ def train(rows: list[tuple[str, str]], seed: int = SEED, sequences: int = SEQUEN
             by_language.setdefault(language, []).append(words)
     languages = sorted(by_language)
     size = len(languages)
-    weights, transitions = np.zeros((BUCKETS, max(size, 1)), np.float32), np.zeros((size, size))
+    buckets = BUCKETS
+    while buckets * size > WEIGHTS and buckets > 1 << 10:
+        buckets >>= 1
+    weights, transitions = np.zeros((buckets, max(size, 1)), np.float32), np.zeros((size, size))
     if size < 2:
         return Model(languages, weights[:, :size], transitions)
     chains = []
-    for _ in range(sequences):
+    for _ in range(max(sequences, SEQUENCES_PER_LANGUAGE * size)):
         words: list[bytes] = []
         labels: list[int] = []
         label = int(random.integers(size))
@@ -262,21 +281,25 @@ def _chain_odds(emissions: np.ndarray, transitions: np.ndarray) -> tuple[np.ndar
     for t in range(length - 1, -1, -1):
         odds[:, t] = _normal(alphas[t] * back)
         if t:
-            both = alphas[t - 1][:, :, None] * step * (psi[:, t] * back)[:, None, :]
-            pairs += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            right = psi[:, t] * back
+            whole = (alphas[t - 1] * (right @ step.T)).sum(axis=1, keepdims=True)
+            pairs += step * ((alphas[t - 1] / whole).T @ right)
         back = _normal((back * psi[:, t]) @ step.T)
     return odds, pairs
 
 
-def language_sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(text, language) of at most ``per_language`` rows of each of the LANGUAGES most frequent
-    languages, those with the smallest hashes of their ids, held-out rows and null ids apart. Ids
-    are picked first, so that only the sample's texts are fetched."""
+def language_sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, rows: int = SAMPLE) -> list[tuple[str, str]]:
+    """(text, language) of at most ``per_language`` rows of each language, those with the smallest
+    hashes of their ids, held-out rows and null ids apart. With so many languages that ``rows`` doesn't
+    hold that many of each, of all of them equally fewer, and one at least. Ids are picked first, so
+    that only the sample's texts are fetched."""
     modulus, rest = HELD_OUT
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket_of(F.col("doc_id"), modulus) != rest)).select("doc_id", "lang")
-    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    languages = known.agg(F.count_distinct("lang").alias("n"))
+    most = F.greatest(F.lit(1), F.least(F.lit(per_language), F.floor(rows / F.greatest("n", F.lit(1)))))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = known.join(F.broadcast(most), "lang").withColumn("place", place).where(F.col("place") <= per_language).select("doc_id", "lang")
+    # ranks are cut at a constant, so that no task sorts a language
+    picked = known.withColumn("place", place).where(F.col("place") <= per_language).crossJoin(F.broadcast(languages)).where(F.col("place") <= most).select("doc_id", "lang")
     texts = docs.select("doc_id", "lang", "text").join(F.broadcast(picked.distinct()), ["doc_id", "lang"])
     found = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     return [(row["text"], row["lang"]) for row in sorted(found, key=lambda row: (row["lang"], row["doc_id"]))]
