@@ -47,18 +47,45 @@ def order_statistics(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return cum.groupBy(*by).agg(F.max("n").alias("n"), at(F.floor(F.col("n") / 2)).alias("upper_median"), p95.alias("p95"), F.min(value).alias("least"), F.max(value).alias("most"))
 
 
-def moving(rows: DataFrame, by: list[str], order: list[str], value: str, size: int = 10) -> DataFrame:
-    """Adds n_window and sum_window over the trailing ``size`` rows."""
-    window = Window.partitionBy(*by).orderBy(*order).rowsBetween(-(size - 1), 0)
-    return rows.withColumn("n_window", F.count(value).over(window)).withColumn("sum_window", F.sum(value).over(window))
-
-
-def trailing(rows: DataFrame, by: list[str], ts: str, value: str, seconds: int = 300) -> DataFrame:
-    """Adds n_window and sum_window over rows of the trailing seconds, both ends included."""
-    epoch = F.unix_micros(F.col(ts))
-    window = Window.partitionBy(*by).orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
-    out = rows.withColumn("_at", epoch)
-    return out.withColumn("n_window", F.count(value).over(window)).withColumn("sum_window", F.sum(value).over(window)).drop("_at")
+#: Seconds of a time bucket: windows over few keys are cut into buckets, with carry-over between them.
+BUCKET = 3600
+
+
+def _bucket(ts: str, seconds: int) -> Column:
+    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000)).alias("_bucket")
+
+
+def moving(rows: DataFrame, by: list[str], order: list[str], value: str, size: int = 10, bucket: int = BUCKET) -> DataFrame:
+    """Adds n_window and sum_window over the trailing ``size`` rows. ``order``: a time column, then what
+    breaks ties.
+
+    A key's rows are cut into buckets of time, and every bucket gets the ``size`` - 1 rows before it, which
+    are in the ends of as many buckets before it: no task sorts more than a bucket of a key."""
+    own = rows.withColumn("_row", F.struct("*")).withColumn("_bucket", _bucket(order[0], bucket)).select(*by, *order, value, "_bucket", "_row")
+    last = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(*[F.desc(c) for c in order]))
+    item = F.struct(*order, value)
+    ends = own.withColumn("_rn", last).where(F.col("_rn") < size).groupBy(*by, "_bucket").agg(F.array_sort(F.collect_list(item)).alias("_end"))
+    before = F.flatten(F.collect_list("_end").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(-(size - 1), -1)))
+    carried = ends.withColumn("_c", before).select(*by, "_bucket", F.explode(F.slice("_c", F.greatest(F.lit(1), F.size("_c") - (size - 2)), size - 1)).alias("_i"))
+    carried = carried.select(*by, *[F.col(f"_i.{c}").alias(c) for c in [*order, value]], "_bucket", F.lit(None).cast(own.schema["_row"].dataType).alias("_row"))
+    window = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(-(size - 1), 0)
+    both = own.unionByName(carried).withColumn("n_window", F.count(value).over(window)).withColumn("sum_window", F.sum(value).over(window))
+    return both.where("_row is not null").select("_row.*", "n_window", "sum_window")
+
+
+def trailing(rows: DataFrame, by: list[str], ts: str, value: str, seconds: int = 300, bucket: int = BUCKET) -> DataFrame:
+    """Adds n_window and sum_window over rows of the trailing seconds, both ends included. A key's rows
+    are cut into buckets of time no shorter than that; a bucket's last rows are also put, for its first
+    ones to see, into the next bucket."""
+    bucket = max(bucket, seconds)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    own = rows.select(F.struct("*").alias("_row"), *by, F.col(value).alias("_value"), at.alias("_at"), _bucket(ts, bucket))
+    follows = (F.col("_bucket") + 1) * (bucket * 1_000_000) - F.col("_at") <= seconds * 1_000_000
+    place = F.when(follows, F.array("_bucket", F.col("_bucket") + 1)).otherwise(F.array("_bucket"))
+    placed = own.withColumn("_own", F.col("_bucket")).withColumn("_bucket", F.explode(place))
+    window = Window.partitionBy(*by, "_bucket").orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
+    out = placed.withColumn("n_window", F.count("_value").over(window)).withColumn("sum_window", F.sum("_value").over(window))
+    return out.where("_bucket = _own").select("_row.*", "n_window", "sum_window")
 
 
 def streaks(rows: DataFrame, by: list[str], order: list[str], failed: Column) -> DataFrame:
@@ -89,12 +116,20 @@ def quality_alerts(rows: DataFrame, confidence: Column, response_time: Column) -
     return rows.withColumn("_alert", F.explode(F.array_compact(found))).select("*", "_alert.*").drop("_alert")
 
 
-def deduplicated_alerts(alerts: DataFrame, by: list[str], order: list[str], gap_seconds: int, ts: str) -> DataFrame:
+def deduplicated_alerts(alerts: DataFrame, by: list[str], order: list[str], gap_seconds: int, ts: str, bucket: int = BUCKET) -> DataFrame:
     """Alerts of one key that follow each other within the gap are one: first and last time, how often
-    it was raised, and the last value."""
-    window = Window.partitionBy(*by).orderBy(*order)
-    new = F.coalesce(F.unix_micros(F.col(ts)) - F.unix_micros(F.lag(ts).over(window)) > gap_seconds * 1_000_000, F.lit(True))
-    numbered = alerts.withColumn("_new", new.cast("int")).withColumn("alert_no", F.sum("_new").over(window))
+    it was raised, and the last value. A key's alerts are cut into buckets of time; a bucket needs the
+    last alert before it and the number of runs that began before it, and both come from a row for each
+    bucket."""
+    placed = alerts.withColumn("_bucket", _bucket(ts, bucket))
+    apart = lambda earlier: F.coalesce(F.unix_micros(F.col(ts)) - F.unix_micros(earlier) > gap_seconds * 1_000_000, F.lit(True))
+    buckets = Window.partitionBy(*by).orderBy("_bucket")
+    last = placed.groupBy(*by, "_bucket").agg(F.max(ts).alias("_last")).withColumn("_before", F.lag("_last").over(buckets)).drop("_last")
+    inside = Window.partitionBy(*by, "_bucket").orderBy(*order)
+    rows = placed.join(last, [*by, "_bucket"]).withColumn("_new", apart(F.coalesce(F.lag(ts).over(inside), F.col("_before"))).cast("int"))
+    rows = rows.withColumn("_nth", F.sum("_new").over(inside))
+    begun = rows.groupBy(*by, "_bucket").agg(F.sum("_new").alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(buckets.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    numbered = rows.join(begun, [*by, "_bucket"]).withColumn("alert_no", F.col("_nth") + F.col("_ahead"))
     return numbered.groupBy(*by, "alert_no").agg(F.min(ts).alias("first_at"), F.max(ts).alias("last_at"), F.count("*").alias("n_raised"), F.max_by("current_value", F.struct(*order)).alias("current_value"))
 
 

@@ -1,12 +1,19 @@
-"""Duplicates among entries: by content hash, and by character ratio within blocks."""
+"""Duplicates among entries: by content hash, and by character ratio among candidates."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvina.functions import signatures as S
 from corvina.functions import text as T
-from corvina.operators.retrieval import sequence_ratio
+from corvina.operators.links import components, linked
+from corvina.session import cut_lineage
 
 
 def exact(entries: DataFrame) -> DataFrame:
@@ -21,18 +28,85 @@ def exact(entries: DataFrame) -> DataFrame:
     return hashed.join(first, ["component", "hash"]).where("id <> first_id").select("id", "first_id", "component")
 
 
-def similar(entries: DataFrame, threshold: float = 0.70, shared: int = 3) -> DataFrame:
-    """id, other_id, ratio, kind: entries whose questions are alike by character ratio.
+#: Components of a band and bands, of questions' runs of characters and of answers' runs of words.
+CHARACTERS, WORDS, ROWS, BANDS = 4, 2, 3, 48
+#: Questions of at most so many characters also have bands of two components from pairs of characters.
+SHORT, PAIR_ROWS = 24, 2
+#: Share of a signature that must agree for a pair that is left over in a band to be compared.
+AGREE = {"question": 0.25, "answer": 0.15}
+
+
+def _sign_question(text: str) -> tuple[np.ndarray, np.ndarray]:
+    long_, pairs = S.minhash(S.character_grams(text, CHARACTERS), ROWS * BANDS, 1), S.minhash(S.character_grams(text, 2), PAIR_ROWS * BANDS, 3)
+    bands = S.bands_of(long_, ROWS, 0)
+    return np.concatenate((bands, S.bands_of(pairs, PAIR_ROWS, 1))) if len(text) <= SHORT else bands, np.concatenate((long_, pairs))
+
+
+def _sign_answer(text: str) -> tuple[np.ndarray, np.ndarray]:
+    signature = S.minhash(S.word_grams(text, WORDS), ROWS * BANDS, 2)
+    return S.bands_of(signature, ROWS, 0), signature
+
+
+def _sign(part: str):
+    own = _sign_question if part == "question" else _sign_answer
+
+    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            signed = [own(text) for text in texts]
+            yield pd.DataFrame([(bands, (marks & np.uint64(255)).astype(np.uint8).tobytes()) for bands, marks in signed], columns=["bands", "marks"])
+
+    return F.pandas_udf(sign, "bands array<long>, marks binary")
+
+
+def _compare(threshold: float):
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = []
+            for a, b, left, right in rows[["a", "b", "left", "right"]].itertuples(index=False):
+                matcher = SequenceMatcher(None, left, right)
+                # both are upper bounds of the ratio
+                if matcher.real_quick_ratio() >= threshold and matcher.quick_ratio() >= threshold and (ratio := matcher.ratio()) >= threshold:
+                    found.append((a, b, ratio))
+            yield pd.DataFrame(found, columns=["a", "b", "ratio"]).astype({"a": "int64", "b": "int64", "ratio": "float64"})
+
+    return compare
+
+
+def _part_links(rows: DataFrame, part: str, threshold: float) -> DataFrame:
+    """a, b, ratio, component: links between the entries that have a text of this part first, and of
+    every other entry with the first that has the same text."""
+    texts = rows.where(F.col(part) != "").select("id", F.col(part).alias("text"), F.md5(F.col(part).cast("binary")).alias("same"))
+    nodes = cut_lineage(texts.groupBy("same").agg(F.min(F.struct("id", "text")).alias("r")).select("same", "r.*"))
+    signed = cut_lineage(nodes.select("id", _sign(part)("text").alias("s")).select("id", "s.*"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        left, right = nodes.select(F.col("id").alias("a"), F.col("text").alias("left")), nodes.select(F.col("id").alias("b"), F.col("text").alias("right"))
+        return cut_lineage(pairs).join(left, "a").join(right, "b").mapInPandas(_compare(threshold), "a long, b long, ratio double")
+
+    links = linked(signed.select("id", F.explode("bands").alias("band")).distinct(), signed.select("id", "marks"), verify, AGREE[part])
+    copies = texts.select(F.col("id").alias("b"), "same").join(nodes.select("same", F.col("id").alias("a")), "same").where("a <> b").select("a", "b", F.lit(1.0).alias("ratio"))
+    return links.unionByName(copies).withColumn("component", F.lit(part))
+
+
+def similar(entries: DataFrame, threshold: float = 0.70) -> DataFrame:
+    """id, class_id, other_id, ratio, component, kind: entries (id, question, answer) whose questions or
+    answers are alike by character ratio, the larger of the two counting.
+
+    ``class_id`` is the smallest id that links connect an entry with; ``other_id`` is the entry of the
+    strongest link found, ties to the smaller id; entries without a link have no row. Texts are compared
+    whole, in lower case with white space squeezed; equal ones are one node, and empty ones match
+    nothing.
 
-    A block is a word three-gram of the question. An entry is compared with the block's smallest id
-    and its neighbour in the block's order, so a block of n gives under 2n pairs.
+    A ratio of characters has no exact index: a pair is a candidate if it shares a MinHash band of the
+    questions' character runs or of the answers' word pairs, and candidates are compared as ``links``
+    describes. A pair that shares no band is missed (the README says how many).
     """
-    grams = F.filter(T.ngrams(F.col("question"), shared), lambda g: F.size(F.split(g, ",")) == shared)
-    blocks = entries.select("id", F.explode(grams).alias("block"))
-    window = Window.partitionBy("block").orderBy("id")
-    near = blocks.withColumn("lead_id", F.min("id").over(Window.partitionBy("block"))).withColumn("next_to", F.lag("id").over(window))
-    pairs = near.select(F.explode(F.array("lead_id", "next_to")).alias("other_id"), "id").where("other_id < id").distinct()
-    a, b = entries.select("id", F.col("question").alias("qa")), entries.select(F.col("id").alias("other_id"), F.col("question").alias("qb"))
-    scored = pairs.join(a, "id").join(b, "other_id").withColumn("ratio", sequence_ratio(F.lower("qa"), F.lower("qb")))
+    form = lambda c: T.squeeze(F.lower(F.coalesce(F.col(c), F.lit(""))))
+    rows = entries.where("id is not null").select("id", form("question").alias("question"), form("answer").alias("answer"))
+    links = cut_lineage(_part_links(rows, "question", threshold).unionByName(_part_links(rows, "answer", threshold)))
+    roots = components(links.select("a", "b")).select("id", F.col("root").alias("class_id"))
+    ends = links.select(F.col("a").alias("id"), F.col("b").alias("other_id"), "ratio", "component").unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other_id"), "ratio", "component"))
+    best = ends.groupBy("id").agg(F.max(F.struct("ratio", (-F.col("other_id")).alias("least"), "component")).alias("l"))
+    out = best.join(roots, "id").select("id", "class_id", (-F.col("l.least")).alias("other_id"), "l.ratio", "l.component")
     kind = F.when(F.col("ratio") >= 0.95, "exact").when(F.col("ratio") >= 0.85, "near_exact").otherwise("similar")
-    return scored.where(F.col("ratio") >= threshold).select("id", "other_id", "ratio", kind.alias("kind"))
+    return out.withColumn("kind", kind)

@@ -16,5 +16,5 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 @register("x02_windowed_counts", """SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL""")
 def windowed_counts(spark: SparkSession, d: str) -> DataFrame:
-    out = monitors.run_available(monitors.windowed_counts(_stream(spark, d)), "x02_windowed_counts", "complete")
+    out = monitors.run_available(monitors.windowed_counts(_stream(spark, d)), "update", ("window_start", "event_type"))
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -9,7 +9,7 @@ from corvina.functions import lexicons as L
 from corvina.functions import text as T
 from corvina.functions import understanding as N
 from corvina.functions import vectors as V
-from corvina.operators import dedupe, extraction
+from corvina.operators import dedupe, extraction, typos
 from corvina.plans.views import ENTRIES_SQL, entries
 from corvina.registry import register
 from corvina.session import table
@@ -87,7 +87,10 @@ def entity_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @register("t17_fix_typos")
 def fix_typos(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", T.fix_typos(F.col("text")).alias("f")).select("conv_id", "turn", "f.*")
+    """The dictionary is that of the documents: the store's own words."""
+    rows = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    fixed = typos.fix_texts(rows, typos.dictionary(_docs(spark, d)))
+    return typos.with_confidence(fixed, "text", "fixed").drop("text")
 
 
 @register("t13_formal_grammar")
@@ -212,7 +215,7 @@ def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 @register("j13_similar_questions")
 def similar_questions(spark: SparkSession, d: str) -> DataFrame:
-    return dedupe.similar(entries(spark, d).select("id", F.substring("question", 1, 300).alias("question")))
+    return dedupe.similar(entries(spark, d))
 
 
 @register("t20_language")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -24,3 +27,24 @@ def build_session(master: str, shuffle_partitions: int, **extra: str) -> SparkSe
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One table of a data directory; only Spark opens the path, so any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it; a temporary one of this
+    machine only where none is named (tests)."""
+    context = spark.sparkContext
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="corvina-")
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path inside the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, so that a lost executor costs no recomputation
+    from the start."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)

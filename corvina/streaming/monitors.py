@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corvina.operators import analytics
+from corvina.session import scratch_folder
 
 
 def events(spark: SparkSession, folder: str, schema, files_per_trigger: int = 16, pattern: str = "*.parquet") -> DataFrame:
@@ -58,10 +59,22 @@ def first_alerts(alert_rows: DataFrame, active_minutes: int = 60, late: str = "1
     return keyed.applyInPandasWithState(step, "component string, metric string, first_at timestamp, severity string", "n_raised long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over all there is and returns what it gave, for tests and backfills."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return stream.sparkSession.table(name)
+def run_available(stream: DataFrame, mode: str = "append", keys: tuple[str, ...] = (), folder: str | None = None) -> DataFrame:
+    """Runs a stream over all there is and returns what it gave, for tests and backfills.
+
+    Each micro-batch is written as Parquet under its number in a folder that the cluster shares, so that
+    one that is run again replaces what it wrote. With mode update, the last row of each of ``keys`` counts."""
+    spark = stream.sparkSession
+    folder = folder or scratch_folder(spark, "stream")
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{folder}/rows/batch=-1")
+    writer = stream.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True)
+    writer.option("checkpointLocation", f"{folder}/checkpoint").start().awaitTermination()
+    found = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema.fields)}, batch long").parquet(f"{folder}/rows")
+    if mode == "update":
+        rest = F.struct(*[c for c in stream.columns if c not in keys])
+        found = found.groupBy(*keys).agg(F.max_by(rest, "batch").alias("_r")).select(*keys, "_r.*")
+    return found.select(*stream.columns)

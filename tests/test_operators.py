@@ -2,10 +2,14 @@
 
 import datetime as dt
 import zipfile
+from difflib import SequenceMatcher
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corvina.operators import analytics, dedupe, experiments, retrieval
+from corvina.functions import text as T
+from corvina.operators import analytics, dedupe, experiments, links, retrieval, typos
 from corvina.sources import docx, store
 from corvina.streaming import monitors
 
@@ -60,9 +64,92 @@ def test_docx(spark, tmp_path):
     assert [r["kind"] for r in rows if r["error"]] == ["error"]
 
 
-def test_similar_questions(spark):
-    df = spark.createDataFrame([(1, "how do i reset my password"), (2, "how do i reset my passwords"), (3, "something else entirely here")], "id long, question string")
-    assert [(r["id"], r["other_id"], r["kind"]) for r in dedupe.similar(df).collect()] == [(2, 1, "exact")]
+def test_similar_entries(spark):
+    rows = [(1, "how do i reset my password", "Use the form."), (2, "how do i reset my passwords", "Other text here"), (3, "something else entirely", "use  the FORM."), (4, "oak 12", None), (5, "oak 13", ""), (6, None, None), (7, "unlike all", "nothing of the kind")]
+    df = spark.createDataFrame(rows, "id long, question string, answer string")
+    got = {r["id"]: (r["class_id"], r["other_id"], r["component"], r["kind"]) for r in dedupe.similar(df).collect()}
+    assert got == {1: (1, 3, "answer", "exact"), 2: (1, 1, "question", "exact"), 3: (1, 1, "answer", "exact"), 4: (4, 5, "question", "similar"), 5: (4, 4, "question", "similar")}
+    assert dedupe.similar(df.limit(0)).count() == 0
+
+
+def test_links_in_bands_of_any_size(spark, monkeypatch):
+    """Every pair of a band that is alike ends in one class, with bands larger than a block."""
+    monkeypatch.setattr(links, "BLOCK", 4)
+    groups = {i: i % 7 for i in range(40)}
+    bands = spark.createDataFrame([(i, 1) for i in groups], "id long, band long")
+    marks = spark.createDataFrame([(i, bytes([g] * 8)) for i, g in groups.items()], "id long, marks binary")
+    same = lambda pairs: pairs.where("a % 7 = b % 7")
+    roots = {r["id"]: r["root"] for r in links.components(links.linked(bands, marks, same, 0.5)).collect()}
+    assert roots == groups
+
+
+def test_vector_blocks(spark, monkeypatch):
+    """Blocks of a few rows give the cosines of all pairs; odd vectors match nothing."""
+    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    random = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in random.normal(size=4)], f"n{i}") for i in range(20)] + [(50, [1.0, 2.0], "short"), (51, None, "null"), (52, [0.0] * 4, "zero")]
+    rows += [(60 + i, rows[0][1], "copy") for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, name string")
+    queries = df.where("id % 5 = 0").select(F.col("id").alias("qid"), "embedding")
+    got = {(r["qid"], r["id"]): (r["sim"], r["name"]) for r in retrieval.vector_scores(df, queries, 0.1).collect()}
+    usable = {i: np.array(v) for i, v, _ in rows if v and any(v)}
+    expected = {}
+    for q in [i for i in usable if i % 5 == 0]:
+        for i, v in usable.items():
+            if len(v) == len(usable[q]) and (s := float(v @ usable[q] / np.linalg.norm(v) / np.linalg.norm(usable[q]))) >= 0.1:
+                expected[q, i] = s
+    assert got.keys() == expected.keys() and all(abs(got[k][0] - expected[k]) < 1e-12 for k in expected)
+    most = retrieval.top_k(retrieval.vector_scores(df, queries, 0.1, 4), 4, ["qid"]).select("qid", "id", "rn").collect()
+    assert sorted(most) == sorted(retrieval.top_k(retrieval.vector_scores(df, queries, 0.1), 4, ["qid"]).select("qid", "id", "rn").collect())
+
+
+def test_lexical_scores(spark):
+    """The sums over common words equal the set formulas."""
+    rows = [(1, "How do I reset my password?", "password reset account"), (2, "Change the login settings", "login"), (3, "Where is my order", ""), (4, "reset the login password please", "password login help")]
+    entries = spark.createDataFrame(rows, "id long, question string, keywords string")
+    queries = spark.createDataFrame([(9, "reset password"), (8, "login problem"), (7, "")], "qid long, text string")
+    got = {(r["qid"], r["id"]): r["plain"] for r in retrieval.lexical_scores(entries, queries, 0.2).collect()}
+    words = {r["k"]: (set(r["w"]), set(r["x"])) for r in entries.select(F.col("question").alias("t")).union(entries.select("keywords")).union(queries.select("text")).select(F.col("t").alias("k"), T.matcher_keywords(F.lower(T.matcher_form(F.col("t")))).alias("w"), T.expand_synonyms(T.matcher_keywords(F.lower(T.matcher_form(F.col("t"))))).alias("x")).collect()}
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+    for (qid, i), plain in got.items():
+        question, keys = next((q, k) for j, q, k in rows if j == i)
+        own, wide = words[{9: "reset password", 8: "login problem"}[qid]]
+        asked = {r for r in entries.where(f"id = {i}").select(T.matcher_keywords(F.col("question")).alias("w")).first()["w"]}
+        keyed = {r for r in entries.where(f"id = {i}").select(T.matcher_keywords(F.col("keywords")).alias("w")).first()["w"]}
+        every = spark.createDataFrame([(sorted(asked | keyed),)], "w array<string>").select(T.expand_synonyms(F.col("w")).alias("x")).first()["x"]
+        share = len(wide & (asked | keyed)) / len(wide) if keyed else 0.0
+        assert abs(plain - (0.3 * share + 0.4 * jaccard(own, asked) + 0.2 * jaccard(wide, set(every)))) < 1e-12
+    assert {(9, 1), (9, 4)} <= got.keys()
+
+
+def test_typos_against_a_dictionary(spark):
+    known = ["payment", "shipping", "order", "account", "grass", "moving"]
+    rows = spark.createDataFrame([(1, "Teh paymnet for my ordr"), (2, "grasss muving"), (3, ""), (4, None), (1, "Teh paymnet for my ordr")], "id long, text string")
+    got = sorted([(r["id"], r["fixed"], r["n_fixed"], r["confidence"]) for r in typos.fix_texts(rows, [*known, "for", "my"]).collect()], key=str)
+    assert got == sorted([(1, "The payment for my order", 3, 0.7), (1, "The payment for my order", 3, 0.7), (2, "grass moving", 2, 0.5), (3, "", 0, 1.0), (4, None, 0, 1.0)], key=str)
+    assert typos.repaired("hellooo", {"hello"}) == "hello" and typos.repaired("yyes", {"yes"}) == "yes" and typos.repaired("balll", {"bal"}) == "ball"
+    plain = typos.Dictionary(known)
+    for word in ["paymant", "shiping", "acount", "zzzz", "o", "mvoing"]:
+        ratios = {w: SequenceMatcher(None, word, w).ratio() for w in known if abs(len(w) - len(word)) <= 2}
+        best = max(ratios.values(), default=0)
+        assert plain.closest(word) == (next(w for w in sorted(ratios, key=lambda w: (len(w), w)) if ratios[w] == best) if len(word) > 1 and best > 0.7 else None)
+    assert typos.correction_confidence("a", "a") == 1.0 and typos.correction_confidence("teh cat", "the cat") < 1
+
+
+def test_windows_with_carry_over(spark):
+    """Buckets give what one window over all of a key's rows gives."""
+    random = np.random.default_rng(2)
+    rows = [(int(random.integers(2)), i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=int(random.integers(40_000))), int(random.integers(9))) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, i int, ts timestamp, v long")
+    both = lambda out: sorted((r["i"], r["n_window"], r["sum_window"]) for r in out.collect())
+    whole = Window.partitionBy("k").orderBy("ts", "i").rowsBetween(-9, 0)
+    for bucket in (60, 3600, 10**6):
+        assert both(analytics.moving(df, ["k"], ["ts", "i"], "v", 10, bucket)) == both(df.withColumn("n_window", F.count("v").over(whole)).withColumn("sum_window", F.sum("v").over(whole)))
+        near = Window.partitionBy("k").orderBy(F.unix_micros("ts")).rangeBetween(-300_000_000, 0)
+        assert both(analytics.trailing(df, ["k"], "ts", "v", 300, bucket)) == both(df.withColumn("n_window", F.count("v").over(near)).withColumn("sum_window", F.sum("v").over(near)))
+    alerts = df.withColumn("current_value", F.col("v"))
+    runs = lambda bucket: sorted(map(tuple, analytics.deduplicated_alerts(alerts, ["k"], ["ts", "i"], 300, "ts", bucket).collect()))
+    assert runs(60) == runs(3600) == runs(10**6) and len(runs(60)) > 4
 
 
 def test_stream_alerts_once(spark, tmp_path):
@@ -71,5 +158,5 @@ def test_stream_alerts_once(spark, tmp_path):
     schema = "component string, metric string, severity string, ts timestamp"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    got = monitors.run_available(monitors.first_alerts(stream), "first_alerts").collect()
+    got = monitors.run_available(monitors.first_alerts(stream)).collect()
     assert sorted((r["component"], r["metric"]) for r in got) == [("api", "confidence"), ("db", "time")]
