@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvina.llm.common import cut_lineage, short_batches, small_side
-from corvina.llm.graphs import components
+from corvina.operators.links import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
