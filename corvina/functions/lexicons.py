@@ -213,3 +213,18 @@ ASKING = ["what", "how", "where", "when", "who", "why", "which"]
 CONJUNCTIONS = ["and", "or", "but"]
 CONTEXT_PHRASES = ["like before", "as mentioned", "the same", "similar to", "like that", "like this", "as usual", "again"]
 VAGUE = ["thing", "stuff", "issue", "problem", "matter", "situation", "something", "anything", "everything", "nothing"]
+
+# Forms that a query is varied in, by intent, and casual ones; {} stands for the query.
+TEMPLATES = {
+    "instruction": ["how to {}", "steps to {}", "instructions for {}", "guide to {}", "tutorial on {}", "way to {}"],
+    "definition": ["what is {}", "define {}", "meaning of {}", "explanation of {}", "{} definition", "what does {} mean"],
+    "problem": ["fix {}", "solve {}", "troubleshoot {}", "resolve {}", "repair {}", "{} not working"],
+    "information": ["information about {}", "details about {}", "learn about {}", "find out about {}", "{} information", "tell me about {}"],
+    "help": ["help with {}", "assistance with {}", "support for {}", "guidance on {}", "need help with {}"],
+    "comparison": ["compare {}", "difference between {}", "{} vs", "{} comparison", "which is better {}"],
+}
+CASUAL = ["help me {}", "i need to {}", "how do i {}", "can you {}", "show me how to {}", "i want to know about {}", "tell me about {}"]
+FOLLOW_UP = ["also", "too", "additionally", "furthermore", "moreover", "what about", "how about", "and", "plus", "besides"]
+CONTINUED = ["continue", "more", "next", "then", "after", "following"]
+REFERENCES = ["it", "this", "that", "they", "them", "these", "those", "above", "previous", "earlier", "before"]
+QUERY_CATEGORIES = {"leave": ["leave"], "payroll": ["payroll", "salary"], "policy": ["policy"]}

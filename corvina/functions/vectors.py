@@ -33,7 +33,11 @@ def unit(a: Column) -> Column:
 def weighted(vectors: list[Column], weights: list[float]) -> Column:
     """The unit vector of the weighted sum, weights scaled to sum to 1 over the vectors there are."""
     total = sum((F.when(v.isNotNull(), w).otherwise(0.0) for v, w in zip(vectors, weights, strict=True)), F.lit(0.0))
-    parts = [F.transform(v, lambda x, w=w: x * w / total) for v, w in zip(vectors, weights, strict=True)]
+
+    def scaled(vector: Column, weight: float) -> Column:
+        return F.transform(vector, lambda x: x * weight / total)
+
+    parts = [scaled(v, w) for v, w in zip(vectors, weights, strict=True)]
     out = parts[0]
     for part in parts[1:]:
         out = F.coalesce(F.zip_with(out, part, lambda x, y: x + y), out, part)
