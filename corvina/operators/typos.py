@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corvina.functions import lexicons as L
 from corvina.functions import text as T
+from corvina.operators.frequent import most_frequent
 from corvina.session import cut_lineage
 
 #: Words of a dictionary, the most frequent ones of its texts, and the fewest texts that each is in.
@@ -30,10 +31,9 @@ _BINS = 64
 
 
 def dictionary(texts: DataFrame, column: str = "text", most: int = WORDS, at_least: int = IN_TEXTS) -> list[str]:
-    """The words of ``texts`` that are in most of them, ties by code point."""
+    """The words of ``texts`` that are in most of them, as ``most_frequent`` takes them."""
     words = texts.select(F.explode(F.array_distinct(T.tokens(F.col(column)))).alias("word")).where(F.col("word").rlike(r"^\p{L}+$"))
-    counts = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= at_least)
-    return [row["word"] for row in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return most_frequent(words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= at_least), most)
 
 
 def repaired(word: str, known: set[str]) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvina.functions import text as T
-from corvina.operators import analytics, dedupe, experiments, links, retrieval, typos
+from corvina.operators import analytics, dedupe, experiments, frequent, links, retrieval, typos
 from corvina.sources import docx, store
 from corvina.streaming import monitors
 
@@ -122,6 +122,13 @@ def test_lexical_scores(spark):
     assert {(9, 1), (9, 4)} <= got.keys()
 
 
+def test_most_frequent_words(spark):
+    counts = spark.createDataFrame([("a", 100), ("b", 100), ("c", 7), ("d", 7), ("e", 1)], "word string, n long")
+    taken = [frequent.most_frequent(counts, most) for most in (1, 2, 3, 4, 9)]
+    assert taken == [[], ["a", "b"], ["a", "b"], ["a", "b", "c", "d"], ["a", "b", "c", "d", "e"]]
+    assert frequent.most_frequent(counts.limit(0), 5) == []
+
+
 def test_typos_against_a_dictionary(spark):
     known = ["payment", "shipping", "order", "account", "grass", "moving"]
     rows = spark.createDataFrame([(1, "Teh paymnet for my ordr"), (2, "grasss muving"), (3, ""), (4, None), (1, "Teh paymnet for my ordr")], "id long, text string")
