@@ -53,3 +53,10 @@ def word_count(text: Column) -> Column:
 def bucket_of(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
+
+
+def in_sample(key: Column, rows: int, total: int) -> Column:
+    """Whether a row belongs to a sample of about ``rows`` of ``total``, chosen by its key's hash; all do if
+    there are no more. Unlike a sorted limit, of which every task sends a whole sample to the driver, this
+    sends a sample in all."""
+    return F.lit(True) if total <= rows else F.pmod(F.xxhash64(key), F.lit(1 << 40)) < (rows << 40) // total

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvina.operators.frequent import most_frequent
+
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -175,14 +177,13 @@ def _named(spans: list[tuple[int, int, int]]) -> str:
 
 
 def word_ranks(docs: DataFrame, most: int = RANKED, at_least: int = IN_DOCUMENTS) -> list[str]:
-    """The corpus's words by the number of documents they are in, ties by code point: ``most`` at most,
-    in ``at_least`` documents each. A word is a run of letters between blanks, with a mark behind it or
+    """The corpus's words by the number of documents they are in, as ``most_frequent`` takes them: ``most``
+    at most, in ``at_least`` documents each. A word is a run of letters between blanks, with a mark behind it or
     without; what follows a credential's name isn't counted."""
     clean = F.regexp_replace(F.lower("text"), rf"""(?:{NAMES})["']?\x20*(?::=|=>|[:=])\x20*["']?[^\x00-\x20"'<>,;]+""", " ")
     pattern = rf"(?<![^\x00-\x20])\p{{L}}{{{LETTERS[0]},{LETTERS[1]}}}(?=[.,;:!?]?(?:[\x00-\x20]|$))"
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(clean, F.lit(pattern), F.lit(0)))).alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= at_least)
-    return [row["word"] for row in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return most_frequent(words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= at_least), most)
 
 
 def scan_secrets(text: Column, docs: DataFrame, words: list[str]) -> Column:
