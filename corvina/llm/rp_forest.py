@@ -21,12 +21,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvina.llm.common import cut_lineage
+from corvina.llm.common import cut_lineage, in_sample
 
 NEAREST = 10
 TREES = 16
 LEAVES = 480
-#: Vectors that the forest is fitted on, those with the smallest hashes of their ids.
+#: Vectors that the forest is fitted on, about: those whose ids' hashes are small enough.
 SAMPLE = 16384
 LEAF_SIZE = 32
 MEANS_STEPS, MEANS_SAMPLE = 5, 400
@@ -171,13 +171,14 @@ def nearest(vectors: DataFrame, is_query: Column, trees: int = TREES, leaves: in
     asks = rows.where(is_query).groupBy("vector").agg(F.lit(True).alias("asks"))
     nodes = rows.withColumn("place", place).where(F.col("place") <= NEAREST + 1).groupBy("vector").agg(F.min("vec_id").alias("node"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
     nodes = cut_lineage(nodes.join(asks, "vector", "left").withColumn("asks", F.coalesce("asks", F.lit(False))))
-    picked = nodes.select("node", "vector").orderBy(F.xxhash64("node"), "node", "vector").limit(sample).collect()
+    total = nodes.count()
+    picked = sorted(nodes.select("node", "vector").where(in_sample(F.col("node"), sample, total)).collect())
     forest = vectors.sparkSession.sparkContext.broadcast(fit(np.array([row["vector"] for row in picked]), trees).parts())
     indexed = nodes.select("node", "vector", "asks").mapInPandas(_index(forest, leaves), "node long, vector array<double>, leaves array<long>, opens array<long>")
     indexed = cut_lineage(indexed)
     base = indexed.select("node", "vector", F.explode("leaves").alias("leaf"))
     counts = base.groupBy("leaf").count().withColumn("parts", F.ceil(F.col("count") / LEAF_ROWS).cast("int"))
-    bins = max(32, -(-nodes.count() * trees // BIN_ROWS))
+    bins = max(32, -(-total * trees // BIN_ROWS))
     # the counts have a row for each leaf of the fitted forest, whose size the sample bounds
     counts = F.broadcast(counts.select("leaf", "parts"))
     bin_of = F.pmod(F.xxhash64("leaf", "part"), F.lit(bins)).alias("bin")
