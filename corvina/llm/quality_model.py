@@ -17,13 +17,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm.common import bucket_of
+from corvina.llm.common import bucket_of, cut_lineage, in_sample
 
 BUCKETS = 1 << 17
 DIM = 12
 EPOCHS = 8
 RATE = 0.6
-#: Labelled rows that training may use; the rows with the smallest hash of their id.
+#: Labelled rows that training may use, about: those whose ids' hashes are small enough.
 SAMPLE = 3000
 #: Lengths in bytes of the character n-grams.
 GRAMS = (2, 3, 4)
@@ -111,13 +111,14 @@ def score(text: str | None, table: np.ndarray) -> float:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, label: str = "quality") -> list[tuple[str | None, int]]:
-    """At most ``rows`` (text, label) of documents that aren't held out: the labelled ids with the
-    smallest hashes, which are few enough to be broadcast to the scan that fetches their texts. Ids
+    """About ``rows`` (text, label) of documents that aren't held out, all if there are fewer: labelled ids
+    with small hashes, which are few enough to be broadcast to the scan that fetches their texts. Ids
     that are null or have contradicting labels, and labels that aren't 0 or 1, teach nothing."""
     modulus, rest = HELD_OUT
     known = labels.where(F.col(label).isin(0, 1) & (bucket_of(F.col("doc_id"), modulus) != rest))
     known = known.groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("most")).where("label = most")
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "label")
+    known = cut_lineage(known)
+    picked = known.where(in_sample(F.col("doc_id"), rows, known.count())).select("doc_id", "label")
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     found = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
     return [(row["text"], row["label"]) for row in sorted(found, key=lambda row: row["doc_id"])]
