@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corvina.functions import signatures as S
 from corvina.functions import text as T
 from corvina.operators.links import components, linked
-from corvina.session import cut_lineage
+from corvina.session import cut_lineage, spread
 
 
 def exact(entries: DataFrame) -> DataFrame:
@@ -81,7 +81,8 @@ def _part_links(rows: DataFrame, part: str, threshold: float) -> DataFrame:
 
     def verify(pairs: DataFrame) -> DataFrame:
         left, right = nodes.select(F.col("id").alias("a"), F.col("text").alias("left")), nodes.select(F.col("id").alias("b"), F.col("text").alias("right"))
-        return cut_lineage(pairs).join(left, "a").join(right, "b").mapInPandas(_compare(threshold), "a long, b long, ratio double")
+        pairs = cut_lineage(pairs)
+        return spread(pairs.join(left, "a").join(right, "b"), pairs.count()).mapInPandas(_compare(threshold), "a long, b long, ratio double")
 
     links = linked(signed.select("id", F.explode("bands").alias("band")).distinct(), signed.select("id", "marks"), verify, AGREE[part])
     copies = texts.select(F.col("id").alias("b"), "same").join(nodes.select("same", F.col("id").alias("a")), "same").where("a <> b").select("a", "b", F.lit(1.0).alias("ratio"))

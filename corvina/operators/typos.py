@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from corvina.functions import lexicons as L
 from corvina.functions import text as T
 from corvina.operators.frequent import most_frequent
-from corvina.session import cut_lineage
+from corvina.session import cut_lineage, spread
 
 #: Words of a dictionary, the most frequent ones of its texts, and the fewest texts that each is in.
 WORDS, IN_TEXTS = 20_000, 2
@@ -65,17 +65,22 @@ class Dictionary:
 
     def closest(self, word: str) -> str | None:
         """The most alike word over ALIKE, of equal ones the first by length, then by code point."""
-        best, top = None, ALIKE
         if len(word) < 2:
             return None
-        own = self._counts(word)
+        own, near = self._counts(word), []
         for length in range(max(1, len(word) - LONGER), len(word) + LONGER + 1):
             words, counts = self.by_length.get(length, ([], np.zeros((0, _BINS), np.int16)))
             bound = 2 * np.minimum(counts, own).sum(axis=1) / (length + len(word))
-            for i in np.flatnonzero(bound > top).tolist():
-                if bound[i] > top and (ratio := SequenceMatcher(None, word, words[i]).ratio()) > top:
-                    best, top = words[i], ratio
-        return best
+            near += [(-bound[i], length, words[i]) for i in np.flatnonzero(bound > ALIKE).tolist()]
+        best, top, matcher = None, ALIKE, SequenceMatcher(None, word)
+        for bound, length, other in sorted(near):  # the most promising first: the others needn't be compared
+            if -bound < top:
+                break
+            matcher.set_seq2(other)
+            ratio = matcher.ratio()
+            if ratio > top or (best is not None and ratio == top and (length, other) < best):
+                best, top = (length, other), ratio
+        return best and best[1]
 
     def correct(self, word: str) -> str | None:
         """What an unknown word becomes, or null: the closest word, else the repaired one if it is known."""
@@ -97,7 +102,8 @@ def corrections(words: DataFrame, known: list[str]) -> DataFrame:
 
     distinct = words.select("word").distinct().withColumn("listed", F.try_element_at(table, F.col("word")))
     listed = distinct.where("listed is not null").select("word", F.col("listed").alias("right"))
-    found = distinct.where("listed is null").select("word", F.pandas_udf(correct, "string")("word").alias("right"))
+    unknown = cut_lineage(distinct.where("listed is null").select("word"))
+    found = spread(unknown, unknown.count()).select("word", F.pandas_udf(correct, "string")("word").alias("right"))
     return listed.unionByName(found.where("right is not null"))
 
 

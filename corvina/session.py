@@ -48,3 +48,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, rows: int, least: int = 64, most: int = 10_000) -> DataFrame:
+    """``df`` of so many rows, each of which costs much work in Python, over tasks of ``least`` to ``most``
+    rows: tasks cut by bytes would have too many of them."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(1, min(rows // least, max(usual, rows // most))))
