@@ -295,11 +295,11 @@ def language_sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, rows
     that only the sample's texts are fetched."""
     modulus, rest = HELD_OUT
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket_of(F.col("doc_id"), modulus) != rest)).select("doc_id", "lang")
-    languages = known.agg(F.count_distinct("lang").alias("n"))
-    most = F.greatest(F.lit(1), F.least(F.lit(per_language), F.floor(rows / F.greatest("n", F.lit(1)))))
+    languages = known.agg(F.count_distinct("lang").alias("n")).first()["n"]
+    most = max(1, min(per_language, rows // max(languages, 1)))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     # ranks are cut at a constant, so that no task sorts a language
-    picked = known.withColumn("place", place).where(F.col("place") <= per_language).crossJoin(F.broadcast(languages)).where(F.col("place") <= most).select("doc_id", "lang")
+    picked = known.withColumn("place", place).where(F.col("place") <= most).select("doc_id", "lang")
     texts = docs.select("doc_id", "lang", "text").join(F.broadcast(picked.distinct()), ["doc_id", "lang"])
     found = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     return [(row["text"], row["lang"]) for row in sorted(found, key=lambda row: (row["lang"], row["doc_id"]))]
