@@ -34,12 +34,12 @@ from corvina.llm.common import short_batches
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 2024
-#: Remembered nodes; beyond that the memory starts anew.
+#: Remembered nodes (about 0.6 KB each); beyond that the memory starts anew, with the same results.
 REMEMBERED = 300_000
 #: Steps of a unit that a node may skip; an occurrence that skips a later one is merged on its own.
 STEPS = 64
 #: Occurrences that draw at once.
-DRAWN = 1 << 17
+DRAWN = 1 << 16
 #: Units of at most so many characters are merged together in numpy, by classes of length.
 LENGTHS = (4, 8, 12, 20, 36)
 #: Characters of texts whose units are gathered before they are encoded.
@@ -97,8 +97,8 @@ def load_pieces(path: str = MODEL_FILE) -> tuple[list[str], list[float], list[st
 
 
 class Encoder:
-    def __init__(self, pieces: Pieces, dropout: float = DROPOUT, seed: int = SEED):
-        self.pieces, self.seed = pieces, seed
+    def __init__(self, pieces: Pieces, dropout: float = DROPOUT, seed: int = SEED, remembered: int = REMEMBERED):
+        self.pieces, self.seed, self.remembered = pieces, seed, remembered
         self.limit = int(dropout * (1 << 32))
         self._forget()
 
@@ -317,7 +317,7 @@ class Encoder:
 
     def _cuts(self, units: list[str], keys: np.ndarray) -> list[bytes]:
         """Packed ids of each of the units, which may repeat."""
-        if len(self.packed) >= REMEMBERED:
+        if len(self.packed) >= self.remembered:
             self._forget()
         if new := [unit for unit in set(units).difference(self.roots) if len(unit) <= LENGTHS[-1]]:
             none = np.zeros(len(new), np.int64)
@@ -358,21 +358,22 @@ def decode(packed: bytes, pieces: Pieces) -> str:
 _ENCODERS: dict = {}
 
 
-def _encoder(shared, dropout: float, seed: int) -> Encoder:
+def _encoder(shared, dropout: float, seed: int, remembered: int) -> Encoder:
     """One per worker and model: what it remembers serves all its tasks."""
-    key = (shared.value[3], dropout, seed)
+    key = (shared.value[3], dropout, seed, remembered)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(Pieces(*shared.value[:3]), dropout, seed)
+        _ENCODERS[key] = Encoder(Pieces(*shared.value[:3]), dropout, seed, remembered)
     return _ENCODERS[key]
 
 
 class Codec:
-    """Column functions for one model. ``dropout`` 0 gives the model's own segmentation."""
+    """Column functions for one model. ``dropout`` 0 gives the model's own segmentation; ``remembered``
+    bounds a worker's memory, at the price of merging more often."""
 
-    def __init__(self, docs: DataFrame, path: str = MODEL_FILE, dropout: float = DROPOUT, seed: int = SEED):
+    def __init__(self, docs: DataFrame, path: str = MODEL_FILE, dropout: float = DROPOUT, seed: int = SEED, remembered: int = REMEMBERED):
         self.shared = docs.sparkSession.sparkContext.broadcast((*load_pieces(path), path))
-        self.options = (dropout, seed)
+        self.options = (dropout, seed, remembered)
 
     def encode(self, text: Column, doc_id: Column) -> Column:
         """Packed ids (binary, little-endian unsigned) of whole texts. A null text has none (null); a
