@@ -229,6 +229,18 @@ def test_codec_draws_for_each_occurrence(encoders):
         assert 5000 * 0.085 < pieces - 5000 < 5000 * 0.115
 
 
+def test_codec_memory_does_not_change_results(encoders):
+    """However few nodes a worker may remember, an occurrence is cut alike."""
+    _, dropping = encoders
+    random.seed(11)
+    texts = [" ".join("".join(random.choice("abcdé▁") for _ in range(random.randint(1, 12))) for _ in range(40)) for _ in range(30)]
+    ids = [str(i) for i in range(30)]
+    forgetful = piece_codec.Encoder(dropping.pieces, 0.2, remembered=50)
+    found = [packed for text, i in zip(texts, ids, strict=True) for packed in forgetful.encode_all([text], [i])]
+    assert found == dropping.encode_all(texts, ids)
+    assert len(forgetful.packed) < len(dropping.packed)
+
+
 def test_signatures_are_unbiased():
     random_ = np.random.default_rng(7)
     errors = []
