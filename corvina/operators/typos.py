@@ -50,28 +50,43 @@ def repaired(word: str, known: set[str]) -> str:
 
 
 class Dictionary:
-    """Words by length, with their letters' counts: those bound how alike two words can be."""
+    """Words by length, with their letters and these letters' counts: both bound how alike two words can
+    be, as no more letters match than are in both words, or in both in the same order."""
 
     def __init__(self, words: list[str]):
         self.known = set(words)
-        self.by_length: dict[int, tuple[list[str], np.ndarray]] = {}
+        self.by_length: dict[int, tuple[list[str], np.ndarray, np.ndarray]] = {}
         for length in {len(word) for word in words}:
             own = sorted(word for word in self.known if len(word) == length)
-            self.by_length[length] = (own, np.stack([self._counts(word) for word in own]))
+            letters = np.array([[ord(c) for c in word] for word in own], np.int32)
+            self.by_length[length] = (own, letters, np.stack([self._counts(word) for word in own], axis=1))
 
     @staticmethod
     def _counts(word: str) -> np.ndarray:
-        return np.bincount([ord(c) % _BINS for c in word], minlength=_BINS).astype(np.int16)
+        return np.minimum(np.bincount([ord(c) % _BINS for c in word], minlength=_BINS), 255).astype(np.uint8)
+
+    @staticmethod
+    def _in_order(word: str, letters: np.ndarray) -> np.ndarray:
+        """The longest common subsequence's length of ``word`` and each row of ``letters``."""
+        longest = np.zeros((len(letters), letters.shape[1] + 1), np.int16)
+        for c in word:
+            longest[:, 1:] = np.maximum.accumulate(np.maximum(longest[:, 1:], longest[:, :-1] + (letters == ord(c))), axis=1)
+        return longest[:, -1]
 
     def closest(self, word: str) -> str | None:
         """The most alike word over ALIKE, of equal ones the first by length, then by code point."""
         if len(word) < 2:
             return None
         own, near = self._counts(word), []
+        used = np.flatnonzero(own)
         for length in range(max(1, len(word) - LONGER), len(word) + LONGER + 1):
-            words, counts = self.by_length.get(length, ([], np.zeros((0, _BINS), np.int16)))
-            bound = 2 * np.minimum(counts, own).sum(axis=1) / (length + len(word))
-            near += [(-bound[i], length, words[i]) for i in np.flatnonzero(bound > ALIKE).tolist()]
+            if length in self.by_length:
+                words, letters, counts = self.by_length[length]
+                # counts stop at 255, so that words longer than that are never left out by them
+                both = np.minimum(counts[used], own[used, None]).sum(axis=0, dtype=np.int32)
+                some = np.flatnonzero((2 * both / (length + len(word)) > ALIKE) | (min(length, len(word)) > 255))
+                bound = 2 * self._in_order(word, letters[some]) / (length + len(word))
+                near += [(-bound[i], length, words[some[i]]) for i in np.flatnonzero(bound > ALIKE).tolist()]
         best, top, matcher = None, ALIKE, SequenceMatcher(None, word)
         for bound, length, other in sorted(near):  # the most promising first: the others needn't be compared
             if -bound < top:
