@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.llm import bag_minhash, language_crf, line_dedup, piece_codec, quality_model, repetition, rp_forest, secrets, source_mix, url_lists
+from corvina.llm import alignment, bag_minhash, byte_codec, language_crf, line_dedup, piece_codec, quality_model, repetition, rp_forest, secrets, source_mix, target_resampling, url_lists
 from corvina.llm.common import table
 
 
@@ -56,6 +56,18 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "source", "size", "source_size", "target", (F.col("n_copies") * F.col("size")).alias("taken"))
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_codec.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_lists": op1_url_lists,
     "op2_line_dedup": op2_line_dedup,
@@ -67,10 +79,14 @@ QUERIES = {
     "op8_piece_codec": op8_piece_codec,
     "op9_bag_minhash": op9_bag_minhash,
     "op10_source_mix": op10_source_mix,
+    "op11_target_resampling": op11_target_resampling,
+    "op12_byte_codec": op12_byte_codec,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES = {
     "op1_url_lists": url_lists.ORACLE,
     "op2_line_dedup": line_dedup.ORACLE,
     "op10_source_mix": source_mix.ORACLE,
+    "op11_target_resampling": target_resampling.ORACLE,
 }
