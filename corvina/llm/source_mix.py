@@ -9,8 +9,11 @@ until the sample has the fixed number of words that the certain copies leave of
 
 Only sums by source, by (source, bit length) and by (source, rank bin) are ever gathered, so a hot
 source is never sorted in one task: the bin in which the sample ends is found from sums, and only
-that bin's documents are ranked one by one. The outcome is a row per source, and what a document
-gives is a function of that row, its id and its size.
+that bin's places in the ranking are looked at one by one. The outcome is a row per source, and what a
+document gives is a function of that row, its id, its size and its mark (a hash of its text).
+
+Rows alike in all three share a place. The sample may end among them: then so many of them are
+taken as still fit, numbered by the tasks that hold them.
 """
 
 from __future__ import annotations
@@ -30,15 +33,19 @@ BINS = 65536
 STRIDE = 256
 
 
-def _uniform(doc_id: Column, seed: str) -> Column:
-    """In (0, 1), from the first 52 bits of md5 of the seed and the id (a null id counts as '-')."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("-"))).cast("binary"))
+#: What orders the ranking.
+PLACE = ("rank", "doc_id", "size", "mark")
+
+
+def _uniform(doc_id: Column, mark: Column, seed: str) -> Column:
+    """In (0, 1), from the first 52 bits of md5 of the seed and the id (without one: '-' and the mark)."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("-"), mark))).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
-def _rank(doc_id: Column, p: Column, seed: str) -> Column:
+def _rank(doc_id: Column, mark: Column, p: Column, seed: str) -> Column:
     """The ranking odds q brought into [0, 1) as q / (1 + q)."""
-    u = _uniform(doc_id, seed)
+    u = _uniform(doc_id, mark, seed)
     q = (u / (1 - u)) * ((1 - p) / p)
     return q / (1 + q)
 
@@ -55,7 +62,8 @@ def _level(rows: DataFrame, by: list[str], order: list[Column], cap: str, weight
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    """doc_id, source, size and mark, which tells rows without an id, or of one id, apart by their texts."""
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP) -> DataFrame:
@@ -90,11 +98,11 @@ def _upto(rows: DataFrame) -> DataFrame:
 
 def plan_mix(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, seed=SEED, bins=BINS) -> DataFrame:
     """A row per source: source, source_size, target, theta (expected copies by bit of size; null: the
-    cap) and the last place of the ranking that is taken (cut_rank, cut_id, cut_size; null: none).
+    cap) and cut, the last place of the ranking that is taken (null: none), with how many of its rows
+    are (take) and how many it has (of; both null: all are).
 
-    ``sizes``: doc_id, source, size. Rows of one id and size share one draw and are taken together.
-    A source or size that is null or zero gives a target of zero. ``sizes`` is written once, since
-    five small passes read it.
+    ``sizes``: doc_id, source, size, mark. A null source is one like any other; a source whose sizes are
+    all null or zero has a target of zero. ``sizes`` is written once, since five small passes read it.
     """
     sizes = cut_lineage(sizes)
     by_bits = cut_lineage(sizes.where("size > 0").groupBy("source", _bits(F.col("size")).alias("bits")).agg(F.sum("size").alias("words")))
@@ -108,7 +116,7 @@ def plan_mix(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, seed=SEED,
     plan = _by_source(targets, sure, "left").withColumn("rest", F.col("target") - F.coalesce("sure", F.lit(0))).drop("sure")
     plan = cut_lineage(plan)
     drawn = _ranked(sizes, plan, cap, seed).where("rank is not null").withColumn("bin", F.floor(F.col("rank") * bins))
-    ends = cut_lineage(drawn.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"), F.max(F.struct("rank", "doc_id", "size")).alias("last")))
+    ends = cut_lineage(drawn.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"), F.max(F.struct(*PLACE)).alias("last")))
     # bins are summed by strides first, so that no window is longer than a stride or their number
     strides = ends.groupBy("source", F.floor(F.col("bin") / STRIDE).alias("bin")).agg(F.sum("words").alias("words"), F.max("rest").alias("rest"), F.max("last").alias("last"))
     strides = cut_lineage(_upto(strides.withColumn("before", F.lit(0))))
@@ -116,13 +124,17 @@ def plan_mix(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, seed=SEED,
     halved = halved.select("source", F.col("edge.bin").alias("_stride"), "edge.before")
     ends = _upto(_by_source(ends, small_side(cut_lineage(halved))).where(F.floor(F.col("bin") / STRIDE) == F.col("_stride")).drop("_stride"))
     inside = strides.select("source", "upto", "rest", "last").unionByName(ends.select("source", "upto", "rest", "last"))
-    inside = inside.where("upto <= rest").groupBy("source").agg(F.max("last").alias("cut"))
+    whole = F.struct(*[F.col(f"last.{c}").alias(c) for c in PLACE], F.lit(None).cast("long").alias("take"), F.lit(None).cast("long").alias("of"))
+    inside = inside.where("upto <= rest").select("source", whole.alias("cut"))
     edge = ends.where("upto > rest").groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("edge"))
     edge = small_side(cut_lineage(edge.select("source", "edge.*"))).withColumnRenamed("bin", "_bin")
-    row = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    last = _by_source(drawn, edge).where("bin = _bin").select("source", "rank", "doc_id", "size", "rest", "before")
-    last = last.withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(row), F.lit(0))).where(2 * F.col("ahead") + F.col("size") <= 2 * F.col("rest"))
-    cuts = inside.unionByName(last.select("source", F.struct("rank", "doc_id", "size").alias("cut"))).groupBy("source").agg(F.max("cut").alias("cut"))
+    before = Window.partitionBy("source").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, -1)
+    places = _by_source(drawn, edge).where("bin = _bin").groupBy("source", *PLACE).agg(F.count("*").alias("of"), F.max("rest").alias("rest"), F.max("before").alias("before"))
+    places = places.withColumn("ahead", F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("of")).over(before), F.lit(0)))
+    # a row is taken if its middle doesn't pass the rest
+    fit = F.floor((2 * F.col("rest") - 2 * F.col("ahead") - F.col("size")) / (2 * F.col("size"))) + 1
+    last = places.withColumn("take", F.least(F.col("of"), fit).cast("long")).where("take > 0")
+    cuts = inside.unionByName(last.select("source", F.struct(*PLACE, "take", "of").alias("cut"))).groupBy("source").agg(F.max("cut").alias("cut"))
     return cut_lineage(_by_source(plan, cuts, "left").select("source", "source_size", "target", "theta", "cut"))
 
 
@@ -132,21 +144,34 @@ def _ranked(sizes: DataFrame, plan: DataFrame, cap: float, seed: str) -> DataFra
     out = _by_source(sizes, small_side(plan))
     out = out.withColumn("copies", F.when(F.col("size") > 0, _copies(F.col("theta"), _bits(F.col("size")), cap)).otherwise(0.0))
     part = F.col("copies") - F.floor("copies")
-    return out.withColumn("rank", F.when(part > 0, _rank(F.col("doc_id"), part, seed)))
+    return out.withColumn("rank", F.when(part > 0, _rank(F.col("doc_id"), F.col("mark"), part, seed)))
 
 
 def mix(sizes: DataFrame, plan: DataFrame, cap=CAP, seed=SEED) -> DataFrame:
-    """``sizes`` (doc_id, source, size and any other columns) with source_size, target, copies
+    """``sizes`` (doc_id, source, size, mark and any other columns) with source_size, target, copies
     (expected) and n_copies (allocated: the certain ones, and one more for a document of the sample)."""
-    drawn = F.struct("rank", "doc_id", "size") <= F.col("cut")
-    more = F.when(F.col("rank").isNotNull() & drawn, 1).otherwise(0)
-    return _ranked(sizes, plan, cap, seed).withColumn("n_copies", (F.floor("copies") + more).cast("long")).drop("rank", "cut", "theta")
+    place, last = F.struct(*PLACE), F.struct(*[F.col(f"cut.{c}").alias(c) for c in PLACE])
+    rows = _ranked(sizes, plan, cap, seed).withColumn("_drawn", F.coalesce(F.col("rank").isNotNull() & (place <= last), F.lit(False)))
+    parted = plan.where("cut.take < cut.of")
+    if not parted.isEmpty():
+        split = F.coalesce((place == last) & (F.col("cut.take") < F.col("cut.of")), F.lit(False))
+        # the rows of the place where the sample ends, written once, so that their numbers hold
+        ties = cut_lineage(rows.where(split).withColumn("_row", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_row", 33))
+        parts = ties.groupBy("source", "_part").agg(F.count("*").alias("_n"))
+        ahead = F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        parts = small_side(cut_lineage(parts.select(F.col("source").alias("_source"), F.col("_part").alias("_of"), ahead.alias("_ahead"))))
+        ties = ties.join(parts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_of")))
+        number = F.col("_ahead") + F.row_number().over(Window.partitionBy("source", "_part").orderBy("_row"))
+        ties = ties.withColumn("_drawn", number <= F.col("cut.take"))
+        rows = rows.where(~split).unionByName(ties.select(*rows.columns))
+    more = F.when(F.col("_drawn"), 1).otherwise(0)
+    return rows.withColumn("n_copies", (F.floor("copies") + more).cast("long")).drop("rank", "cut", "theta", "_drawn")
 
 
 def mix_documents(docs: DataFrame, plan: DataFrame, cap=CAP, seed=SEED) -> DataFrame:
     """``docs`` as the mix takes them: a row for each copy, none for a document that isn't taken. An
     empty text has no words to take and isn't. All columns are kept, whatever their names."""
-    packed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct("*").alias("row"))
+    packed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"), F.struct("*").alias("row"))
     taken = mix(packed, plan, cap, seed).where("n_copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int"))).alias("copy")).select("row.*")
 
