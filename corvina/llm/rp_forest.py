@@ -8,7 +8,8 @@ opened LEAVES leaves. Leaves and the queries that opened them meet in bins, full
 where candidates are ranked by exact distances in double precision.
 
 Rows with the same vector are one node, which remembers the few smallest ids that any query can
-need, so a very common vector neither fills a leaf nor lengthens a list.
+need, so a very common vector neither fills a leaf nor lengthens a list. Lists are cut by ids, not by
+nodes: an id with several near vectors takes one place.
 """
 
 from __future__ import annotations
@@ -131,25 +132,35 @@ def _index(forest, leaves: int):
             rows["leaves"] = list(own.leaves_of(vectors))
             asks = rows["asks"].to_numpy()
             rows["opens"] = [own.opened(v, leaves) if ask else [] for v, ask in zip(vectors, asks, strict=True)]
-            yield rows[["node", "vector", "leaves", "opens"]]
+            yield rows[["node", "vector", "ids", "leaves", "opens"]]
 
     return index
 
 
+def _first_ids(ids: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Places of the nearest NEAREST + 1 ids, each at its nearest, ties by id."""
+    order, size = np.lexsort((ids, distance)), NEAREST + 1
+    while True:
+        first = np.unique(ids[order[:size]], return_index=True)[1]
+        if len(first) > NEAREST or size >= len(order):
+            return order[np.sort(first)[: NEAREST + 1]]
+        size *= 4
+
+
 def _nearest(key, base: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-    """The nearest nodes of each query among the leaves of one bin that it has opened."""
+    """The nearest ids of each query among the leaves of one bin that it has opened."""
     found = []
     if len(base) and len(asking):
         base = base.sort_values("leaf", kind="stable")
-        vectors, nodes, leaf = np.stack(base["vector"].to_numpy()), base["node"].to_numpy(), base["leaf"].to_numpy()
+        vectors, ids, leaf = np.stack(base["vector"].to_numpy()), base["vec_id"].to_numpy(), base["leaf"].to_numpy()
         starts, ends = np.searchsorted(leaf, asking["opened"]), np.searchsorted(leaf, asking["opened"], side="right")
         for query, vector, start, end in zip(asking["asking"].to_numpy(), asking["sought"], starts, ends, strict=True):
             distance = np.sqrt(((vectors[start:end] - vector) ** 2).sum(axis=1))
-            best = np.lexsort((nodes[start:end], distance))[: NEAREST + 1]
-            found.append(pd.DataFrame({"query": query, "node": nodes[start:end][best], "score": distance[best]}))
+            best = _first_ids(ids[start:end], distance)
+            found.append(pd.DataFrame({"query": query, "vec_id": ids[start:end][best], "score": distance[best]}))
     if not found:
-        return pd.DataFrame({"query": [], "node": [], "score": []}).astype({"query": "int64", "node": "int64", "score": "float64"})
-    out = pd.concat(found).drop_duplicates(["query", "node"]).sort_values(["query", "score", "node"])
+        return pd.DataFrame({"query": [], "vec_id": [], "score": []}).astype({"query": "int64", "vec_id": "int64", "score": "float64"})
+    out = pd.concat(found).sort_values(["query", "score", "vec_id"]).drop_duplicates(["query", "vec_id"])
     return out.groupby("query", sort=False).head(NEAREST + 1)
 
 
@@ -174,27 +185,23 @@ def nearest(vectors: DataFrame, is_query: Column, trees: int = TREES, leaves: in
     total = nodes.count()
     picked = sorted(nodes.select("node", "vector").where(in_sample(F.col("node"), sample, total)).collect())
     forest = vectors.sparkSession.sparkContext.broadcast(fit(np.array([row["vector"] for row in picked]), trees).parts())
-    indexed = nodes.select("node", "vector", "asks").mapInPandas(_index(forest, leaves), "node long, vector array<double>, leaves array<long>, opens array<long>")
+    indexed = nodes.select("node", "vector", "ids", "asks").mapInPandas(_index(forest, leaves), "node long, vector array<double>, ids array<long>, leaves array<long>, opens array<long>")
     indexed = cut_lineage(indexed)
-    base = indexed.select("node", "vector", F.explode("leaves").alias("leaf"))
+    base = indexed.select("node", "vector", "ids", F.explode("leaves").alias("leaf"))
     counts = base.groupBy("leaf").count().withColumn("parts", F.ceil(F.col("count") / LEAF_ROWS).cast("int"))
     bins = max(32, -(-total * trees // BIN_ROWS))
     # the counts have a row for each leaf of the fitted forest, whose size the sample bounds
     counts = F.broadcast(counts.select("leaf", "parts"))
     bin_of = F.pmod(F.xxhash64("leaf", "part"), F.lit(bins)).alias("bin")
-    base = base.join(counts, "leaf").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("node", "vector", "leaf", bin_of)
+    base = base.join(counts, "leaf").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select(F.explode("ids").alias("vec_id"), "vector", "leaf", bin_of)
     asking = indexed.select("node", "vector", F.explode("opens").alias("leaf")).join(counts, "leaf")
     asking = asking.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("node", "vector", "leaf", bin_of)
     asking = asking.toDF("asking", "sought", "opened", "met")
-    met = base.groupBy("bin").cogroup(asking.groupBy("met")).applyInPandas(_nearest, "query long, node long, score double")
-    met = met.groupBy("query", "node").agg(F.min("score").alias("score"))
-    by_score = F.row_number().over(Window.partitionBy("query").orderBy("score", "node"))
-    near = met.withColumn("place", by_score).where(F.col("place") <= NEAREST + 1)
-    near = near.join(nodes.select("node", "ids"), "node").select("query", "score", F.explode("ids").alias("vec_id"))
-    by_id = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
-    # of a node's queries each leaves out itself, so one more than asked for serves all of them
-    near = near.withColumn("place", by_id).where(F.col("place") <= 2 * NEAREST).drop("place")
+    met = base.groupBy("bin").cogroup(asking.groupBy("met")).applyInPandas(_nearest, "query long, vec_id long, score double")
+    met = met.groupBy("query", "vec_id").agg(F.min("score").alias("score"))
+    # of a node's ids that ask each leaves out itself, so one more than asked for serves all of them
+    near = met.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))).where(F.col("place") <= NEAREST + 1)
     asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "vector").join(nodes.select("vector", F.col("node").alias("query")), "vector").select("query_id", "query")
-    out = asked.join(near, "query").where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    out = asked.join(near.drop("place"), "query").where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     final = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return out.withColumn("rank", final).where(F.col("rank") <= NEAREST).select("query_id", "rank", "vec_id", "score")
