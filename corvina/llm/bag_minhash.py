@@ -258,7 +258,8 @@ def _leftover(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs: Data
     """Distinct pairs (a, b) that share a band but no class and aren't known to be far apart. In a band
     of two the one pair has been compared already."""
     known = members.select("band", "k", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = known.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.mode("root").alias("most")).where("low <> high and n > 2").drop("low", "high")
+    sizes = known.groupBy("band", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("band").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root"))["root"].alias("most")).where("roots > 1 and n > 2").drop("roots")
     rest = cut_lineage(known.join(mixed, "band"))
     ids = small_side(cut_lineage(rest.select("id").distinct()))
     cells = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").where("text is not null")
@@ -284,7 +285,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     the documents that links of SIMILARITY or more connect, its own for a document without any.
 
     Equal texts are linked, also empty ones. A null text is like no other; a null id gets no class.
-    Rows that share an id are one document with several texts.
+    Rows that share an id are one document with several texts, which link what is like either of them.
     """
     signed = short_batches(docs).where("doc_id is not null and text is not null").select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("same"), F.pandas_udf(_sign, "bands array<long>, bytes binary")(F.col("text")).alias("s"))
     signed = cut_lineage(signed.select("doc_id", "same", "s.bands", "s.bytes"))
@@ -304,6 +305,11 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     links = cut_lineage(links.unionByName(verified(again, docs)))
     roots = cut_lineage(components(links))
     links = links.unionByName(cut_lineage(verified(_leftover(members, roots, nodes, docs), docs)))
+    # an id with several texts is one document: their nodes belong together
+    own = signed.join(firsts, "same").select("doc_id", "id")
+    several = cut_lineage(own.groupBy("doc_id").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("doc_id", "low"))
+    if not several.isEmpty():
+        links = links.select("a", "b").unionByName(own.join(several, "doc_id").where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
     roots = cut_lineage(components(links))
     classes = firsts.join(roots, "id", "left").select("same", F.coalesce("root", "id").alias("class_id"))
     own = signed.select("doc_id", "same").join(classes, "same").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
