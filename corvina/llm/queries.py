@@ -12,7 +12,7 @@ from corvina.llm.common import table
 def op1_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     judged = url_lists.judge_captures(url_lists.page_captures(pages), url_lists.validity_intervals(url_lists.page_list(pages)))
-    return judged.withColumn("listed_on", F.date_format("listed_at", "yyyy-MM-dd")).drop("listed_at")
+    return judged.withColumn("listed_on", F.date_format("listed_at", "yyyy-MM-dd")).drop("url", "fetched_at", "listed_at")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

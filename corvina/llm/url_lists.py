@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvina.llm.common import cut_lineage, small_side
+
 
 def url_host(url: Column) -> Column:
     """Lower-case host without user, port and a leading www.; null if there is none."""
@@ -40,16 +42,21 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
 
 
 def judge_captures(captures: DataFrame, intervals: DataFrame) -> DataFrame:
-    """capture_id, n_active (patterns of the host that were listed at fetched_at), blocked, pattern
-    (the longest of them, null if none), category, listed_at. ``captures``: capture_id, url,
-    fetched_at. Rows repeated with the same id are judged together. A capture with a null url or
-    time, or no host in its url, meets no entry and isn't blocked. Both ends of an interval:
-    valid_from <= fetched_at < valid_to."""
-    named = captures.select("capture_id", "fetched_at", F.explode_outer(domains_of(url_host(F.col("url")))).alias("domain"))
+    """A row for each row of ``captures`` (url, fetched_at and any other columns, which stay) with n_active
+    (patterns of the host that were listed at fetched_at), blocked, pattern (the longest of them, null
+    if none), category, listed_at; columns of these names are replaced. Rows with the same id, or
+    without one, are judged one by one. A capture with a null url or time, or no host in its url, meets
+    no entry and isn't blocked. Both ends of an interval: valid_from <= fetched_at < valid_to.
+
+    Captures are written once, so that their row numbers hold. Intervals are broadcast if they are few."""
+    added = ["n_active", "blocked", "pattern", "category", "listed_at"]
+    rows = cut_lineage(captures.select(F.struct(*[captures[c] for c in captures.columns if c not in added]).alias("row"), F.monotonically_increasing_id().alias("_row")))
+    named = rows.select("_row", F.col("row.fetched_at").alias("fetched_at"), F.explode(domains_of(url_host(F.col("row.url")))).alias("domain"))
+    spans = small_side(cut_lineage(intervals.select("pattern", "category", "valid_from", "valid_to"))).alias("i")
     active = (named["domain"] == F.col("i.pattern")) & (F.col("i.valid_from") <= named["fetched_at"]) & (F.col("i.valid_to").isNull() | (named["fetched_at"] < F.col("i.valid_to")))
-    met = named.join(intervals.alias("i"), active, "left").select(named["capture_id"], F.when(F.col("pattern").isNotNull(), F.struct(F.length("pattern").alias("n"), F.col("pattern"), F.col("category"), F.col("valid_from"))).alias("hit"))
-    out = met.groupBy("capture_id").agg(F.count("hit").alias("n_active"), F.max("hit").alias("hit"))
-    return out.select("capture_id", "n_active", (F.col("n_active") > 0).alias("blocked"), F.col("hit.pattern").alias("pattern"), F.col("hit.category").alias("category"), F.col("hit.valid_from").alias("listed_at"))
+    hits = named.join(spans, active).groupBy("_row").agg(F.count("*").alias("n_active"), F.max(F.struct(F.length("pattern").alias("n"), "pattern", "category", "valid_from")).alias("hit"))
+    n_active = F.coalesce("n_active", F.lit(0)).alias("n_active")
+    return rows.join(hits, "_row", "left").select("row.*", n_active, F.col("hit").isNotNull().alias("blocked"), F.col("hit.pattern").alias("pattern"), F.col("hit.category").alias("category"), F.col("hit.valid_from").alias("listed_at"))
 
 
 # --- the query: `pages` has neither fetch times nor a list, so both are derived from its own rows ---
