@@ -2,13 +2,14 @@
 
 How hard a value is to guess is the cheapest way to cut it into words, dates, repeats, keyboard
 walks and brute-force spans (decimal logarithm of the guesses), found by dynamic programming over
-its places: every segment of every kind is offered wherever it fits. A value that names a credential and
-costs at least MIN_GUESSES is reported with the kind ``guess`` where no pattern has it yet; words and
-walks used as placeholders cost less and aren't.
+its places. Dates, ranked words, repeats of any unit and walks are offered at every place and in every
+length in which they fit. A value that names a credential and costs at least MIN_GUESSES is reported with
+the kind ``guess`` where no pattern has it yet; words and walks used as placeholders cost less and aren't.
 
 A word costs the logarithm of its rank, among frequent stems of passwords or among the corpus's own
 words, which ``word_ranks`` counts over all documents: an everyday word in a credential's place is no
-secret, however long it is.
+secret. Of the corpus, words of 3 to 24 letters (LETTERS) are ranked, the RANKED most frequent of those in
+IN_DOCUMENTS documents or more; others are spelled out by brute force.
 """
 
 from __future__ import annotations
@@ -58,8 +59,8 @@ DATES = [
     (re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])"), math.log10(120 * 366)),
     (re.compile(r"(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d"), math.log10(120 * 366)),
 ]
-#: Characters of a repeat's unit at most, and of a part of a longer repeat or walk (which is offered whole as well).
-UNIT, SPAN = 4, 64
+#: Units that a repeat has at least, and keys of a walk.
+TIMES = 3
 
 
 class Ranks(dict):
@@ -80,21 +81,73 @@ def _alphabet(value: str) -> float:
     return math.log10(max(10, size + 33 * any(not c.isalnum() for c in value)))
 
 
-def _reach(value: str) -> list[int]:
-    """For each place, where the run of keys ends that starts there, each next to the one before."""
-    out = list(range(1, len(value) + 1))
-    for i in range(len(value) - 2, -1, -1):
-        a, b = PLACE.get(value[i]), PLACE.get(value[i + 1])
-        if a is not None and b is not None and a != b and max(abs(a[0] - b[0]), abs(a[1] - b[1])) <= 1:
-            out[i] = out[i + 1]
+def _common(value: str, i: int, j: int, backward: bool) -> int:
+    """How many characters from i and j on (or before them) are the same, by growing slices."""
+    most = i if backward else len(value) - j
+    same = (lambda n: value[i - n : i] == value[j - n : j]) if backward else lambda n: value[i : i + n] == value[j : j + n]
+    low, high = 0, 1
+    while high <= most and same(high):
+        low, high = high, 2 * high
+    high = min(high, most + 1)
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if same(middle) else (low, middle)
+    return low
+
+
+def repeats(value: str) -> list[tuple[int, int, int]]:
+    """(start, end, unit) of every longest stretch that repeats a unit, no repeat itself, TIMES times or
+    more. A stretch with that unit holds two multiples of it, from which it is extended both ways."""
+    found: dict[tuple[int, int], list[int]] = {}
+    for unit in range(1, len(value) // TIMES + 1):
+        at = 0
+        while at + unit < len(value):
+            if value[at] == value[at + unit]:
+                start, end = at - _common(value, at, at + unit, True), at + unit + _common(value, at, at + unit, False)
+                units = found.setdefault((start, end), []) if end - start >= TIMES * unit else None
+                if units is not None and not any(unit % known == 0 for known in units):
+                    units.append(unit)
+                at += max(1, (end - unit - at) // unit) * unit
+            else:
+                at += unit
+    return [(start, end, unit) for (start, end), units in found.items() for unit in units]
+
+
+def walks(value: str) -> list[tuple[int, int, int]]:
+    """(start, end, 1) of every longest stretch of TIMES keys or more, each next to the one before."""
+    out, start = [], 0
+    for i in range(1, len(value) + 1):
+        a, b = PLACE.get(value[i - 1]), PLACE.get(value[i]) if i < len(value) else None
+        if a is None or b is None or a == b or max(abs(a[0] - b[0]), abs(a[1] - b[1])) > 1:
+            if i - start >= TIMES:
+                out.append((start, i, 1))
+            start = i
     return out
 
 
-def _ends(first: int, last: int, step: int, start: int) -> Iterator[int]:
-    """first, first + step, ... within SPAN of the start, and the last one."""
-    yield from range(first, min(last, start + SPAN) + 1, step)
-    if last > start + SPAN:
-        yield last
+class Stretch:
+    """Segments inside a stretch, any number of units long from TIMES on: a segment of n units costs
+    ``fixed`` + ``each`` * n + log10(n). As the logarithm rises ever more slowly, a later start that is once
+    no better than an earlier one stays so; few starts are left to look at."""
+
+    def __init__(self, start: int, end: int, unit: int, fixed: float, each: float):
+        self.start, self.end, self.unit, self.fixed, self.each = start, end, unit, fixed, each
+        self.starts: list[list[tuple[int, float]]] = [[] for _ in range(unit)]
+
+    def open(self, place: int, base: float) -> None:
+        self.starts[place % self.unit].append((place, base))
+
+    def best(self, place: int) -> float:
+        least, kept = math.inf, []
+        for start, base in self.starts[place % self.unit]:
+            n = (place - start) // self.unit
+            if n < TIMES:
+                kept.append((start, base))
+            elif (cost := base + self.fixed + self.each * n + math.log10(n)) < least:
+                least = cost
+                kept.append((start, base))
+        self.starts[place % self.unit] = kept
+        return least
 
 
 def guess_cost(value: str, rank: Ranks = STEMS) -> float:
@@ -102,20 +155,25 @@ def guess_cost(value: str, rank: Ranks = STEMS) -> float:
     n, per_char, lower = len(value), _alphabet(value), value.lower()
     lower = lower if len(lower) == n else value
     plain = lower.translate(LEET) if lower.isascii() else lower
-    walks = _reach(lower)
-    periods = [[0] * (n + 1) for _ in range(UNIT + 1)]  # how far from each place the value goes on as `unit` places later
-    for unit in range(1, UNIT + 1):
-        for i in range(n - unit - 1, -1, -1):
-            if value[i] == value[i + unit]:
-                periods[unit][i] = periods[unit][i + 1] + 1
+    stretches = [Stretch(*run, run[2] * per_char, 0.0) for run in repeats(value)]
+    stretches += [Stretch(*run, math.log10(len(PLACE)), 0.3) for run in walks(lower)]
+    stretches.sort(key=lambda stretch: stretch.start, reverse=True)
+    inside: list[Stretch] = []
     best = [math.inf] * (n + 1)
     best[0] = 0.0
     brute = math.inf  # the cheapest cost before an open brute-force span, less what its start has cost
-    for start in range(n):
+    for start in range(n + 1):
+        while stretches and stretches[-1].start <= start:
+            inside.append(stretches.pop())
+        inside = [stretch for stretch in inside if stretch.end >= start]
         if start:
-            best[start] = min(best[start], brute + start * per_char)
+            best[start] = min(best[start], brute + start * per_char, *[stretch.best(start) for stretch in inside])
+        if start == n:
+            break
         base = best[start] + (SEGMENT if start else 0)
         brute = min(brute, base - start * per_char)
+        for stretch in inside:
+            stretch.open(start, base)
 
         def offer(end: int, cost: float, base: float = base) -> None:
             if base + cost < best[end]:
@@ -124,21 +182,14 @@ def guess_cost(value: str, rank: Ranks = STEMS) -> float:
         for pattern, cost in DATES:
             if m := pattern.match(value, start):
                 offer(m.end(), cost)
-        for unit in range(1, UNIT + 1):
-            if (times := (periods[unit][start] + unit) // unit) >= 3:
-                for end in _ends(start + 3 * unit, start + times * unit, unit, start):
-                    offer(end, unit * per_char + math.log10((end - start) // unit))
         if value[start] in "_-.":
             offer(start + 1, math.log10(3))
-        if walks[start] - start >= 3:
-            for end in _ends(start + 3, walks[start], 1, start):
-                offer(end, math.log10(len(PLACE) * (end - start)) + 0.3 * (end - start))
         for end in range(start + 2, min(n, start + rank.longest) + 1):
             if (cost := rank.get(plain[start:end])) is not None:
                 offer(end, cost + 0.3 * sum(a != b for a, b in zip(plain[start:end], value[start:end], strict=True)))
             if plain is not lower and (cost := rank.get(lower[start:end])) is not None:
                 offer(end, cost + 0.3 * sum(a != b for a, b in zip(lower[start:end], value[start:end], strict=True)))
-    return min(best[n], brute + n * per_char) if n else 0.0
+    return best[n]
 
 
 def find_secrets(text: str | None, rank: Ranks = STEMS) -> tuple[list[tuple[int, int, int]], float]:
@@ -207,6 +258,6 @@ def scan_secrets(text: Column, docs: DataFrame, words: list[str]) -> Column:
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
-    """doc_id and the fields of RESULT, a row for each row of ``docs`` (doc_id, text). The words that
-    values are cut into are ranked over all of ``docs`` first."""
+    """doc_id and the fields of RESULT, a row for each row of ``docs`` (doc_id, text), repeated ones too. The
+    words that values are cut into are ranked over all of ``docs`` first."""
     return docs.select("doc_id", scan_secrets(F.col("text"), docs, word_ranks(docs)).alias("r")).select("doc_id", "r.*")
