@@ -27,8 +27,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops each source's boilerplate lines; n_chars is that of the text that stays."""
-    cleaned = line_dedup.drop_boilerplate(docs)
+    """Drops each source's boilerplate lines; n_chars is that of the text that stays. A document that its
+    source repeats so often that all its lines are boilerplate is left to the near-duplicate stage."""
+    cleaned = line_dedup.drop_boilerplate(docs, spare_whole=True)
     return cleaned.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else cleaned[c] for c in docs.columns])
 
 

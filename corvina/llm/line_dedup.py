@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm.common import cut_lineage
+from corvina.llm.common import cut_lineage, small_side
 
 #: A line on more than this share of the host's pages is dropped,
 RATIO = 0.02
@@ -42,16 +42,17 @@ def boilerplate_lines(lines: DataFrame, pages: DataFrame, host: str, ratio: floa
     return found.select(counts["host"], "line", "n_pages", "host_pages")
 
 
-def drop_boilerplate(pages: DataFrame, page: str = "doc_id", host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, page: str = "doc_id", host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, spare_whole: bool = False) -> DataFrame:
     """``pages`` with ``text`` cleaned, and n_lines, n_dropped (long) in a struct ``line_dedup``.
 
     Lines end at a line feed and are compared without surrounding blanks. A page that has nothing
-    but boilerplate (a copy of a page that its host repeats often) is left whole, for the
-    near-duplicate stage to judge. A null text stays null, with no lines. Rows with the same page id
-    are cleaned alike.
+    but boilerplate becomes an empty text, or one of its blank lines; with ``spare_whole`` it stays as it
+    is (a page that its host repeats often, left to a stage that looks for copies). A null text stays
+    null, with no lines. Rows with the same page id are cleaned alike; a null id is one like any other.
     """
     lines = page_lines(pages, page, host, text)
-    flagged = cut_lineage(boilerplate_lines(lines, pages, host, ratio, min_pages)).alias("f")
+    # very common lines are hot keys by nature: their short list is broadcast if it is counted to be short
+    flagged = small_side(cut_lineage(boilerplate_lines(lines, pages, host, ratio, min_pages))).alias("f")
     hits = lines.join(flagged, lines["host"].eqNullSafe(F.col("f.host")) & (lines["line"] == F.col("f.line")))
     hits = hits.groupBy(lines["page"], lines["host"]).agg(F.collect_set(lines["line"]).alias("_drop")).alias("h")
     packed = pages.select(F.struct("*").alias("row"), F.col(page).alias("page"), F.col(host).alias("host"))
@@ -65,9 +66,10 @@ def drop_boilerplate(pages: DataFrame, page: str = "doc_id", host: str = "source
     both = both.select("row", "_lines", kept.alias("_kept"))
     n_lines, n_kept = F.size(F.filter("_lines", filled)), F.size(F.filter("_kept", filled))
     both = both.select("row", "_kept", F.when(F.col("_lines").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.when(F.col("_lines").isNull(), 0).otherwise(n_kept).cast("long").alias("n_kept"))
-    whole = (F.col("n_kept") == 0) | (F.col("n_kept") == F.col("n_lines"))
-    clean = F.when(whole, F.col(f"row.{text}")).otherwise(F.array_join("_kept", "\n"))
-    counts = F.struct("n_lines", F.when(whole, 0).otherwise(F.col("n_lines") - F.col("n_kept")).cast("long").alias("n_dropped")).alias("line_dedup")
+    if spare_whole:
+        both = both.withColumn("n_kept", F.when(F.col("n_kept") == 0, F.col("n_lines")).otherwise(F.col("n_kept")))
+    clean = F.when(F.col("n_kept") == F.col("n_lines"), F.col(f"row.{text}")).otherwise(F.array_join("_kept", "\n"))
+    counts = F.struct("n_lines", (F.col("n_lines") - F.col("n_kept")).alias("n_dropped")).alias("line_dedup")
     return both.select(*[clean.alias(c) if c == text else F.col("row")[c].alias(c) for c in pages.columns], counts)
 
 
@@ -80,7 +82,6 @@ totals AS (SELECT source, count(*) AS host_pages FROM documents GROUP BY source)
 flagged AS (SELECT c.source, c.line FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source WHERE n_pages >= {MIN_PAGES} AND n_pages > CAST({RATIO} AS DOUBLE) * host_pages),
 marked AS (SELECT l.*, f.line IS NOT NULL AS bad FROM lines l LEFT JOIN flagged f ON l.source IS NOT DISTINCT FROM f.source AND l.line = f.line),
 pages AS (SELECT doc_id, count(*) FILTER (line <> '') AS n_lines, count(*) FILTER (line <> '' AND bad) AS n_bad, string_agg(raw, chr(10) ORDER BY i) FILTER (NOT bad) AS clean FROM marked GROUP BY doc_id)
-SELECT d.doc_id, d.source, coalesce(n_lines, 0) AS n_lines, CASE WHEN n_bad < n_lines THEN n_bad ELSE 0 END AS n_dropped,
-  CASE WHEN n_bad > 0 AND n_bad < n_lines THEN clean ELSE d.text END AS text
+SELECT d.doc_id, d.source, coalesce(n_lines, 0) AS n_lines, coalesce(n_bad, 0) AS n_dropped, CASE WHEN n_bad > 0 THEN coalesce(clean, '') ELSE d.text END AS text
 FROM documents d LEFT JOIN pages p ON d.doc_id = p.doc_id
 """
