@@ -1,7 +1,7 @@
 """Quality classifier on supervised subword embeddings.
 
-A document is the mean of learned vectors of its hashed words, word pairs and character n-grams (a bag, with a
-constant feature for empty texts), under a softmax over the labels, trained by stochastic gradient
+A document is the mean of learned vectors of its hashed words, word pairs, doubled words and character n-grams
+(a bag, with a constant feature for empty texts), under a softmax over the labels, trained by stochastic gradient
 descent in numpy. Training uses a bounded sample of labelled rows (SAMPLE, a parameter), balanced by
 label through the learning rates. Since the output layer is linear in the mean, a trained model is
 one number per bucket, the difference of the two logits, so scoring is a table look-up at every byte
@@ -22,7 +22,8 @@ from corvina.llm.common import bucket_of, cut_lineage, in_sample
 BUCKETS = 1 << 17
 DIM = 12
 EPOCHS = 8
-RATE = 0.6
+#: Learning rates of the output layer and of the vectors.
+RATE, VECTOR_RATE = 0.6, 20.0
 #: Labelled rows that training may use, about: those whose ids' hashes are small enough.
 SAMPLE = 3000
 #: Lengths in bytes of the character n-grams.
@@ -42,7 +43,8 @@ def _spread(h: np.ndarray) -> np.ndarray:
 
 
 def features(text: str | None) -> list[np.ndarray]:
-    """Bucket arrays of a text: the constant, words, word pairs, and n-grams that may touch a blank on each side."""
+    """Bucket arrays of a text: the constant, words, word pairs, doubled words, and n-grams that may touch
+    a blank on each side."""
     raw = np.frombuffer(b" " + (text or "").encode("utf-8", "surrogatepass") + b" ", np.uint8)
     out = [np.zeros(1, np.uint32)]
     space = _SPACE[raw]
@@ -60,8 +62,10 @@ def features(text: str | None) -> list[np.ndarray]:
     sums = np.concatenate((np.zeros(1, np.uint32), np.cumsum(np.where(space, np.uint32(0), code * powers[place & 63]), dtype=np.uint32)))
     words = sums[ends] - sums[starts]
     out.append(_spread(words + np.uint32(7)))
-    # of word pairs the difference is hashed, so that all doubled words share a bucket
-    out.append(_spread((words[1:] - words[:-1]) * np.uint32(0x85EBCA6B) + np.uint32(11)))
+    pairs = words[:-1] * np.uint32(31) + words[1:]
+    out.append(_spread(pairs * np.uint32(0x85EBCA6B) + np.uint32(11)))
+    # a word said again tells more than which one it is: such pairs have one feature more, the same for all
+    out.append(np.full(int((words[1:] == words[:-1]).sum()), 1, np.uint32))
     h = code
     for n in range(2, max(GRAMS) + 1):
         h = h[:-1] * np.uint32(0x01000193) + code[n - 1 :]
@@ -70,9 +74,22 @@ def features(text: str | None) -> list[np.ndarray]:
     return out
 
 
+def gradient(vectors: np.ndarray, output: np.ndarray, weight: np.ndarray, label: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """(loss, gradient of the used vectors, gradient of the output layer) of one document: the negative
+    logarithm of its label's softmax odds. ``vectors``: of its features; ``weight``: each one's share of them."""
+    mean = weight @ vectors
+    logits = output @ mean
+    odds = np.exp(logits - logits.max())
+    odds /= odds.sum()
+    error = odds.copy()
+    error[label] -= 1
+    return -float(np.log(max(odds[label], 1e-30))), np.outer(weight, error @ output), np.outer(error, mean)
+
+
 def train(rows: list[tuple[str | None, int]], seed: int = SEED) -> np.ndarray:
     """The logit difference (label 1 less label 0) per bucket, float32. Without both labels among the
-    rows: all zeros, or a constant for the label there is. ``rows``: (text, label 0 or 1)."""
+    rows: all zeros, or a constant for the label there is. ``rows``: (text, label 0 or 1). The vectors and the
+    output layer have rates of their own, as a vector's gradient holds its small share of the document."""
     random = np.random.default_rng(seed)
     vectors = (random.random((BUCKETS, DIM), dtype=np.float32) - 0.5) / DIM
     output = np.zeros((2, DIM), np.float32)
@@ -82,22 +99,16 @@ def train(rows: list[tuple[str | None, int]], seed: int = SEED) -> np.ndarray:
     docs = []
     for text, label in rows:
         used, count = np.unique(np.concatenate(features(text)), return_counts=True)
-        docs.append((used, (count / count.sum()).astype(np.float32)[:, None], label))
+        docs.append((used, (count / count.sum()).astype(np.float32), label))
     steps, done = EPOCHS * len(docs), 0
     for _ in range(EPOCHS):
         for i in random.permutation(len(docs)):
             used, weight, label = docs[i]
-            rate = RATE * (1 - done / steps) * min(4.0, 0.5 / share[label])
+            rate = (1 - done / steps) * min(4.0, 0.5 / share[label])
             done += 1
-            mean = (vectors[used] * weight).sum(axis=0)
-            logits = output @ mean
-            odds = np.exp(logits - logits.max())
-            error = odds / odds.sum()
-            error[label] -= 1
-            step = error @ output
-            output -= rate * np.outer(error, mean).astype(np.float32)
-            # the mean of sparse features moves slowly: each used vector takes the whole step
-            vectors[used] -= np.float32(rate) * step.astype(np.float32) * np.minimum(1, weight * 50)
+            _, of_vectors, of_output = gradient(vectors[used], output, weight, label)
+            output -= np.float32(rate * RATE) * of_output
+            vectors[used] -= np.float32(rate * VECTOR_RATE) * of_vectors
     return vectors @ (output[1] - output[0])
 
 
