@@ -80,7 +80,7 @@ def test_guess_cost_is_the_least_of_all_segmentations():
         for pattern, cost in secrets.DATES:
             if pattern.fullmatch(piece):
                 yield cost
-        for unit in range(1, 5):
+        for unit in range(1, len(piece) // 3 + 1):
             if len(piece) % unit == 0 and len(piece) // unit >= 3 and piece == piece[:unit] * (len(piece) // unit):
                 yield unit * per_char + np.log10(len(piece) // unit)
         if piece in "_-.":
@@ -104,12 +104,31 @@ def test_guess_cost_is_the_least_of_all_segmentations():
     for _ in range(300):
         value = "".join(random.choices(pieces, k=random.randint(1, 5)))
         assert secrets.guess_cost(value, rank) == pytest.approx(least(value))
+    for period in range(1, 21):
+        unit = "".join(random.choices("abX9$-qwe", k=period))
+        value = random.choice(pieces) + (unit * 200)[: random.randint(3 * period, 150)] + random.choice(pieces) + "asdfgfdsa" * random.randint(0, 3)
+        assert secrets.guess_cost(value, rank) == pytest.approx(least(value)), value
+
+
+def test_repeats():
+    random.seed(14)
+    for _ in range(300):
+        value = "".join(random.choices("ab", k=random.randint(0, 24)))
+        want = set()
+        for a, b in itertools.combinations(range(len(value) + 1), 2):
+            for unit in range(1, (b - a) // 3 + 1):
+                holds = lambda a, b, unit=unit: a >= 0 and b <= len(value) and all(value[i] == value[i + unit] for i in range(a, b - unit))
+                whole = any(unit % k == 0 and all(value[i] == value[i + k] for i in range(a, b - k)) for k in range(1, unit))
+                if holds(a, b) and not holds(a - 1, b) and not holds(a, b + 1) and not whole:
+                    want.add((a, b, unit))
+        assert set(secrets.repeats(value)) == want and len(secrets.repeats(value)) == len(want), value
+    assert secrets.repeats("a" * 50_000) == [(0, 50_000, 1)]
 
 
 def test_everyday_words_are_no_secrets(spark):
     docs = spark.createDataFrame([(i, f"they said everything, then password: qzwvkxjyhrtb{i} and left") for i in range(5)], "doc_id long, text string")
     words = secrets.word_ranks(docs, at_least=3)
-    assert words == ["and", "everything", "left", "said", "then", "they"] and secrets.word_ranks(docs, 2, 3) == [] and secrets.word_ranks(docs, at_least=6) == []
+    assert words == ["and", "everything", "left", "said", "then", "they"] and len(secrets.word_ranks(docs, 2, 3)) == 2 and secrets.word_ranks(docs, at_least=6) == []
     rank = secrets.Ranks(words)
     kinds = lambda text: [secrets.KINDS[kind] for _, kind, _ in secrets.find_secrets(text, rank)[0]]
     assert kinds("secret: everything") == [] and kinds("password: xK9$vQ2") == ["guess"] and kinds("pwd: 2024-01-01") == []

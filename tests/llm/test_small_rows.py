@@ -45,7 +45,7 @@ def test_line_dedup(spark, none):
     pages = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("host", F.lit("clash"))
     got = {r["doc_id"]: (r["text"], r["line_dedup"]["n_lines"], r["line_dedup"]["n_dropped"]) for r in line_dedup.drop_boilerplate(pages).collect()}
     assert got[0] == ("own line 0\n", 3, 2)
-    assert got[9] == ("menu", 1, 0) and got[10][0] == "menu\nx" and got[11] == (None, 0, 0) and got[12][0] == "menu"
+    assert got[9] == ("", 1, 1) and got[10][0] == "menu\nx" and got[11] == (None, 0, 0) and got[12][0] == "menu"
     assert line_dedup.drop_boilerplate(none).count() == 0
 
 
