@@ -98,16 +98,22 @@ def table_pairs(cells: DataFrame) -> DataFrame:
     return out.where((F.coalesce("question", F.lit("")) != "") & (F.coalesce("answer", F.lit("")) != ""))
 
 
+def entry_errors(question: Column, answer: Column, confidence: Column) -> Column:
+    """What makes an entry invalid: missing or short texts, a confidence outside 0 to 1."""
+    q, a = F.trim(F.coalesce(question, F.lit(""))), F.trim(F.coalesce(answer, F.lit("")))
+    return F.array_compact(F.array(
+        F.when(q == "", "question_missing"), F.when((q != "") & (F.length(q) < 5), "question_short"), F.when(a == "", "answer_missing"),
+        F.when((a != "") & (F.length(a) < 10), "answer_short"), F.when((confidence < 0) | (confidence > 1), "confidence_range"),
+    ))
+
+
 def validate(entries: DataFrame) -> DataFrame:
     """id, errors, warnings, is_valid of entries (id, question, answer, category, confidence,
     keywords, source)."""
     q, a = F.trim(F.coalesce("question", F.lit(""))), F.trim(F.coalesce("answer", F.lit("")))
     placeholder = lambda c: T._any(F.lower(c), L.PLACEHOLDERS)
     asked = F.lower(q).rlike(L.QUESTION_SIGNS[0]) | F.lower(q).rlike(L.QUESTION_SIGNS[1])
-    errors = F.array_compact(F.array(
-        F.when(q == "", "question_missing"), F.when((q != "") & (F.length(q) < 5), "question_short"), F.when(a == "", "answer_missing"),
-        F.when((a != "") & (F.length(a) < 10), "answer_short"), F.when((F.col("confidence") < 0) | (F.col("confidence") > 1), "confidence_range"),
-    ))
+    errors = entry_errors(F.col("question"), F.col("answer"), F.col("confidence"))
     warnings = F.array_compact(F.array(
         F.when(F.length(q) > 500, "question_long"), F.when((q != "") & ~asked, "question_form"), F.when(placeholder(q), "question_placeholder"),
         F.when(F.length(a) > 2000, "answer_long"), F.when(placeholder(a), "answer_placeholder"), F.when(F.trim(F.coalesce("category", F.lit(""))) == "", "category_missing"),

@@ -90,6 +90,28 @@ def vector_scores(entries: DataFrame, queries: DataFrame, threshold: float, most
     return pairs.select(F.explode(named).alias("p")).select("p.qid", "p.row.*", "p.sim")
 
 
+def _cell_blocks(rows: DataFrame, row: str, names: tuple[str, str, str]) -> DataFrame:
+    """Rows (``row``, embedding, cell) packed by cell, about BLOCK in a block."""
+    dim, packed, flat = names
+    # a row for each cell, of which an index has a bounded number
+    counts = F.broadcast(rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))
+    placed = rows.join(counts, "cell").withColumn("part", F.pmod(F.xxhash64(row), F.col("parts")))
+    both = placed.groupBy("cell", "part").agg(F.collect_list(F.struct(F.col(row), "embedding")).alias("b"))
+    return both.select("cell", F.size(F.col("b.embedding")[0]).alias(dim), F.col(f"b.{row}").alias(packed), F.flatten("b.embedding").alias(flat))
+
+
+def cell_scores(entries: DataFrame, queries: DataFrame, threshold: float, most: int) -> DataFrame:
+    """qid, id, sim, where the cosine is at least the threshold, of entries (id, embedding, cell) and queries
+    (qid, embedding, cell) that share a cell: of each block the ``most`` best rows of each query."""
+    entries.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    e = _cell_blocks(entries, "id", ("e_dim", "e_rows", "e_flat"))
+    q = _cell_blocks(queries, "qid", ("q_dim", "q_rows", "q_flat"))
+    hits = F.pandas_udf(_cosines(threshold, most), "i array<int>, j array<int>, sim array<double>")("e_dim", "e_flat", "q_dim", "q_flat")
+    pairs = e.join(q, "cell").select("e_rows", "q_rows", hits.alias("h"))
+    named = F.transform(F.arrays_zip("h.i", "h.j", "h.sim"), lambda h: F.struct(F.get("q_rows", h["j"]).alias("qid"), F.get("e_rows", h["i"]).alias("id"), h["sim"].alias("sim")))
+    return pairs.select(F.explode(named).alias("p")).select("p.*")
+
+
 def filtered(scored: DataFrame, keep: Column, k: int, over_fetch: int = 5) -> DataFrame:
     """The first k of the best over_fetch * k rows of each query that pass ``keep``: rows behind those
     are not considered, even if fewer than k pass."""

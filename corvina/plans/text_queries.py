@@ -174,7 +174,7 @@ def adjacent_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("src09_question_blocks", rf"""WITH {_LINES}, b AS (SELECT *, regexp_matches(lower(text), '^(the|is|are)\b') AS q, sum(CASE WHEN regexp_matches(lower(text), '^(the|is|are)\b') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx) AS block FROM lines)
-SELECT doc_id, CAST(block AS BIGINT) AS block, max(text) FILTER (q) AS question, coalesce(string_agg(text, chr(10) ORDER BY idx) FILTER (NOT q), '') AS answer FROM b WHERE block > 0 GROUP BY doc_id, block""")
+SELECT doc_id, CAST(block AS BIGINT) AS block, regexp_replace(max(text) FILTER (q), '^q\s*[:.]\s*', '', 'i') AS question, coalesce(string_agg(regexp_replace(text, '^a\s*[:.]\s*', '', 'i'), chr(10) ORDER BY idx) FILTER (NOT q), '') AS answer FROM b WHERE block > 0 GROUP BY doc_id, block""")
 def question_blocks(spark: SparkSession, d: str) -> DataFrame:
     # the documents hold no question marks: lines that begin with a function word stand for questions
     lines = extraction.paragraphs(_docs(spark, d))
