@@ -6,6 +6,7 @@ dictionary is bounded by a parameter, so that each task can hold it.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -27,7 +28,8 @@ ALIKE, LONGER = 0.7, 2
 BROADCAST_ROWS = 100_000
 #: Doubled letters that are usual.
 USUAL_DOUBLES = ["ll", "ss", "tt", "ff", "mm", "nn", "pp", "rr", "cc", "dd", "gg", "bb"]
-_BINS = 64
+#: Words of 64 bits for letters and their numbers in a word, and pairs that are bounded at once.
+_WORDS, _PAIRS = 2, 1 << 21
 
 
 def dictionary(texts: DataFrame, column: str = "text", most: int = WORDS, at_least: int = IN_TEXTS) -> list[str]:
@@ -49,59 +51,136 @@ def repaired(word: str, known: set[str]) -> str:
     return word
 
 
+def _least(total: int) -> int:
+    """The fewest matching characters that make words of so many characters in all more alike than ALIKE."""
+    m = 0
+    while 2.0 * m / total <= ALIKE:
+        m += 1
+    return m
+
+
 class Dictionary:
-    """Words by length, with their letters and these letters' counts: both bound how alike two words can
-    be, as no more letters match than are in both words, or in both in the same order."""
+    """Words by length, in a form in which many unknown words are compared with all of a length at once.
+
+    Two bounds leave few pairs to compare exactly: no more characters match than both words have, whatever
+    their order (of a word's nth of each letter one bit is set, and shared bits are counted), and none
+    but those of a common subsequence (found for all pairs at a time, a step for each character)."""
 
     def __init__(self, words: list[str]):
         self.known = set(words)
-        self.by_length: dict[int, tuple[list[str], np.ndarray, np.ndarray]] = {}
-        for length in {len(word) for word in words}:
-            own = sorted(word for word in self.known if len(word) == length)
-            letters = np.array([[ord(c) for c in word] for word in own], np.int32)
-            self.by_length[length] = (own, letters, np.stack([self._counts(word) for word in own], axis=1))
-
-    @staticmethod
-    def _counts(word: str) -> np.ndarray:
-        return np.minimum(np.bincount([ord(c) % _BINS for c in word], minlength=_BINS), 255).astype(np.uint8)
+        tokens = Counter(token for word in self.known for token in self._tokens(word))
+        self.bit = {token: i for i, (token, _) in enumerate(sorted(tokens.items(), key=lambda x: (-x[1], x[0]))[: 64 * _WORDS])}
+        self.letter = {c: i for i, c in enumerate(sorted({c for word in self.known for c in word}))}
+        self.by_length: dict[int, tuple[list[str], np.ndarray, np.ndarray, np.ndarray]] = {}
+        grouped: dict[int, list[str]] = defaultdict(list)
+        for word in sorted(self.known):
+            grouped[len(word)].append(word)
+        for length, own in grouped.items():
+            letters = np.array([[self.letter[c] for c in word] for word in own], np.int32).reshape(len(own), length)
+            self.by_length[length] = (own, letters, *self._bits(own))
 
     @staticmethod
-    def _in_order(word: str, letters: np.ndarray) -> np.ndarray:
-        """The longest common subsequence's length of ``word`` and each row of ``letters``."""
-        longest = np.zeros((len(letters), letters.shape[1] + 1), np.int16)
+    def _tokens(word: str) -> list[tuple[str, int]]:
+        seen: Counter = Counter()
+        out = []
         for c in word:
-            longest[:, 1:] = np.maximum.accumulate(np.maximum(longest[:, 1:], longest[:, :-1] + (letters == ord(c))), axis=1)
-        return longest[:, -1]
-
-    def closest(self, word: str) -> str | None:
-        """The most alike word over ALIKE, of equal ones the first by length, then by code point."""
-        if len(word) < 2:
-            return None
-        own, near = self._counts(word), []
-        used = np.flatnonzero(own)
-        for length in range(max(1, len(word) - LONGER), len(word) + LONGER + 1):
-            if length in self.by_length:
-                words, letters, counts = self.by_length[length]
-                # counts stop at 255, so that words longer than that are never left out by them
-                both = np.minimum(counts[used], own[used, None]).sum(axis=0, dtype=np.int32)
-                some = np.flatnonzero((2 * both / (length + len(word)) > ALIKE) | (min(length, len(word)) > 255))
-                bound = 2 * self._in_order(word, letters[some]) / (length + len(word))
-                near += [(-bound[i], length, words[some[i]]) for i in np.flatnonzero(bound > ALIKE).tolist()]
-        best, top, matcher = None, ALIKE, SequenceMatcher(None, word)
-        for bound, length, other in sorted(near):  # the most promising first: the others needn't be compared
-            if -bound < top:
-                break
-            matcher.set_seq2(other)
-            ratio = matcher.ratio()
-            if ratio > top or (best is not None and ratio == top and (length, other) < best):
-                best, top = (length, other), ratio
-        return best and best[1]
-
-    def correct(self, word: str) -> str | None:
-        """What an unknown word becomes, or null: the closest word, else the repaired one if it is known."""
-        if (found := self.closest(word)) is not None:
-            return found
-        return fixed if (fixed := repaired(word, self.known)) != word and fixed in self.known else None
+            out.append((c, seen[c]))
+            seen[c] += 1
+        return out
+
+    def _bits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """[words, _WORDS] bits of the tokens that have one, and how many other tokens each word has."""
+        bits, others = np.zeros((len(words), _WORDS), np.uint64), np.zeros(len(words), np.int16)
+        for i, word in enumerate(words):
+            for token in self._tokens(word):
+                if (at := self.bit.get(token)) is None:
+                    others[i] += 1
+                else:
+                    bits[i, at >> 6] |= np.uint64(1 << (at & 63))
+        return bits, others
+
+    def _in_order(self, words: list[str], row: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """Lengths of the longest common subsequences of pairs: of the word that ``row`` names, of 64
+        characters at most, and the other one's ``letters``."""
+        places = np.zeros((len(words), len(self.letter)), np.uint64)
+        for i, word in enumerate(words):
+            for k, c in enumerate(word):
+                if (at := self.letter.get(c)) is not None:
+                    places[i, at] |= np.uint64(1 << k)
+        open_ = np.full(len(row), (1 << 64) - 1, np.uint64)  # a bit falls to 0 with each character that is matched
+        for column in letters.T:
+            at = places[row, column]
+            hit = open_ & at
+            open_ = (open_ + hit) | (open_ & ~at)
+        return np.bitwise_count(~open_).astype(np.int32)
+
+    def near(self, words: list[str]) -> list[list[tuple[float, int, str]]]:
+        """For each of the words, which have one length, what may be more alike than ALIKE: (bound of the ratio
+        times -1, length, word), the most promising first."""
+        out: list[list[tuple[float, int, str]]] = [[] for _ in words]
+        size = len(words[0]) if words else 0
+        if size < 2:
+            return out
+        bits, others = self._bits(words)
+        for length in range(max(1, size - LONGER), size + LONGER + 1):
+            if length not in self.by_length:
+                continue
+            own, letters, own_bits, own_others = self.by_length[length]
+            least, step = _least(size + length), max(1, _PAIRS // len(own))
+            for start in range(0, len(words), step):
+                some = slice(start, start + step)
+                both = np.minimum(others[some, None], own_others[None, :])
+                for k in range(_WORDS):
+                    both = both + np.bitwise_count(bits[some, k, None] & own_bits[None, :, k])
+                row, column = np.nonzero(both >= least)
+                matched = self._in_order(words[some], row, letters[column]) if size <= 64 else both[row, column]
+                kept = np.flatnonzero(matched >= least)
+                for i, j, m in zip((row[kept] + start).tolist(), column[kept].tolist(), matched[kept].tolist(), strict=True):
+                    out[i].append((-2.0 * m / (size + length), length, own[j]))
+        return [sorted(found) for found in out]
+
+    def closest(self, words: list[str]) -> list[tuple[str, float] | None]:
+        """The most alike word over ALIKE of each, with its ratio, of equal ones the first by length, then by
+        code point; null if there is none."""
+        out: list[tuple[str, float] | None] = [None] * len(words)
+        by_length: dict[int, list[int]] = defaultdict(list)
+        for i, word in enumerate(words):
+            by_length[len(word)].append(i)
+        for places in by_length.values():
+            for i, near in zip(places, self.near([words[i] for i in places]), strict=True):
+                best, top, matcher = None, ALIKE, SequenceMatcher(None, words[i])
+                for bound, length, other in near:  # once none can be better, the others needn't be compared
+                    if -bound < top:
+                        break
+                    matcher.set_seq2(other)
+                    ratio = matcher.ratio()
+                    if ratio > top or (best is not None and ratio == top and (length, other) < best):
+                        best, top = (length, other), ratio
+                out[i] = best and (best[1], top)
+        return out
+
+    def correct(self, words: list[str]) -> list[str | None]:
+        """What unknown words become, or null: the closest word, else the repaired one if it is known."""
+        out = []
+        for word, found in zip(words, self.closest(words), strict=True):
+            fixed = found[0] if found else repaired(word, self.known)
+            out.append(fixed if fixed != word and fixed in self.known else None)
+        return out
+
+
+def similar_words(words: DataFrame, known: list[str]) -> DataFrame:
+    """word, closest, ratio: the most alike word of ``known`` for each distinct one of ``words`` (word) that has
+    one. ``known`` is bounded by whoever gives it, and shared with the tasks."""
+    shared = words.sparkSession.sparkContext.broadcast(known)
+
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = Dictionary(shared.value)
+        for batch in batches:
+            yield pd.DataFrame([found or (None, None) for found in own.closest(batch.tolist())], columns=["closest", "ratio"]).astype({"ratio": "float64"})
+
+    distinct = cut_lineage(words.where("word is not null").select("word").distinct())
+    found = spread(distinct, distinct.count()).select("word", F.pandas_udf(find, "closest string, ratio double")("word").alias("f"))
+    return found.where("f.closest is not null").select("word", "f.*")
 
 
 def corrections(words: DataFrame, known: list[str]) -> DataFrame:
@@ -113,7 +192,8 @@ def corrections(words: DataFrame, known: list[str]) -> DataFrame:
     def correct(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Dictionary(shared.value)
         for batch in batches:
-            yield batch.map(lambda word: None if word in own.known else own.correct(word)).astype(object)
+            unknown = batch[~batch.isin(own.known)]
+            yield pd.Series(own.correct(unknown.tolist()), unknown.index, dtype=object).reindex(batch.index, fill_value=None)
 
     distinct = words.select("word").distinct().withColumn("listed", F.try_element_at(table, F.col("word")))
     listed = distinct.where("listed is not null").select("word", F.col("listed").alias("right"))
@@ -125,18 +205,21 @@ def corrections(words: DataFrame, known: list[str]) -> DataFrame:
 def fix_texts(rows: DataFrame, known: list[str], column: str = "text") -> DataFrame:
     """``rows`` with fixed (the text with its words corrected, joined by blanks, with a capital in front
     if it had one), n_fixed and confidence, which falls by half the share of corrected words, to 0.1 at
-    least. A text without words stays as it is, with confidence 1; null is null."""
-    texts = rows.select(F.col(column).alias("_text")).where("_text is not null").distinct()
-    words = texts.select("_text", F.posexplode(T.tokens(F.col("_text"))).alias("pos", "word"))
+    least; columns of these names are replaced. A text without words stays as it is, with confidence 1;
+    null is null. Equal texts are corrected once, and found again by a digest."""
+    added = ["fixed", "n_fixed", "confidence"]
+    packed = rows.select(F.struct(*[rows[c] for c in rows.columns if c not in added or c == column]).alias("row"), F.md5(F.col(column).cast("binary")).alias("key"))
+    texts = packed.where("key is not null").groupBy("key").agg(F.any_value(F.col(f"row.{column}")).alias("text"))
+    words = texts.select("key", F.posexplode(T.tokens(F.col("text"))).alias("pos", "word"))
     # counted before it is broadcast; else the words are joined by a shuffle
     right = cut_lineage(corrections(words, known))
     right = F.broadcast(right) if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else right
-    fixed = words.join(right, "word", "left").groupBy("_text").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("right", "word").alias("word")))).alias("w"), F.count("right").alias("n_fixed"), F.count("*").alias("n"))
+    fixed = words.join(right, "word", "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("right", "word").alias("word")))).alias("w"), F.count("right").alias("n_fixed"), F.count("*").alias("n"))
+    out = packed.join(fixed, "key", "left")
     text = F.array_join(F.col("w.word"), " ")
-    text = F.when(F.col("_text").rlike(r"(?U)^\p{Lu}"), F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))).otherwise(text)
-    fixed = fixed.select("_text", text.alias("fixed"), "n_fixed", F.greatest(F.lit(0.1), 1.0 - F.col("n_fixed") / (2.0 * F.col("n"))).alias("confidence"))
-    out = rows.join(fixed, F.col(column) == F.col("_text"), "left").drop("_text")
-    return out.withColumn("fixed", F.coalesce("fixed", column)).withColumn("n_fixed", F.coalesce("n_fixed", F.lit(0))).withColumn("confidence", F.coalesce("confidence", F.lit(1.0)))
+    text = F.when(F.col(f"row.{column}").rlike(r"(?U)^\p{Lu}"), F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))).otherwise(text)
+    confidence = F.when(F.col("n") > 0, F.greatest(F.lit(0.1), 1.0 - F.col("n_fixed") / (2.0 * F.col("n"))))
+    return out.select("row.*", F.coalesce(text, F.col(f"row.{column}")).alias("fixed"), F.coalesce("n_fixed", F.lit(0)).alias("n_fixed"), F.coalesce(confidence, F.lit(1.0)).alias("confidence"))
 
 
 def correction_confidence(original: str, corrected: str) -> float:

@@ -93,6 +93,18 @@ def fix_typos(spark: SparkSession, d: str) -> DataFrame:
     return typos.with_confidence(fixed, "text", "fixed").drop("text")
 
 
+def _unknown_words(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """The words of user queries that the store's own words lack, and those."""
+    known = typos.dictionary(_docs(spark, d))
+    words = table(spark, d, "conversations").where("role = 'user'").select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct()
+    return words.join(spark.createDataFrame([(word,) for word in known], "word string"), "word", "left_anti"), known
+
+
+@register("j20_similar_words")
+def similar_words(spark: SparkSession, d: str) -> DataFrame:
+    return typos.similar_words(*_unknown_words(spark, d))
+
+
 @register("t13_formal_grammar")
 def formal_grammar(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", T.formal_grammar(F.col("text")).alias("text"))
