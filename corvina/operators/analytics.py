@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,29 +13,77 @@ def confidence_bucket(confidence: Column) -> Column:
     return F.when(confidence > 0.8, "high").when(confidence >= 0.5, "medium").otherwise("low")
 
 
-def half_split(rows: DataFrame, by: list[str], order: list[str], value: str, step: float, least: int) -> DataFrame:
+#: Seconds of a time bucket: windows over few keys are cut into buckets, with carry-over between them; those over
+#: many keys, each with fewer rows, into longer ones.
+BUCKET, DAY = 3600, 86_400
+
+
+def _bucket(ts: str, seconds: int) -> Column:
+    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000)).alias("_bucket")
+
+
+def _bucket_of(rows: DataFrame, column: str, size: int) -> Column:
+    """The bucket of a time, or of a number."""
+    return _bucket(column, size) if rows.schema[column].dataType.simpleString().startswith("timestamp") else F.floor(F.col(column) / size).alias("_bucket")
+
+
+def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` with the other columns of ``right``, which has a row for each of the keys; null is one too."""
+    named = right.select(*[F.col(c).alias(f"_of_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return left.join(named, same, "left").drop(*[f"_of_{c}" for c in keys])
+
+
+def half_split(rows: DataFrame, by: list[str], order: list[str], value: str, step: float, least: int, bucket: int = DAY) -> DataFrame:
     """Per group: n, mean of ``value`` in the first n // 2 rows and in the rest, and their trend.
 
-    Ranks need one ordering per group; groups are components or users, and rows are narrowed to the
-    columns used before they are sorted.
-    """
-    window = Window.partitionBy(*by)
-    ranked = rows.select(*by, *order, value).withColumn("_rn", F.row_number().over(window.orderBy(*order))).withColumn("n", F.count("*").over(window))
-    first = F.col("_rn") <= F.floor(F.col("n") / 2)
-    mean = lambda part: F.sum(F.when(part, F.col(value))) / F.count(F.when(part, 1))
-    out = ranked.groupBy(*by).agg(F.max("n").alias("n"), mean(first).alias("first_mean"), mean(~first).alias("second_mean"))
+    Buckets of the first column of ``order`` are counted and summed up; only the bucket in which a group's
+    half ends is ranked row by row, so no group's whole history is sorted."""
+    narrow = rows.select(*by, *order, value, _bucket_of(rows, order[0], bucket))
+    groups = Window.partitionBy(*by)
+    parts = narrow.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"), F.sum(value).alias("_sum"))
+    parts = parts.withColumn("_upto", F.sum("_n").over(groups.orderBy("_bucket"))).withColumn("n", F.sum("_n").over(groups))
+    parts = parts.withColumn("_half", F.floor(F.col("n") / 2)).withColumn("_ahead", F.col("_upto") - F.col("_n"))
+    edge = (F.col("_ahead") < F.col("_half")) & (F.col("_half") < F.col("_upto"))
+    first = F.sum(F.when(F.col("_upto") <= F.col("_half"), F.col("_sum")))
+    rest = F.sum(F.when(F.col("_ahead") >= F.col("_half"), F.col("_sum")))
+    sums = parts.groupBy(*by).agg(F.max("n").alias("n"), F.max("_half").alias("_half"), first.alias("_first"), rest.alias("_rest"))
+    cut = parts.where(edge).select(*by, F.col("_bucket").alias("_edge"), (F.col("_half") - F.col("_ahead")).alias("_take"))
+    split = _with(narrow, cut, by).where(F.col("_bucket").eqNullSafe(F.col("_edge")))
+    split = split.withColumn("_is_first", F.row_number().over(groups.orderBy(*order)) <= F.col("_take"))
+    split = split.groupBy(*by).agg(F.sum(F.when(F.col("_is_first"), F.col(value))).alias("_first_edge"), F.sum(F.when(~F.col("_is_first"), F.col(value))).alias("_rest_edge"))
+    both = _with(sums, split, by)
+    plus = lambda x, y: F.coalesce(F.col(x) + F.col(y), x, y)
+    mean = lambda x, y, n: F.when(n > 0, plus(x, y) / n)
+    out = both.select(*by, "n", mean("_first", "_first_edge", F.col("_half")).alias("first_mean"), mean("_rest", "_rest_edge", F.col("n") - F.col("_half")).alias("second_mean"))
     move = F.col("second_mean") - F.col("first_mean")
     trend = F.when(F.col("n") < least, "insufficient_data").when(move > step, "improving").when(move < -step, "declining").otherwise("stable")
     return out.withColumn("trend", trend)
 
 
+def first_last(rows: DataFrame, by: list[str], order: list[str], value: str, most: int) -> DataFrame:
+    """Per group: n and the first and last ``most`` values in order (arrays, both ascending). Each task cuts its
+    part of a group down to as many rows from either end before the shuffle; nothing else is sorted."""
+    narrow = rows.select(*by, F.struct(*order, F.col(value).alias("_value")).alias("_item"))
+
+    def end(direction: Column, name: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(direction))
+        cut = narrow.withColumn("_rn", place).where(F.col("_rn") <= most)
+        return cut.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list("_item")), lambda x: x["_value"]).alias(name))
+
+    n = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    return _with(_with(n, end(F.col("_item").asc(), "first"), by), end(F.col("_item").desc(), "last"), by)
+
+
 def head_tail(rows: DataFrame, by: list[str], order: list[str], value: str, most: int = 5) -> DataFrame:
     """Per group: means of the first and last min(most, n // 3) rows."""
-    window = Window.partitionBy(*by)
-    ranked = rows.select(*by, *order, value).withColumn("_rn", F.row_number().over(window.orderBy(*order))).withColumn("n", F.count("*").over(window))
-    size = F.least(F.lit(most), F.floor(F.col("n") / 3))
-    head, tail = F.col("_rn") <= size, F.col("_rn") > F.col("n") - size
-    return ranked.groupBy(*by).agg(F.max("n").alias("n"), (F.sum(F.when(head, F.col(value))) / F.count(F.when(head, 1))).alias("head_mean"), (F.sum(F.when(tail, F.col(value))) / F.count(F.when(tail, 1))).alias("tail_mean"))
+    ends = first_last(rows, by, order, value, most).withColumn("_size", F.least(F.lit(most), F.floor(F.col("n") / 3)).cast("int"))
+    head, tail = F.slice("first", 1, F.greatest("_size", F.lit(0))), F.slice("last", F.size("last") - F.col("_size") + 1, F.col("_size"))
+    total = lambda part: F.aggregate(F.filter(part, lambda x: x.isNotNull()), F.lit(0).cast(rows.schema[value].dataType), lambda s, x: (s + x).cast(rows.schema[value].dataType))
+    mean = lambda part: F.when(F.col("_size") > 0, total(part) / F.col("_size"))
+    return ends.select(*by, "n", mean(head).alias("head_mean"), mean(tail).alias("tail_mean"))
 
 
 def order_statistics(rows: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -47,14 +97,6 @@ def order_statistics(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return cum.groupBy(*by).agg(F.max("n").alias("n"), at(F.floor(F.col("n") / 2)).alias("upper_median"), p95.alias("p95"), F.min(value).alias("least"), F.max(value).alias("most"))
 
 
-#: Seconds of a time bucket: windows over few keys are cut into buckets, with carry-over between them.
-BUCKET = 3600
-
-
-def _bucket(ts: str, seconds: int) -> Column:
-    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000)).alias("_bucket")
-
-
 def moving(rows: DataFrame, by: list[str], order: list[str], value: str, size: int = 10, bucket: int = BUCKET) -> DataFrame:
     """Adds n_window and sum_window over the trailing ``size`` rows. ``order``: a time column, then what
     breaks ties.
@@ -88,22 +130,40 @@ def trailing(rows: DataFrame, by: list[str], ts: str, value: str, seconds: int =
     return out.where("_bucket = _own").select("_row.*", "n_window", "sum_window")
 
 
-def streaks(rows: DataFrame, by: list[str], order: list[str], failed: Column) -> DataFrame:
+def streaks(rows: DataFrame, by: list[str], order: list[str], failed: Column, bucket: int = DAY) -> DataFrame:
     """Adds streak: how many failed rows end here without a success between, and the tier of the
-    answer that goes with it."""
-    window = Window.partitionBy(*by).orderBy(*order)
-    islands = rows.withColumn("_failed", failed.cast("int")).withColumn("_island", F.sum(1 - F.col("_failed")).over(window))
-    streak = F.sum("_failed").over(Window.partitionBy(*by, "_island").orderBy(*order))
-    out = islands.withColumn("streak", F.when(F.col("_failed") == 1, streak).otherwise(0)).drop("_failed", "_island")
+    answer that goes with it. A key's rows are cut into buckets of the first column of ``order``; what a bucket
+    needs is how many failed rows the ones before it end with, which a row for each bucket tells."""
+    own = rows.select(F.struct("*").alias("_row"), *by, *order, failed.cast("int").alias("_failed"), _bucket_of(rows, order[0], bucket))
+    own = own.withColumn("_island", F.sum(1 - F.col("_failed")).over(Window.partitionBy(*by, "_bucket").orderBy(*order)))
+    own = own.withColumn("_run", F.sum("_failed").over(Window.partitionBy(*by, "_bucket", "_island").orderBy(*order)))
+    islands = own.groupBy(*by, "_bucket", "_island").agg(F.sum("_failed").alias("_run"))
+    ends = islands.groupBy(*by, "_bucket").agg(F.max_by("_run", "_island").alias("_end"), (F.max("_island") > 0).cast("int").alias("_broken"))
+    buckets = Window.partitionBy(*by).orderBy("_bucket")
+    ends = ends.withColumn("_since", F.sum("_broken").over(buckets))
+    ends = ends.withColumn("_open", F.sum("_end").over(Window.partitionBy(*by, "_since").orderBy("_bucket")))
+    ends = ends.select(*by, "_bucket", F.coalesce(F.lag("_open").over(buckets), F.lit(0)).alias("_carried"))
+    out = _with(own, ends, [*by, "_bucket"])
+    streak = F.when(F.col("_failed") == 1, F.col("_run") + F.when(F.col("_island") == 0, F.col("_carried")).otherwise(0)).otherwise(0)
+    out = out.select("_row.*", streak.alias("streak"))
     return out.withColumn("tier", F.when(F.col("streak") == 0, "answered").when(F.col("streak") == 1, "first_miss").when(F.col("streak") == 2, "second_miss").otherwise("escalate"))
 
 
+#: What is left of a row's weight behind this many later ones is under 1e-40, less than a double can tell.
+VANISHED = 1e-40
+
+
 def smoothed(rows: DataFrame, by: list[str], order: str, value: str, alpha: float = 0.1) -> DataFrame:
     """Per group: exponential moving average in order, started by the first value that isn't 0.
-    The fold is sequential: meant for groups of a bounded window of rows."""
+
+    The fold is sequential, but a row's weight shrinks by 1 - alpha with each later one: only as many of a
+    group's last rows are folded as can change a double (VANISHED), and each task keeps no more of them."""
+    most = math.ceil(math.log(VANISHED) / math.log(1 - alpha))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order)))
+    last = rows.select(*by, order, value).withColumn("_rn", place).where(F.col("_rn") <= most)
     ordered = F.array_sort(F.collect_list(F.struct(order, value)))
     ema = F.aggregate(F.col("_v"), F.lit(0.0), lambda s, x: F.when(s == 0.0, x[value].cast("double")).otherwise(s * (1 - alpha) + x[value] * alpha))
-    return rows.groupBy(*by).agg(ordered.alias("_v")).withColumn("ema", ema).drop("_v")
+    return last.groupBy(*by).agg(ordered.alias("_v")).withColumn("ema", ema).drop("_v")
 
 
 def quality_alerts(rows: DataFrame, confidence: Column, response_time: Column) -> DataFrame:
@@ -116,26 +176,35 @@ def quality_alerts(rows: DataFrame, confidence: Column, response_time: Column) -
     return rows.withColumn("_alert", F.explode(F.array_compact(found))).select("*", "_alert.*").drop("_alert")
 
 
+def _runs(rows: DataFrame, by: list[str], order: list[str], ts: str, gap_seconds: int, bucket: int, value: Column | None = None) -> DataFrame:
+    """Rows of a key that follow each other within the gap, as one: _no (from 1), first_at, last_at, n, and the last
+    ``value``. A key's rows are cut into buckets of time, in which runs are found and summed up; whether a bucket's
+    first run goes on from the bucket before, and its number, come from a row for each bucket."""
+    gap = gap_seconds * 1_000_000
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy(*order)
+    placed = rows.select(*by, *dict.fromkeys([*order, ts]), (F.lit(None) if value is None else value).alias("_value"), _bucket(ts, bucket))
+    fresh = F.coalesce(at(ts) - F.lag(at(ts)).over(inside) > gap, F.lit(True)).cast("int")
+    last = F.max(F.struct(*order, "_value")).alias("_last_row")
+    runs = placed.withColumn("_fresh", fresh).withColumn("_nth", F.sum("_fresh").over(inside))
+    runs = runs.groupBy(*by, "_bucket", "_nth").agg(F.min(ts).alias("first_at"), F.max(ts).alias("last_at"), F.count("*").alias("n"), last)
+    buckets = Window.partitionBy(*by).orderBy("_bucket")
+    ends = runs.groupBy(*by, "_bucket").agg(F.min("first_at").alias("_first"), F.max("last_at").alias("_last"), F.max("_nth").alias("_size"))
+    goes_on = F.coalesce(at("_first") - F.lag(at("_last")).over(buckets) <= gap, F.lit(False)).cast("int")
+    ends = ends.withColumn("_new", F.col("_size") - goes_on).withColumn("_upto", F.sum("_new").over(buckets))
+    ends = ends.select(*by, "_bucket", (F.col("_upto") - F.col("_size")).alias("_ahead"))
+    numbered = _with(runs, ends, [*by, "_bucket"]).withColumn("_no", F.col("_nth") + F.col("_ahead"))
+    return numbered.groupBy(*by, "_no").agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.sum("n").alias("n"), F.max("_last_row")["_value"].alias("value"))
+
+
 def deduplicated_alerts(alerts: DataFrame, by: list[str], order: list[str], gap_seconds: int, ts: str, bucket: int = BUCKET) -> DataFrame:
     """Alerts of one key that follow each other within the gap are one: first and last time, how often
-    it was raised, and the last value. A key's alerts are cut into buckets of time; a bucket needs the
-    last alert before it and the number of runs that began before it, and both come from a row for each
-    bucket."""
-    placed = alerts.withColumn("_bucket", _bucket(ts, bucket))
-    apart = lambda earlier: F.coalesce(F.unix_micros(F.col(ts)) - F.unix_micros(earlier) > gap_seconds * 1_000_000, F.lit(True))
-    buckets = Window.partitionBy(*by).orderBy("_bucket")
-    last = placed.groupBy(*by, "_bucket").agg(F.max(ts).alias("_last")).withColumn("_before", F.lag("_last").over(buckets)).drop("_last")
-    inside = Window.partitionBy(*by, "_bucket").orderBy(*order)
-    rows = placed.join(last, [*by, "_bucket"]).withColumn("_new", apart(F.coalesce(F.lag(ts).over(inside), F.col("_before"))).cast("int"))
-    rows = rows.withColumn("_nth", F.sum("_new").over(inside))
-    begun = rows.groupBy(*by, "_bucket").agg(F.sum("_new").alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(buckets.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    numbered = rows.join(begun, [*by, "_bucket"]).withColumn("alert_no", F.col("_nth") + F.col("_ahead"))
-    return numbered.groupBy(*by, "alert_no").agg(F.min(ts).alias("first_at"), F.max(ts).alias("last_at"), F.count("*").alias("n_raised"), F.max_by("current_value", F.struct(*order)).alias("current_value"))
+    it was raised, and the last value."""
+    runs = _runs(alerts, by, order, ts, gap_seconds, bucket, F.col("current_value"))
+    return runs.select(*by, F.col("_no").alias("alert_no"), "first_at", "last_at", F.col("n").alias("n_raised"), F.col("value").alias("current_value"))
 
 
-def sessions(rows: DataFrame, by: list[str], ts: str, gap_minutes: int = 30) -> DataFrame:
+def sessions(rows: DataFrame, by: list[str], ts: str, gap_minutes: int = 30, bucket: int = DAY) -> DataFrame:
     """Per key and session (no gap over ``gap_minutes``): start, end, n_interactions."""
-    window = Window.partitionBy(*by).orderBy(ts)
-    new = F.coalesce(F.unix_micros(F.col(ts)) - F.unix_micros(F.lag(ts).over(window)) > gap_minutes * 60_000_000, F.lit(True))
-    numbered = rows.select(*by, ts).withColumn("session_no", F.sum(new.cast("int")).over(window))
-    return numbered.groupBy(*by, "session_no").agg(F.min(ts).alias("started_at"), F.max(ts).alias("last_activity"), F.count("*").alias("n_interactions"))
+    runs = _runs(rows, by, [ts], ts, gap_minutes * 60, bucket)
+    return runs.select(*by, F.col("_no").alias("session_no"), F.col("first_at").alias("started_at"), F.col("last_at").alias("last_activity"), F.col("n").alias("n_interactions"))

@@ -27,16 +27,10 @@ def structure(lines: DataFrame) -> DataFrame:
     return out.withColumn("section", F.sum(F.col("is_header").cast("int")).over(window))
 
 
-def section_spans(lines: DataFrame) -> DataFrame:
-    """doc_id, section, starts_at, ends_before: each section's range of lines, for range joins."""
-    return structure(lines).groupBy("doc_id", "section").agg(F.min("idx").alias("starts_at"), (F.max("idx") + 1).alias("ends_before"))
-
-
-def place_in_sections(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """Each (doc_id, idx) with the section whose span holds it."""
-    s = spans.alias("s")
-    holds = (points["doc_id"] == F.col("s.doc_id")) & (points["idx"] >= F.col("s.starts_at")) & (points["idx"] < F.col("s.ends_before"))
-    return points.join(s, holds).select(points["doc_id"], points["idx"], "section")
+def place_in_sections(points: DataFrame, lines: DataFrame) -> DataFrame:
+    """Each (doc_id, idx) of ``points`` that is a line of ``lines`` with its section: an equi-join on the line, since
+    ``structure`` has numbered the sections line by line already."""
+    return points.join(structure(lines).select("doc_id", "idx", "section"), ["doc_id", "idx"])
 
 
 def adjacent_pairs(lines: DataFrame, least: float = 0.3) -> DataFrame:

@@ -45,7 +45,7 @@ def _blocks(rows: DataFrame, names: tuple[str, str, str]) -> tuple[DataFrame, in
     return both.select(dim, F.col("b.row").alias(packed), F.flatten("b.embedding").alias(flat)), parts
 
 
-def _cosines(threshold: float, most: int | None):
+def _cosines(threshold: float, most: int | None, slack: float = 0.0):
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
@@ -63,7 +63,7 @@ def _cosines(threshold: float, most: int | None):
                 sim = np.clip(sim / (np.sqrt(e_norm)[:, None] * np.sqrt(q_norm)[None, :]), -1, 1)
                 keep = sim >= threshold
                 if most is not None and len(e) > most:
-                    keep &= sim >= np.partition(sim, len(e) - most, axis=0)[len(e) - most]
+                    keep &= sim >= np.partition(sim, len(e) - most, axis=0)[len(e) - most] - slack
                 i, j = np.nonzero(keep)
                 found.append((i.astype(np.int32), j.astype(np.int32), sim[i, j]))
             yield pd.DataFrame(found, columns=["i", "j", "sim"])
@@ -71,9 +71,10 @@ def _cosines(threshold: float, most: int | None):
     return score
 
 
-def vector_scores(entries: DataFrame, queries: DataFrame, threshold: float, most: int | None = None) -> DataFrame:
+def vector_scores(entries: DataFrame, queries: DataFrame, threshold: float, most: int | None = None, slack: float = 0.0) -> DataFrame:
     """qid, the entry's columns and sim, where the cosine is at least the threshold. ``queries``: qid,
-    embedding. With ``most`` given, only rows that can be among a query's ``most`` best are passed on.
+    embedding. With ``most`` given, only rows that can be among a query's ``most`` best are passed on, if what
+    they are ranked by differs from the cosine by no more than ``slack`` in all.
 
     Entries and queries are packed into blocks, and each pair of blocks is scored in numpy, in double
     precision: the work is all pairs of the stated queries, the rows that leave a task are hits.
@@ -84,7 +85,7 @@ def vector_scores(entries: DataFrame, queries: DataFrame, threshold: float, most
     e, _ = _blocks(entries, ("e_dim", "e_rows", "e_flat"))
     q, parts = _blocks(queries.select("qid", "embedding"), ("q_dim", "q_rows", "q_flat"))
     pairs = e.crossJoin(F.broadcast(q) if parts <= BROADCAST_BLOCKS else q)
-    hits = F.pandas_udf(_cosines(threshold, most), "i array<int>, j array<int>, sim array<double>")("e_dim", "e_flat", "q_dim", "q_flat")
+    hits = F.pandas_udf(_cosines(threshold, most, slack), "i array<int>, j array<int>, sim array<double>")("e_dim", "e_flat", "q_dim", "q_flat")
     pairs = pairs.select("e_rows", "q_rows", hits.alias("h"))
     named = F.transform(F.arrays_zip("h.i", "h.j", "h.sim"), lambda h: F.struct(F.get("q_rows", h["j"])["qid"].alias("qid"), F.get("e_rows", h["i"]).alias("row"), h["sim"].alias("sim")))
     return pairs.select(F.explode(named).alias("p")).select("p.qid", "p.row.*", "p.sim")
@@ -112,6 +113,34 @@ def cell_scores(entries: DataFrame, queries: DataFrame, threshold: float, most:
     return pairs.select(F.explode(named).alias("p")).select("p.*")
 
 
+def similarity_counts(entries: DataFrame, queries: DataFrame, threshold: float, above: float) -> DataFrame:
+    """qid, n (entries whose cosine is at least the threshold), n_above, best_id (ties: the smaller id), for queries
+    that any entry reaches. Pairs are counted inside their blocks: a row for each query and pair of blocks leaves a task."""
+    session = entries.sparkSession
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    e, _ = _blocks(entries.select("id", "embedding"), ("e_dim", "e_rows", "e_flat"))
+    q, parts = _blocks(queries.select("qid", "embedding"), ("q_dim", "q_rows", "q_flat"))
+    pairs = e.crossJoin(F.broadcast(q) if parts <= BROADCAST_BLOCKS else q)
+    scores = _cosines(threshold, None)
+
+    def count(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for ids, qids, *rest in batches:
+            out = []
+            for own, asked, found in zip(ids, qids, next(scores(iter([tuple(rest)]))).itertuples(index=False), strict=True):
+                own, rows = np.asarray(own), []
+                for j in np.unique(found.j).tolist():
+                    at = found.j == j
+                    sim, entry = found.sim[at], own[found.i[at]]
+                    best = np.lexsort((entry, -sim))[0]
+                    rows.append({"qid": int(asked[j]), "n": int(at.sum()), "n_above": int((sim >= above).sum()), "sim": float(sim[best]), "id": int(entry[best])})
+                out.append(rows)
+            yield pd.Series(out, dtype=object)
+
+    counted = F.pandas_udf(count, "array<struct<qid:bigint,n:bigint,n_above:bigint,sim:double,id:bigint>>")
+    found = pairs.select(F.explode(counted(F.col("e_rows.id"), F.col("q_rows.qid"), "e_dim", "e_flat", "q_dim", "q_flat")).alias("c")).select("c.*")
+    return found.groupBy("qid").agg(F.sum("n").alias("n"), F.sum("n_above").alias("n_above"), F.max_by("id", F.struct("sim", -F.col("id"))).alias("best_id"))
+
+
 def filtered(scored: DataFrame, keep: Column, k: int, over_fetch: int = 5) -> DataFrame:
     """The first k of the best over_fetch * k rows of each query that pass ``keep``: rows behind those
     are not considered, even if fewer than k pass."""

@@ -151,10 +151,12 @@ def keyword_counts(rows: DataFrame, by: str, text: str, k: int) -> DataFrame:
 def with_versions(versions: DataFrame, keep: int) -> DataFrame:
     """Versions (version_id, created_at, is_active) with is_current, the newest active one, and kept: whether
     they are among the newest ``keep``."""
-    newest = F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("version_id")))
-    ranked = versions.withColumn("_rn", newest)
-    first = ranked.where("is_active").agg(F.min("_rn").alias("_first"))
-    return ranked.crossJoin(F.broadcast(first)).select(*versions.columns, F.coalesce(F.col("_rn") == F.col("_first"), F.lit(False)).alias("is_current"), (F.col("_rn") <= keep).alias("kept"))
+    place = F.struct("created_at", "version_id")
+    # two values and at most ``keep`` rows, found by partial aggregates and sorts: no task has all versions
+    edge = versions.orderBy(F.desc("created_at"), F.desc("version_id")).limit(keep).agg(F.min(place).alias("_edge"))
+    first = versions.where("is_active").agg(F.max(place).alias("_first"))
+    both = versions.join(F.broadcast(edge), how="cross").join(F.broadcast(first), how="cross")
+    return both.select(*versions.columns, F.coalesce(place == F.col("_first"), F.lit(False)).alias("is_current"), F.coalesce(place >= F.col("_edge"), F.lit(False)).alias("kept"))
 
 
 def rolled_back(versions: DataFrame, to: str) -> DataFrame:

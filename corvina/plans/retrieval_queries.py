@@ -25,10 +25,13 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
 
 
-def _scored(spark: SparkSession, d: str, most: int | None, keep=None) -> DataFrame:
+def _queries(v: DataFrame) -> DataFrame:
+    return v.where(F.col("id") % EVERY == 0).select(F.col("id").alias("qid"), "embedding")
+
+
+def _scored(spark: SparkSession, d: str, most: int | None, keep=None, slack: float = 0.0) -> DataFrame:
     v = _vectors(spark, d)
-    queries = v.where(F.col("id") % EVERY == 0).select(F.col("id").alias("qid"), "embedding")
-    return R.vector_scores(v if keep is None else v.where(keep), queries, THRESHOLD, most)
+    return R.vector_scores(v if keep is None else v.where(keep), _queries(v), THRESHOLD, most, slack)
 
 
 def _top(rows: str, k: int, score: str = "sim") -> str:
@@ -66,7 +69,8 @@ def boosted(spark: SparkSession, d: str) -> DataFrame:
 @register("o07_relevance", f"""WITH {_SCORES}, s AS (SELECT qid, id, CAST(0.7 AS DOUBLE) * sim + CAST(0.2 AS DOUBLE) * (label / CAST(10 AS DOUBLE)) + CAST(0.1 AS DOUBLE) * (CASE WHEN id % 400 <= 30 THEN 1 WHEN id % 400 <= 90 THEN CAST(0.8 AS DOUBLE) WHEN id % 400 <= 180 THEN CAST(0.6 AS DOUBLE) ELSE CAST(0.4 AS DOUBLE) END) AS relevance FROM scored),
 t AS ({_top('s', 10, 'relevance')}) SELECT qid, id, CAST(rn AS INT) AS rn FROM t""")
 def relevance(spark: SparkSession, d: str) -> DataFrame:
-    scored = _scored(spark, d, None).withColumn("relevance", R.relevance(F.col("sim"), F.col("label") / 10.0, F.col("id") % 400))
+    # what isn't similarity makes up 0.3 of a relevance of which similarity makes up 0.7
+    scored = _scored(spark, d, 10, slack=0.3 / 0.7 + 1e-9).withColumn("relevance", R.relevance(F.col("sim"), F.col("label") / 10.0, F.col("id") % 400))
     return R.top_k(scored, 10, ["qid"], "relevance").select("qid", "id", "rn")
 
 

@@ -12,7 +12,7 @@ from corvina.functions import vectors as V
 from corvina.operators import retrieval as R
 from corvina.operators import service as S
 from corvina.plans.analytics_queries import CONFIDENCE_SQL, _alerts, _ALERTS, confidence
-from corvina.plans.retrieval_queries import _SCORES, _scored, _top
+from corvina.plans.retrieval_queries import _SCORES, THRESHOLD, _queries, _scored, _top, _vectors
 from corvina.plans.views import AS_OF, ENTRIES_SQL, FEEDBACK_SQL, LOG_SQL, entries, feedback, query_log
 from corvina.registry import register
 from corvina.session import table
@@ -110,7 +110,8 @@ def session_means(spark: SparkSession, d: str) -> DataFrame:
 
 @register("a39_similarity_stats", f"WITH {_SCORES} SELECT qid, count(*) AS n, count(*) FILTER (sim >= 0.25) AS n_above, arg_max(id, (sim, -id)) AS best_id FROM scored GROUP BY qid")
 def similarity_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d, None).groupBy("qid").agg(F.count("*").alias("n"), _n(F.col("sim") >= 0.25).alias("n_above"), F.max_by("id", F.struct("sim", -F.col("id"))).alias("best_id"))
+    v = _vectors(spark, d)
+    return R.similarity_counts(v, _queries(v), THRESHOLD, 0.25)
 
 
 @register("a41_store_stats", "SELECT label, count(*) AS n_vectors, CAST(sum(len(embedding) * 4 + 1024) AS BIGINT) AS n_bytes, max(len(embedding)) AS dimension FROM embeddings GROUP BY label")

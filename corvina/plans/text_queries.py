@@ -169,7 +169,7 @@ def structure(spark: SparkSession, d: str) -> DataFrame:
 @register("j14_sections", f"WITH {_LINES}, s AS (SELECT doc_id, idx, CAST(sum(CASE WHEN {_HEADER} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx) AS BIGINT) AS section FROM lines) SELECT doc_id, idx, section FROM s")
 def sections(spark: SparkSession, d: str) -> DataFrame:
     lines = extraction.paragraphs(_docs(spark, d))
-    return extraction.place_in_sections(lines.select("doc_id", "idx"), extraction.section_spans(lines))
+    return extraction.place_in_sections(lines.select("doc_id", "idx"), lines)
 
 
 _QUESTION = "CASE WHEN length(trim(t)) < 3 THEN 0 ELSE least((3 * (CAST(ends_with(lower(trim(t)), '?') AS INT) + CAST(regexp_matches(lower(trim(t)), '^(what|how|when|where|why|who|which|can|could|would|should|is|are|do|does|did)') AS INT) + CAST(regexp_matches(lower(trim(t)), '^(q[0-9]*|question\\s*[0-9]*|faq\\s*[0-9]*|query\\s*[0-9]*)[:.]') AS INT) + CAST(regexp_matches(lower(trim(t)), '^[0-9]+[\\x{FE0F}\\x{20E3}]*[:.\\-\\s]+') AS INT)) + CASE WHEN ends_with(lower(trim(t)), '?') THEN 4 ELSE 0 END + CASE WHEN regexp_extract(lower(trim(t)), '^\\S+') IN ('what','how','when','where','why','who','which','can','could','would','should') THEN 3 ELSE 0 END) * 100 * (CASE WHEN length(t) > 200 THEN 7 ELSE 10 END) * (CASE WHEN length(t) < 10 THEN 8 ELSE 10 END) / CAST(100000 AS DOUBLE), 1) END"
