@@ -64,15 +64,19 @@ def looks_asked(text: Column) -> Column:
     return F.coalesce(F.get(words(F.lower(text)), F.lit(0)).isin(L.QUESTION_STARTERS), F.lit(False)) | F.coalesce(text.contains("?"), F.lit(False))
 
 
-def ngrams(text: Column, longest: int = 3) -> Column:
+def plain_words(text: Column) -> Column:
+    """Words as n-grams have them: lower case, punctuation deleted."""
+    return words(F.regexp_replace(F.lower(text), r"(?U)[^\w\s]", ""))
+
+
+def ngrams(text: Column, longest: int = 3, shortest: int = 1) -> Column:
     """The set of word n-grams, each written {w1,w2,w3}: lower case, punctuation deleted."""
 
     def of(plain: Column, n: int) -> Column:
         starts = F.when(F.size(plain) >= n, F.sequence(F.lit(1), F.size(plain) - (n - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.concat(F.lit("{"), F.array_join(F.slice(plain, i, n), ","), F.lit("}")))
 
-    plain = words(F.regexp_replace(F.lower(text), r"(?U)[^\w\s]", ""))
-    return bind(plain, lambda w: F.array_distinct(F.concat(*[of(w, n) for n in range(1, longest + 1)])))
+    return bind(plain_words(text), lambda w: F.array_distinct(F.concat(*[of(w, n) for n in range(shortest, longest + 1)])))
 
 
 def containment(of: Column, within: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corvina.functions import text as T
 from corvina.functions import vectors as V
+from corvina.session import cut_lineage
 
 #: Rows of a block of vectors; two blocks are scored at once.
 BLOCK = 1024
@@ -159,18 +160,45 @@ def relevance(sim: Column, confidence: Column, age_days: Column) -> Column:
     return 0.7 * sim + 0.2 * F.least(confidence, F.lit(1.0)) + 0.1 * recency
 
 
+#: Rows up to which a counted side of a join is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """Materialised ``rows``, with a broadcast hint if they were counted to be few."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
+def _grams(entries: DataFrame, shortest: int) -> DataFrame:
+    """id, gram: every n-gram of ``shortest`` to three words, as often as it comes. Words are put beside the next
+    two, which keeps the work inside generated code."""
+    w = F.col("w")
+    rows = entries.select("id", T.plain_words(F.col("text")).alias("w"))
+    rows = rows.select("id", F.explode(F.arrays_zip(w.alias("a"), F.slice(w, 2, F.size(w)).alias("b"), F.slice(w, 3, F.size(w)).alias("c"))).alias("z"))
+    written = [F.concat(F.lit("{"), *[x for c in "abc"[:n] for x in (F.lit(","), F.col(f"z.{c}"))][1:], F.lit("}")) for n in range(shortest, 4)]
+    gram = written[0] if len(written) == 1 else F.explode(F.array_compact(F.array(*written)))
+    return rows.select("id", gram.alias("gram")).where("gram is not null")
+
+
 def ngram_matches(entries: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
     """qid, id, shared, n_query, share: entries that hold at least that share of a query's n-grams.
 
-    An equi-join on n-grams. Only those of the queries are joined: entries are cut down to them before
-    the shuffle, and a frequent n-gram costs a row per entry, never a pair of entries.
-    """
-    q = queries.select("qid", F.explode(T.ngrams(F.col("text"))).alias("gram"))
-    sizes = queries.select("qid", F.size(T.ngrams(F.col("text"))).alias("n_query"))
-    e = entries.select("id", F.explode(T.ngrams(F.col("text"))).alias("gram"))
-    shared = e.join(q, "gram").groupBy("qid", "id").agg(F.count("*").alias("shared"))
-    out = shared.join(sizes, "qid").withColumn("share", F.col("shared") / F.col("n_query"))
-    return out.where(F.col("share") >= threshold)
+    Of a query's n-grams an entry may lack a few; one more than those, the longest, are enough to find all
+    entries by: each has one of them at least. Entries are cut into n-grams of these lengths only, as a
+    rule into triples, and meet them in an equi-join; what met is looked through for the others."""
+    words = lambda gram: F.size(F.split(gram, ","))
+    q = queries.select("qid", T.ngrams(F.col("text")).alias("grams")).where(F.size("grams") > 0).withColumn("n_query", F.size("grams"))
+    longest = F.array_sort("grams", lambda x, y: F.when(words(x) != words(y), words(y) - words(x)).when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).when(x > y, 1).otherwise(0))
+    lacking = F.floor((1.0 - threshold) * F.col("n_query") + 1e-9).cast("int")
+    sought = cut_lineage(q.select("qid", F.explode(F.slice(longest, 1, lacking + 1)).alias("gram")))
+    shortest = sought.agg(F.min(words(F.col("gram")))).first()[0] or 3
+    e = _grams(entries, shortest)
+    met = cut_lineage(e.join(_small(sought), "gram").select("qid", "id").distinct())
+    # a text is written once for all its n-grams, with a blank around each word
+    texts = entries.join(_small(met), "id").select("qid", "id", F.concat(F.lit(" "), F.array_join(T.plain_words(F.col("text")), " "), F.lit(" ")).alias("plain"))
+    held = F.filter("grams", lambda gram: F.contains(F.col("plain"), F.translate(gram, "{,}", "   ")))
+    out = texts.join(_small(cut_lineage(q)), "qid").select("qid", "id", F.size(held).cast("long").alias("shared"), "n_query")
+    return out.withColumn("share", F.col("shared") / F.col("n_query")).where(F.col("share") >= threshold)
 
 
 def lexical_scores(entries: DataFrame, queries: DataFrame, threshold: float = 0.3) -> DataFrame:

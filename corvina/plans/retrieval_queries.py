@@ -10,7 +10,7 @@ from corvina.functions import vectors as V
 from corvina.operators import retrieval as R
 from corvina.plans.views import ENTRIES_SQL, entries
 from corvina.registry import register
-from corvina.session import table
+from corvina.session import cut_lineage, table
 
 #: The vectors are nearly independent: a threshold of 0.2 fills the result lists.
 THRESHOLD = 0.2
@@ -108,8 +108,13 @@ def ngram_search(spark: SparkSession, d: str) -> DataFrame:
 s2 AS (SELECT qid, id FROM ({_top('(SELECT * FROM scored WHERE label = 2)', 5)})), s3 AS (SELECT qid, id FROM ({_top('scored', 5)})),
 u AS (SELECT qid, id, 1 AS stage FROM s1 UNION ALL SELECT qid, id, 2 FROM s2 UNION ALL SELECT qid, id, 3 FROM s3) SELECT qid, id, stage FROM u QUALIFY stage = min(stage) OVER (PARTITION BY qid)""")
 def cascade(spark: SparkSession, d: str) -> DataFrame:
-    exact = R.top_k(_matches(spark, d, 0.9).withColumnRenamed("share", "sim"), 3, ["qid"])
-    return R.cascade([exact, R.top_k(_scored(spark, d, 5, F.col("label") == 2), 5, ["qid"]), R.top_k(_scored(spark, d, 5), 5, ["qid"])]).select("qid", "id", "stage")
+    """Each stage is asked only what the ones before it have left without an answer."""
+    v = _vectors(spark, d)
+    exact = cut_lineage(R.top_k(_matches(spark, d, 0.9).withColumnRenamed("share", "sim"), 3, ["qid"]))
+    rest = _queries(v).join(exact.select("qid").distinct(), "qid", "left_anti")
+    labelled = cut_lineage(R.top_k(R.vector_scores(v.where("label = 2"), rest, THRESHOLD, 5), 5, ["qid"]))
+    rest = rest.join(labelled.select("qid").distinct(), "qid", "left_anti")
+    return R.cascade([exact, labelled, R.top_k(R.vector_scores(v, rest, THRESHOLD, 5), 5, ["qid"])]).select("qid", "id", "stage")
 
 
 @register("j04_lexical")
