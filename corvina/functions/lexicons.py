@@ -63,14 +63,21 @@ PRAISE = {"performance_praise": ["fast", "quick", "speed"], "accuracy_praise": [
 COMPLAINTS = {"performance_complaint": ["slow", "timeout", "wait"], "accuracy_complaint": ["wrong", "incorrect", "bad"], "usability_complaint": ["confusing", "unclear", "hard"]}
 THEME_STOP = ["this", "that", "with", "from", "they", "were", "been", "have", "will"]
 
-QUERY_STOP = """a an and are as at be by for from has he in is it its of on that the to was will with i me my
-you your we our they their this these those but or if then so can could should would""".split()
-MATCHER_STOP = """the a an and or but in on at to for of with by is are was were be been being have has had do does did
-will would could should may might can i you he she it we they me him her us them my your his its our their this that
-these those""".split()
-EXTRACT_STOP = """the a an and or but in on at to for of with by is are was were be been have has had do does did will
-would could should may might can this that these those i you he she it we they me him her us them my your his its our
-their""".split()
+QUERY_STOP = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "to", "was",
+    "will", "with", "i", "me", "my", "you", "your", "we", "our", "they", "their", "this", "these", "those", "but", "or", "if", "then", "so", "can",
+    "could", "should", "would",
+]
+MATCHER_STOP = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were", "be", "been", "being",
+    "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "can", "i", "you", "he", "she", "it", "we",
+    "they", "me", "him", "her", "us", "them", "my", "your", "his", "its", "our", "their", "this", "that", "these", "those",
+]
+EXTRACT_STOP = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were", "be", "been", "have", "has",
+    "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "can", "this", "that", "these", "those", "i", "you", "he", "she",
+    "it", "we", "they", "me", "him", "her", "us", "them", "my", "your", "his", "its", "our", "their",
+]
 SUFFIXES = ["ation", "tion", "sion", "ment", "ness", "ing", "est", "ity", "ies", "ed", "er", "ly", "s"]
 
 SYNONYMS = {
@@ -101,17 +108,17 @@ SYNONYMS = {
     "support": ["help desk", "customer service", "assistance", "hr"],
 }
 
-#: Question types in the order they are tried, with the words that may follow.
+#: Question types in the order they are tried, and the patterns that show them.
 QUESTION_TYPES = {
-    "what": ["what", "is are does do can should would will about if kind type"],
-    "how": ["how", "do can to does should would will much many long often"],
-    "where": ["where", "is are can do should would will"],
-    "when": ["when", "is are can do should would will did"],
-    "who": ["who", "is are can should would will did"],
-    "why": ["why", "is are can do should would will did"],
-    "which": ["which", "is are one ones should would will"],
+    "what": r"\bwhat\s+(is|are|does|do|can|should|would|will|about|if|kind|type)\b",
+    "how": r"\bhow\s+(do|can|to|does|should|would|will|much|many|long|often)\b",
+    "where": r"\bwhere\s+(is|are|can|do|should|would|will)\b",
+    "when": r"\bwhen\s+(is|are|can|do|should|would|will|did)\b",
+    "who": r"\bwho\s+(is|are|can|should|would|will|did)\b",
+    "why": r"\bwhy\s+(is|are|can|do|should|would|will|did)\b",
+    "which": r"\bwhich\s+(is|are|one|ones|should|would|will)\b",
+    "yes_no": r"\b(is\s+it|are\s+they|can\s+i|can\s+you|should\s+i|would\s+it|will\s+it|does\s+it|do\s+you|did\s+you)\b",
 }
-YES_NO = ["is it", "are they", "can i", "can you", "should i", "would it", "will it", "does it", "do you", "did you"]
 
 INTENT_SEEDS = {
     "what": {"information": 0.7, "definition": 0.6},
@@ -181,30 +188,77 @@ CONTRACTIONS = [
     (r"\b(arent|aren't)\b", "are not"),
 ]
 
-TYPOS = dict(pair.split("=") for pair in """teh=the adn=and nad=and hte=the taht=that thta=that waht=what hwat=what
-wnat=want whne=when wehn=when whre=where wher=where whihc=which whcih=which wich=which recieve=receive recive=receive
-seperate=separate definately=definitely occured=occurred occurance=occurrence accomodate=accommodate begining=beginning
-beleive=believe calender=calendar cemetary=cemetery changable=changeable collegue=colleague comming=coming
-commited=committed concious=conscious definite=definite dilemna=dilemma embarass=embarrass enviroment=environment
-existance=existence experiance=experience familar=familiar finaly=finally foriegn=foreign freind=friend
-goverment=government grammer=grammar harrass=harass independant=independent intrest=interest knowlege=knowledge
-lenght=length liason=liaison libary=library maintainance=maintenance neccessary=necessary occassion=occasion
-perseverence=perseverance posession=possession prefered=preferred priviledge=privilege publically=publicly
-reccomend=recommend refered=referred relevent=relevant resistence=resistance seperation=separation succesful=successful
-supress=suppress tommorow=tomorrow truely=truly untill=until usefull=useful wierd=weird dont=don't doesnt=doesn't
-cant=can't wont=won't isnt=isn't arent=aren't wasnt=wasn't werent=weren't hasnt=hasn't havent=haven't hadnt=hadn't
-shouldnt=shouldn't wouldnt=wouldn't couldnt=couldn't mustnt=mustn't neednt=needn't darent=daren't u=you ur=your
-youre=you're theres=there's theyre=they're its=it's hes=he's shes=she's weve=we've youve=you've theyve=they've ive=I've
-im=I'm id=I'd ill=I'll wed=we'd youd=you'd theyd=they'd shed=she'd hed=he'd""".split())
+#: Known typos and what they stand for.
+TYPOS = {
+    "teh": "the", "adn": "and", "nad": "and", "hte": "the", "taht": "that", "thta": "that", "waht": "what", "hwat": "what", "wnat": "want",
+    "whne": "when", "wehn": "when", "whre": "where", "wher": "where", "whihc": "which", "whcih": "which", "wich": "which", "recieve": "receive",
+    "recive": "receive", "seperate": "separate", "definately": "definitely", "occured": "occurred", "occurance": "occurrence",
+    "accomodate": "accommodate", "begining": "beginning", "beleive": "believe", "calender": "calendar", "cemetary": "cemetery",
+    "changable": "changeable", "collegue": "colleague", "comming": "coming", "commited": "committed", "concious": "conscious",
+    "definite": "definite", "dilemna": "dilemma", "embarass": "embarrass", "enviroment": "environment", "existance": "existence",
+    "experiance": "experience", "familar": "familiar", "finaly": "finally", "foriegn": "foreign", "freind": "friend", "goverment": "government",
+    "grammer": "grammar", "harrass": "harass", "independant": "independent", "intrest": "interest", "knowlege": "knowledge", "lenght": "length",
+    "liason": "liaison", "libary": "library", "maintainance": "maintenance", "neccessary": "necessary", "occassion": "occasion",
+    "perseverence": "perseverance", "posession": "possession", "prefered": "preferred", "priviledge": "privilege", "publically": "publicly",
+    "reccomend": "recommend", "refered": "referred", "relevent": "relevant", "resistence": "resistance", "seperation": "separation",
+    "succesful": "successful", "supress": "suppress", "tommorow": "tomorrow", "truely": "truly", "untill": "until", "usefull": "useful",
+    "wierd": "weird", "dont": "don't", "doesnt": "doesn't", "cant": "can't", "wont": "won't", "isnt": "isn't", "arent": "aren't", "wasnt": "wasn't",
+    "werent": "weren't", "hasnt": "hasn't", "havent": "haven't", "hadnt": "hadn't", "shouldnt": "shouldn't", "wouldnt": "wouldn't",
+    "couldnt": "couldn't", "mustnt": "mustn't", "neednt": "needn't", "darent": "daren't", "u": "you", "ur": "your", "youre": "you're",
+    "theres": "there's", "theyre": "they're", "its": "it's", "hes": "he's", "shes": "she's", "weve": "we've", "youve": "you've", "theyve": "they've",
+    "ive": "I've", "im": "I'm", "id": "I'd", "ill": "I'll", "wed": "we'd", "youd": "you'd", "theyd": "they'd", "shed": "she'd", "hed": "he'd",
+}
 
 #: Common words, question words and patterns of each language, in the order in which ties are decided.
 LANGUAGES = {
-    "en": ("the and is are was were have has had do does did will would could should can what how where when who why which that this these those with for from about", "what how where when who why which", [r"\b(ing|ed|ly|tion|sion)\b", r"\b(a|an|the)\s+\w+"]),
-    "es": ("el la los las un una y es son está están ser estar tener hacer poder deber qué cómo dónde cuándo quién cuál que con para por de en sobre", "qué cómo dónde cuándo quién cuál", [r"\b(ción|sión|mente|ando|iendo)\b", r"\b(el|la|los|las)\s+\w+"]),
-    "fr": ("le la les un une des et est sont être avoir faire pouvoir devoir aller venir que quoi comment où quand qui pourquoi avec pour par de dans sur sous", "que quoi comment où quand qui pourquoi", [r"\b(tion|sion|ment|ant|ent)\b", r"\b(le|la|les)\s+\w+"]),
-    "de": ("der die das den dem des ein eine einen und ist sind war waren haben hat hatte was wie wo wann wer warum welche welcher mit für von zu in auf über unter", "was wie wo wann wer warum welche", [r"\b(ung|keit|heit|lich|isch)\b", r"\b(der|die|das)\s+\w+"]),
-    "it": ("il la lo gli le un una e è sono essere avere fare potere dovere andare che cosa come dove quando chi perché con per da di in su sotto", "che cosa come dove quando chi perché", [r"\b(zione|sione|mente|ando|endo)\b", r"\b(il|la|lo)\s+\w+"]),
-    "pt": ("o a os as um uma e é são está estão ser estar ter fazer poder dever que como onde quando quem com para por de em sobre sob", "que como onde quando quem", [r"\b(ção|são|mente|ando|endo)\b", r"\b(o|a|os|as)\s+\w+"]),
+    "en": {
+        "common": [
+            "the", "and", "is", "are", "was", "were", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "can", "what",
+            "how", "where", "when", "who", "why", "which", "that", "this", "these", "those", "with", "for", "from", "about",
+        ],
+        "asking": ["what", "how", "where", "when", "who", "why", "which"],
+        "patterns": [r"\b(ing|ed|ly|tion|sion)\b", r"\b(a|an|the)\s+\w+"],
+    },
+    "es": {
+        "common": [
+            "el", "la", "los", "las", "un", "una", "y", "es", "son", "está", "están", "ser", "estar", "tener", "hacer", "poder", "deber", "qué",
+            "cómo", "dónde", "cuándo", "quién", "cuál", "que", "con", "para", "por", "de", "en", "sobre",
+        ],
+        "asking": ["qué", "cómo", "dónde", "cuándo", "quién", "cuál"],
+        "patterns": [r"\b(ción|sión|mente|ando|iendo)\b", r"\b(el|la|los|las)\s+\w+"],
+    },
+    "fr": {
+        "common": [
+            "le", "la", "les", "un", "une", "des", "et", "est", "sont", "être", "avoir", "faire", "pouvoir", "devoir", "aller", "venir", "que",
+            "quoi", "comment", "où", "quand", "qui", "pourquoi", "avec", "pour", "par", "de", "dans", "sur", "sous",
+        ],
+        "asking": ["que", "quoi", "comment", "où", "quand", "qui", "pourquoi"],
+        "patterns": [r"\b(tion|sion|ment|ant|ent)\b", r"\b(le|la|les)\s+\w+"],
+    },
+    "de": {
+        "common": [
+            "der", "die", "das", "den", "dem", "des", "ein", "eine", "einen", "und", "ist", "sind", "war", "waren", "haben", "hat", "hatte", "was",
+            "wie", "wo", "wann", "wer", "warum", "welche", "welcher", "mit", "für", "von", "zu", "in", "auf", "über", "unter",
+        ],
+        "asking": ["was", "wie", "wo", "wann", "wer", "warum", "welche"],
+        "patterns": [r"\b(ung|keit|heit|lich|isch)\b", r"\b(der|die|das)\s+\w+"],
+    },
+    "it": {
+        "common": [
+            "il", "la", "lo", "gli", "le", "un", "una", "e", "è", "sono", "essere", "avere", "fare", "potere", "dovere", "andare", "che", "cosa",
+            "come", "dove", "quando", "chi", "perché", "con", "per", "da", "di", "in", "su", "sotto",
+        ],
+        "asking": ["che", "cosa", "come", "dove", "quando", "chi", "perché"],
+        "patterns": [r"\b(zione|sione|mente|ando|endo)\b", r"\b(il|la|lo)\s+\w+"],
+    },
+    "pt": {
+        "common": [
+            "o", "a", "os", "as", "um", "uma", "e", "é", "são", "está", "estão", "ser", "estar", "ter", "fazer", "poder", "dever", "que", "como",
+            "onde", "quando", "quem", "com", "para", "por", "de", "em", "sobre", "sob",
+        ],
+        "asking": ["que", "como", "onde", "quando", "quem"],
+        "patterns": [r"\b(ção|são|mente|ando|endo)\b", r"\b(o|a|os|as)\s+\w+"],
+    },
 }
 SCRIPTS = {"ru": r"[а-яёА-ЯЁ]", "zh": r"[一-鿿]", "ja": r"[぀-ゟ゠-ヿ]", "ko": r"[가-힯]", "ar": r"[؀-ۿ]"}
 
@@ -228,3 +282,12 @@ FOLLOW_UP = ["also", "too", "additionally", "furthermore", "moreover", "what abo
 CONTINUED = ["continue", "more", "next", "then", "after", "following"]
 REFERENCES = ["it", "this", "that", "they", "them", "these", "those", "above", "previous", "earlier", "before"]
 QUERY_CATEGORIES = {"leave": ["leave"], "payroll": ["payroll", "salary"], "policy": ["policy"]}
+
+# The shorter set of grammar rewrites, in its order; $n are groups.
+PLAIN_GRAMMAR = [
+    (r"\b(need|want|looking for)\s+(\w+)", "$1 a $2"),
+    (r"\b(you|i|we|they)\s+(going|coming|working)", "$1 are $2"),
+    (r"^(what|how|where|when|who|why)\s+about\s+", "$1 is "),
+    (r"\b(this|that|it)\s+(good|bad|working|broken)", "$1 is $2"),
+]
+ASKING_ANYWHERE = ["what", "how", "where", "when", "who", "why", "can", "is", "are", "do", "does"]

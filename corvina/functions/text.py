@@ -208,9 +208,9 @@ def feedback_category(rating: Column, comment: Column) -> Column:
 
 def question_type(query: Column) -> Column:
     """The first of eight families of question openings that occurs anywhere; null without any."""
-    out = F.when(query.rlike(r"(?iU)\b(" + "|".join(x.replace(" ", r"\s+") for x in L.YES_NO) + r")\b"), "yes_no")
-    for name, (word, following) in reversed(L.QUESTION_TYPES.items()):
-        out = F.when(query.rlike(rf"(?iU)\b{word}\s+({'|'.join(following.split())})\b"), name).otherwise(out)
+    out = F.lit(None).cast("string")
+    for name, pattern in reversed(L.QUESTION_TYPES.items()):
+        out = F.when(query.rlike("(?iU)" + pattern), name).otherwise(out)
     return out
 
 

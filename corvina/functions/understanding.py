@@ -20,10 +20,10 @@ def language_scores(text: Column) -> Column:
     def scored(words: Column) -> Column:
         n = F.size(words)
         out = []
-        for i, (name, (common, asking, patterns)) in enumerate(L.LANGUAGES.items()):
-            hits = lambda known: F.size(F.filter(words, lambda w: w.isin(known.split())))
-            found = reduce(lambda a, b: a + b, [F.regexp_count(low, F.lit(f"(?iU){p}")) for p in patterns])
-            score = hits(common) / n * 0.7 + hits(asking) / n * 0.3 + F.least(found / n, F.lit(0.3))
+        for i, (name, known_of) in enumerate(L.LANGUAGES.items()):
+            hits = lambda known: F.size(F.filter(words, lambda w: w.isin(known)))
+            found = reduce(lambda a, b: a + b, [F.regexp_count(low, F.lit(f"(?iU){p}")) for p in known_of["patterns"]])
+            score = hits(known_of["common"]) / n * 0.7 + hits(known_of["asking"]) / n * 0.3 + F.least(found / n, F.lit(0.3))
             out.append(F.struct(F.when(n > 0, F.least(score, F.lit(1.0)) * 0.6).otherwise(0.0).alias("score"), F.lit(-10 - i).alias("place"), F.lit(name).alias("lang")))
         return F.array(*out)
 
@@ -172,7 +172,7 @@ def resolve_follow_up(query: Column, keywords: Column, topic: Column) -> Column:
 def normalize_mixed(text: Column, mixed: Column) -> Column:
     """A text of several languages, squeezed and with the English question words in lower case."""
     out = T.squeeze(text)
-    for word in L.LANGUAGES["en"][1].split():
+    for word in L.LANGUAGES["en"]["asking"]:
         out = F.regexp_replace(out, rf"(?iU)\b{word}\b", word)
     return F.when(mixed, out).otherwise(text)
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvina.functions import lexicons as L
 from corvina.functions import text as T
+from corvina.operators.analytics import first_last
 
 
 def labelled(feedback: DataFrame) -> DataFrame:
@@ -55,7 +56,8 @@ def satisfaction(feedback: DataFrame) -> DataFrame:
 
 def user_summary(feedback: DataFrame) -> DataFrame:
     """Per user: n, sum, least and most rating, and means of the first and last three."""
-    window = Window.partitionBy("user_id")
-    ranked = feedback.withColumn("up", F.row_number().over(window.orderBy("ts", "query_id"))).withColumn("down", F.row_number().over(window.orderBy(F.desc("ts"), F.desc("query_id"))))
-    part = lambda c: F.sum(F.when(F.col(c) <= 3, F.col("rating"))) / F.count(F.when(F.col(c) <= 3, 1))
-    return ranked.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("rating").alias("total"), F.min("rating").alias("least"), F.max("rating").alias("most"), part("up").alias("first_three"), part("down").alias("last_three"))
+    ends = first_last(feedback, ["user_id"], ["ts", "query_id"], "rating", 3)
+    mean = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x) / F.size(c)
+    ends = ends.select(F.col("user_id").alias("_user"), mean("first").alias("first_three"), mean("last").alias("last_three"))
+    sums = feedback.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("rating").alias("total"), F.min("rating").alias("least"), F.max("rating").alias("most"))
+    return sums.join(ends, F.col("user_id").eqNullSafe(F.col("_user"))).drop("_user")

@@ -10,6 +10,7 @@ import io
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,13 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 def files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """path, length, errors, warnings, content of the .docx files of a folder."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    errors = F.array_compact(F.array(F.when(F.col("length") > MAX_BYTES, "too_large"), F.when(F.col("length") == 0, "empty")))
+    return judged(found)
+
+
+def judged(found: DataFrame) -> DataFrame:
+    """path, length, errors, warnings, content of files (path, length, content). Only names that end in .docx, in any
+    case, are taken; a file without bytes or with too many isn't."""
+    errors = F.array_compact(F.array(F.when(~F.coalesce(F.lower("path").endswith(".docx"), F.lit(False)), "extension"), F.when(F.col("length") > MAX_BYTES, "too_large"), F.when(F.coalesce("length", F.lit(0)) == 0, "empty")))
     warnings = F.array_compact(F.array(F.when(F.col("length") > LARGE_BYTES, "large")))
     return found.select("path", "length", errors.alias("errors"), warnings.alias("warnings"), "content")
 
@@ -66,3 +73,24 @@ def read(files: DataFrame) -> DataFrame:
                 yield frame
 
     return files.where(F.size("errors") == 0).select("path", "content").mapInPandas(unpack, SCHEMA)
+
+
+def _packed(text: str) -> bytes:
+    out = io.BytesIO()
+    lines = [escape("".join(c for c in line if c >= " " or c == "\t")) for line in text.split("\n")]
+    body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{line}</w:t></w:r></w:p>' for line in lines)
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as pack:
+        pack.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{_W[1:-1]}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+def packed(rows: DataFrame, path: str, text: str) -> DataFrame:
+    """What ``files`` gives, of documents that are made here: a paragraph for each line of a text. A null text is an
+    empty file. Control characters, which such documents can't hold, are left out."""
+
+    def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([b"" if one is None else _packed(one) for one in texts], dtype=object)
+
+    made = rows.select(F.col(path).cast("string").alias("path"), F.pandas_udf(pack, "binary")(F.col(text)).alias("content"))
+    return judged(made.withColumn("length", F.octet_length("content").cast("long")))

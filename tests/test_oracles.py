@@ -7,7 +7,7 @@ import pytest
 
 from corvina import catalog
 
-DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+DATA, SMALL = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01"), "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -36,5 +36,5 @@ def test_oracle(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_repeatable(spark, name):
-    first, second = (sorted(map(str, catalog.QUERIES[name](spark, DATA).collect())) for _ in range(2))
+    first, second = (sorted(map(str, catalog.QUERIES[name](spark, SMALL).collect())) for _ in range(2))
     assert first == second
