@@ -13,7 +13,7 @@ from corvina.operators import analytics, retrieval
 from corvina.plans.analytics_queries import _ALERTS, _alerts
 from corvina.plans.retrieval_queries import _SCORES, _scored, _top
 from corvina.plans.text_queries import _LINES, _W
-from corvina.plans.views import AS_OF, ENTRIES_SQL, FEEDBACK_SQL, LOG_SQL, entries, feedback, query_log
+from corvina.plans.views import AS_OF, ENTRIES_SQL, FEEDBACK_SQL, LOG_SQL, entries, feedback, matcher_keywords_sql, query_log, quoted, rewritten_sql, stem_sql
 from corvina.registry import register
 from corvina.session import scratch_folder, table
 from corvina.sources import docx, store
@@ -23,10 +23,6 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
-def _quoted(words: list[str]) -> str:
-    return "'" + "', '".join(word.replace("'", "''") for word in words) + "'"
-
-
 # --- texts ---
 
 _ENTITY_COUNTS = ", ".join("len(list_distinct(list_concat(" + ", ".join([f"regexp_extract_all(text, '(?i){p}')" for p in patterns] + ["[]::VARCHAR[]"]) + f"))) AS n_{kind}" for kind, patterns in L.ENTITIES.items())
@@ -44,7 +40,7 @@ def squeezed(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("t04_questions", rf"""WITH l AS (SELECT conv_id, turn, text, list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '') AS w FROM conversations)
-SELECT conv_id, turn, contains(text, '?') OR coalesce(w[1] IN ({_quoted(L.QUESTION_STARTERS)}), false) AS asked FROM l""")
+SELECT conv_id, turn, contains(text, '?') OR coalesce(w[1] IN ({quoted(L.QUESTION_STARTERS)}), false) AS asked FROM l""")
 def questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", T.looks_asked(F.col("text")).alias("asked"))
 
@@ -67,37 +63,25 @@ def word_sets(spark: SparkSession, d: str) -> DataFrame:
     return _both_words(spark, d).select("id", F.size(F.array_union(q, a)).cast("long").alias("n_union"), F.size(F.array_intersect(q, a)).cast("long").alias("n_both"), T.jaccard(q, a).alias("jaccard"))
 
 
-@register("u07_common_keywords", rf"""WITH {ENTRIES_SQL}, k AS (SELECT id, list_distinct(list_filter(regexp_extract_all(lower(question), '[{_W}]+'), lambda w: length(w) > 2 AND w NOT IN ({_quoted(L.QUERY_STOP)}))) AS q, list_distinct(list_filter(regexp_extract_all(lower(answer), '[{_W}]+'), lambda w: length(w) > 2 AND w NOT IN ({_quoted(L.QUERY_STOP)}))) AS a FROM entries)
+@register("u07_common_keywords", rf"""WITH {ENTRIES_SQL}, k AS (SELECT id, list_distinct(list_filter(regexp_extract_all(lower(question), '[{_W}]+'), lambda w: length(w) > 2 AND w NOT IN ({quoted(L.QUERY_STOP)}))) AS q, list_distinct(list_filter(regexp_extract_all(lower(answer), '[{_W}]+'), lambda w: length(w) > 2 AND w NOT IN ({quoted(L.QUERY_STOP)}))) AS a FROM entries)
 SELECT id, array_to_string(list_sort(list_intersect(q, a)), ',') AS common FROM k""")
 def common_keywords(spark: SparkSession, d: str) -> DataFrame:
     common = F.array_intersect(T.query_keywords(F.col("question")), T.query_keywords(F.col("answer")))
     return entries(spark, d).select("id", F.array_join(F.array_sort(common), ",").alias("common"))
 
 
-def _stem_sql(word: str) -> str:
-    cases = " ".join(f"WHEN ends_with({word}, '{s}') AND length({word}) >= {len(s) + 3} THEN CASE WHEN ends_with(left({word}, -{len(s)}), 'at') THEN left({word}, -{len(s)}) || 'e' ELSE left({word}, -{len(s)}) END" for s in L.SUFFIXES)
-    return f"CASE {cases} ELSE {word} END"
-
-
-@register("t09_stems", rf"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[{_W}]+')) AS word FROM documents) SELECT word, {_stem_sql('word')} AS stem FROM w")
+@register("t09_stems", rf"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[{_W}]+')) AS word FROM documents) SELECT word, {stem_sql('word')} AS stem FROM w")
 def stems(spark: SparkSession, d: str) -> DataFrame:
     words = _docs(spark, d).select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word")).distinct()
     return words.select("word", T.stem(F.col("word")).alias("stem"))
 
 
-@register("t10_matcher_keywords", rf"""WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) > 2 AND w NOT IN ({_quoted(L.MATCHER_STOP)})) AS w FROM conversations)
-SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_concat(w, list_transform(w, lambda x: {_stem_sql('x')})))), ' ') AS keywords FROM w""")
+@register("t10_matcher_keywords", f"SELECT conv_id, turn, array_to_string(list_sort({matcher_keywords_sql('text')}), ' ') AS keywords FROM conversations")
 def matcher_keywords(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(T.matcher_keywords(F.col("text"))), " ").alias("keywords"))
 
 
-def _grammar_sql(text: str) -> str:
-    for pattern, replacement in L.PLAIN_GRAMMAR:
-        text = f"regexp_replace({text}, '{pattern}', '{replacement.replace('$', chr(92))}', 'gi')"
-    return text
-
-
-@register("t14_plain_grammar", f"""WITH g AS (SELECT conv_id, turn, {_grammar_sql('trim(text)')} AS t FROM conversations)
+@register("t14_plain_grammar", f"""WITH g AS (SELECT conv_id, turn, {rewritten_sql('trim(text)', L.PLAIN_GRAMMAR)} AS t FROM conversations)
 SELECT conv_id, turn, CASE WHEN regexp_matches(t, '[.?!]$') THEN t WHEN {' OR '.join(f"contains(lower(t), '{w}')" for w in L.ASKING_ANYWHERE)} THEN t || '?' ELSE t || '.' END AS formal FROM g""")
 def plain_grammar(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", N.plain_grammar(F.col("text")).alias("formal"))

@@ -13,7 +13,7 @@ from corvina.operators import retrieval as R
 from corvina.operators import service as S
 from corvina.plans.analytics_queries import CONFIDENCE_SQL, _alerts, _ALERTS, confidence
 from corvina.plans.retrieval_queries import _SCORES, THRESHOLD, _queries, _scored, _top, _vectors
-from corvina.plans.views import AS_OF, ENTRIES_SQL, FEEDBACK_SQL, LOG_SQL, entries, feedback, query_log
+from corvina.plans.views import AS_OF, ENTRIES_SQL, FEEDBACK_SQL, LOG_SQL, WORD_CLASS, entries, feedback, matcher_keywords_sql, query_log, quoted, rewritten_sql
 from corvina.registry import register
 from corvina.session import table
 from corvina.sources import store
@@ -322,7 +322,7 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
 
 
-@register("t15_contractions")
+@register("t15_contractions", f"SELECT conv_id, turn, {rewritten_sql('text', L.CONTRACTIONS)} AS text FROM conversations WHERE role = 'user'")
 def contractions(spark: SparkSession, d: str) -> DataFrame:
     return _asked(spark, d).select("conv_id", "turn", T.expand_contractions(F.col("text")).alias("text"))
 
@@ -333,7 +333,7 @@ def mixed_language(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "turn", N.normalize_mixed(F.col("text"), F.col("l.mixed")).alias("normalized"), N.marked_foreign(F.col("text"), F.col("l.lang")).alias("marked"))
 
 
-@register("t26_modifiers")
+@register("t26_modifiers", "SELECT conv_id, turn, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '(?i){'|'.join(patterns)}') THEN '{name}' END" for name, patterns in L.MODIFIERS.items()) + "], lambda m: m IS NOT NULL), ',') AS modifiers FROM conversations WHERE role = 'user'")
 def modifiers(spark: SparkSession, d: str) -> DataFrame:
     return _asked(spark, d).select("conv_id", "turn", F.array_join(T.modifiers(F.col("text")), ",").alias("modifiers"))
 
@@ -382,7 +382,8 @@ def strip_prefix(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "x")).select("doc_id", "idx", T.strip_prefix(F.col("x")).alias("stripped"))
 
 
-@register("t44_explanation")
+@register("t44_explanation", f"""WITH {ENTRIES_SQL}, k AS (SELECT e.id, {matcher_keywords_sql('b.text')} AS own, list_distinct(list_concat({matcher_keywords_sql('e.question')}, {matcher_keywords_sql('e.category')})) AS known FROM entries e JOIN benchmark b ON e.id = b.item_id)
+SELECT id, array_to_string(list_sort(list_intersect(own, known)), ',') AS matched, CASE WHEN len(own) = 0 THEN 0 ELSE len(list_intersect(own, known)) / CAST(len(own) AS DOUBLE) END AS overlap FROM k""")
 def explanation(spark: SparkSession, d: str) -> DataFrame:
     rows = entries(spark, d).select("id", F.col("question").alias("text"), "category")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("asked"))
@@ -418,12 +419,16 @@ def answer_confidence(spark: SparkSession, d: str) -> DataFrame:
     return query_log(spark, d).select("query_id", S.answer_confidence(F.when(sources, 0.9).otherwise(0.1), method, text, F.col("k") % 2 == 0).alias("confidence"))
 
 
-@register("t45_prompts")
+@register("t45_prompts", f"""WITH {ENTRIES_SQL} SELECT id, md5('Question:' || chr(10) || question || chr(10) || chr(10) || 'Context:' || chr(10) || CASE WHEN trim(answer) = '' THEN '[none]' ELSE answer END || chr(10) || chr(10) || 'Answer from the context; say so if it isn''t there.') AS digest FROM entries""")
 def prompts(spark: SparkSession, d: str) -> DataFrame:
     return entries(spark, d).select("id", F.md5(S.prompt(F.col("question"), F.col("answer")).cast("binary")).alias("digest"))
 
 
-@register("q10_learning")
+@register("q10_learning", rf"""WITH {ENTRIES_SQL}, k AS (SELECT id, list_distinct(list_filter(regexp_extract_all(lower(question), '[{WORD_CLASS}]+'), lambda w: regexp_full_match(w, '[a-z]{{3,}}') AND w NOT IN ({quoted(L.EXTRACT_STOP)}))) AS every, list_filter(regexp_extract_all(lower(question), '[{WORD_CLASS}]+'), lambda w: regexp_full_match(w, '[a-z]{{3,}}') AND w NOT IN ({quoted(L.EXTRACT_STOP)})) AS w FROM entries),
+own AS (SELECT id, list_transform(list_sort(list_transform(every, lambda x: {{'at': list_position(w, x), 'word': x}}))[1:10], lambda x: x.word) AS keywords FROM k),
+new AS (SELECT item_id AS id, list_sort({matcher_keywords_sql('text')}) AS words FROM benchmark),
+both_lists AS (SELECT own.id, list_concat(keywords, list_filter(coalesce(words, []), lambda x: NOT list_contains(keywords, x))) AS keywords FROM own LEFT JOIN new ON own.id = new.id)
+SELECT id, CAST(len(keywords) AS INT) AS n_keywords, array_to_string(keywords, ',') AS keywords FROM both_lists""")
 def learning(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark passages stand for queries that the entry with their id answered well."""
     rows = entries(spark, d).select("id", T.entry_keywords(F.col("question")).alias("keywords"))

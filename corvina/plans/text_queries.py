@@ -10,7 +10,7 @@ from corvina.functions import text as T
 from corvina.functions import understanding as N
 from corvina.functions import vectors as V
 from corvina.operators import dedupe, extraction, typos
-from corvina.plans.views import ENTRIES_SQL, entries
+from corvina.plans.views import ENTRIES_SQL, entries, quoted, rewritten_sql
 from corvina.registry import register
 from corvina.session import table
 
@@ -105,7 +105,11 @@ def similar_words(spark: SparkSession, d: str) -> DataFrame:
     return typos.similar_words(*_unknown_words(spark, d))
 
 
-@register("t13_formal_grammar")
+_FRAGMENT = rf"CASE WHEN regexp_matches(t, '[.?!]$') THEN t WHEN lower(list_filter(string_split_regex(t, '\s+'), lambda w: w <> '')[1]) IN ({quoted(L.FRAGMENT_QUESTIONS)}) THEN t || '?' ELSE t || '.' END"
+
+
+@register("t13_formal_grammar", rf"""WITH g AS (SELECT conv_id, turn, {rewritten_sql('trim(text)', L.INFORMAL)} AS t FROM conversations WHERE role = 'user'), m AS (SELECT conv_id, turn, {_FRAGMENT} AS t FROM g)
+SELECT conv_id, turn, trim(regexp_replace(upper(substr(t, 1, 1)) || substr(t, 2), '\s+', ' ', 'g')) AS text FROM m""")
 def formal_grammar(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", T.formal_grammar(F.col("text")).alias("text"))
 
@@ -180,7 +184,13 @@ def question_likeness(spark: SparkSession, d: str) -> DataFrame:
     return entries(spark, d).select("id", T.question_likeness(F.col("question")).alias("likeness"))
 
 
-@register("j15_adjacent_pairs")
+_LIKE_ANSWER = "CASE WHEN length(trim(a)) < 3 THEN 0 ELSE least((" + " + ".join(f"4 * CAST(regexp_matches(lower(trim(a)), '{sign}') AS INT)" for sign in L.ANSWER_SIGNS) + " + CASE WHEN ends_with(lower(trim(a)), '?') THEN 0 ELSE 2 END + CASE WHEN length(a) > 20 THEN 2 ELSE 0 END + CASE WHEN length(a) > 50 THEN 1 ELSE 0 END + CASE WHEN " + " OR ".join(f"starts_with(array_to_string(list_filter(string_split_regex(lower(trim(a)), '\\s+'), lambda w: w <> '')[1:2], ' '), '{start}')" for start in L.ANSWER_STARTERS) + " THEN 1 ELSE 0 END) / CAST(10 AS DOUBLE), 1) END"
+
+
+@register("j15_adjacent_pairs", f"""WITH {_LINES}, n AS (SELECT doc_id, idx, text AS t, lead(text) OVER (PARTITION BY doc_id ORDER BY idx) AS a FROM lines),
+l AS (SELECT doc_id, idx, CAST({_QUESTION} AS DOUBLE) AS ask, CASE WHEN a IS NOT NULL THEN (CAST({_QUESTION} AS DOUBLE) + CAST({_LIKE_ANSWER} AS DOUBLE)) / 2 END AS confidence FROM n),
+o AS (SELECT *, coalesce(ask >= 0.2 AND confidence >= 0.2, false) AS ok FROM l), r AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY idx) AS run FROM o),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY idx) AS nth FROM r WHERE ok) SELECT doc_id, idx, confidence FROM p WHERE nth % 2 = 1""")
 def adjacent_pairs(spark: SparkSession, d: str) -> DataFrame:
     return extraction.adjacent_pairs(extraction.paragraphs(_docs(spark, d)), 0.2).select("doc_id", "idx", "confidence")
 

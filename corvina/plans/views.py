@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvina.functions import lexicons as L
 from corvina.functions import text as T
 from corvina.session import table
 
@@ -64,3 +65,31 @@ FEEDBACK_SQL = (
 feedback AS (SELECT query_id, user_id, ts, k % 5 + 1 AS rating, ['Excellent and fast', 'Good answer', 'Too slow', 'Completely wrong', 'Confusing page', 'Average',
   'Helpful and accurate response', 'Bad, I had to wait'][CAST(query_id % 8 + 1 AS INT)] AS comment FROM log WHERE intent IN ('purchase', 'view'))"""
 )
+
+# --- oracles of text functions that several queries share ---
+
+#: Letters, digits and what belongs to words, as a class of characters.
+WORD_CLASS = r"\p{L}\p{N}\p{M}_"
+
+
+def quoted(words: list[str]) -> str:
+    return "'" + "', '".join(word.replace("'", "''") for word in words) + "'"
+
+
+def stem_sql(word: str) -> str:
+    cases = " ".join(f"WHEN ends_with({word}, '{s}') AND length({word}) >= {len(s) + 3} THEN CASE WHEN ends_with(left({word}, -{len(s)}), 'at') THEN left({word}, -{len(s)}) || 'e' ELSE left({word}, -{len(s)}) END" for s in L.SUFFIXES)
+    return f"CASE {cases} ELSE {word} END"
+
+
+def matcher_keywords_sql(text: str) -> str:
+    kept = rf"list_filter(string_split_regex(lower({text}), '\s+'), lambda w: length(w) > 2 AND w NOT IN ({quoted(L.MATCHER_STOP)}))"
+    return f"list_distinct(list_concat({kept}, list_transform({kept}, lambda x: {stem_sql('x')})))"
+
+
+def rewritten_sql(text: str, rules: list[tuple[str, str]]) -> str:
+    """Rules applied one after the other, without regard to case."""
+    for pattern, into in rules:
+        pattern = pattern.replace(r"(\w+)", f"([{WORD_CLASS}]+)").replace("'", "''")
+        into = into.replace("$", chr(92)).replace("'", "''")
+        text = f"regexp_replace({text}, '{pattern}', '{into}', 'gi')"
+    return text
