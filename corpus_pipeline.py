@@ -41,7 +41,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = docs.join(gone, "doc_id", "left_anti")
     repeated = cut_lineage(classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if not repeated.isEmpty():
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        # of rows with one id the same stays in every run
+        first = F.min_by(F.struct(*docs.columns), F.struct(F.md5(F.col("text").cast("binary")), F.xxhash64(*docs.columns)))
+        one = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(first.alias("row")).select("row.*")
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(one)
     return kept.select(*docs.columns)
 
 
