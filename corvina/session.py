@@ -13,6 +13,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -30,10 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a temporary one of this
-    machine only where none is named (tests)."""
+    """The folder that driver and executors share, as the cluster names it. Only a session on one machine
+    (tests) may do without: it gets a temporary one."""
     context = spark.sparkContext
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="corvina-")
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and not context.master.startswith(("local[", "local*")) and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="corvina-")
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
