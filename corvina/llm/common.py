@@ -23,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder that the cluster shares, so that a lost executor
-    costs no recomputation from the start. Only where no folder is configured (tests) is one made."""
+    costs no recomputation from the start. Only a session on one machine (tests) may do without a
+    configured folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not configured and not context.master.startswith(("local[", "local*")) and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="corvina-checkpoint-"))
     return df.checkpoint(eager=True)
 
