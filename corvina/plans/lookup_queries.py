@@ -9,8 +9,8 @@ from corvina.functions import answers as N
 from corvina.functions import lexicons as L
 from corvina.functions import text as T
 from corvina.functions import vectors as V
-from corvina.operators import analytics, retrieval
-from corvina.plans.analytics_queries import _ALERTS, _alerts
+from corvina.operators import analytics, extraction, retrieval
+from corvina.plans.analytics_queries import _ALERTS, _HALVES, _alerts
 from corvina.plans.retrieval_queries import _SCORES, _scored, _top
 from corvina.plans.text_queries import _LINES, _W
 from corvina.plans.views import AS_OF, ENTRIES_SQL, FEEDBACK_SQL, LOG_SQL, entries, feedback, matcher_keywords_sql, query_log, quoted, rewritten_sql, stem_sql
@@ -273,3 +273,112 @@ def judged_files(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 5 == 0, ".txt").otherwise(".DOCX"))
     rows = _docs(spark, d).select("doc_id", name.alias("path"), F.octet_length("text").cast("long").alias("length"), F.lit(None).cast("binary").alias("content"))
     return docx.judged(rows).select(F.regexp_extract("path", r"^(\d+)\.", 1).cast("long").alias("doc_id"), F.array_join("errors", ",").alias("errors"))
+
+
+# --- windows over keys, histories, exports ---
+
+
+@register("w04_halves", f"WITH {LOG_SQL}, " + _HALVES.format(by="intent", rows="log", v="k", least=10, step=1))
+def halves(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.half_split(query_log(spark, d), ["intent"], ["ts", "query_id"], "k", 1, 10, analytics.BUCKET)
+
+
+@register("w05_ends", f"""WITH {LOG_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY ts, query_id) AS rn, count(*) OVER (PARTITION BY intent) AS n FROM log)
+SELECT intent, max(n) AS n, sum(k) FILTER (rn <= least(5, n // 3)) / CAST(nullif(count(*) FILTER (rn <= least(5, n // 3)), 0) AS DOUBLE) AS head_mean,
+  sum(k) FILTER (rn > n - least(5, n // 3)) / CAST(nullif(count(*) FILTER (rn > n - least(5, n // 3)), 0) AS DOUBLE) AS tail_mean FROM r GROUP BY intent""")
+def ends(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.head_tail(query_log(spark, d), ["intent"], ["ts", "query_id"], "k")
+
+
+@register("w10_prefix_sums", f"WITH {_LINES} SELECT doc_id, CAST(idx AS INT) AS idx, CAST(coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chars_before FROM lines")
+def prefix_sums(spark: SparkSession, d: str) -> DataFrame:
+    before = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    return extraction.paragraphs(_docs(spark, d)).select("doc_id", "idx", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)).alias("chars_before"))
+
+
+@register("w11_next_rows", f"WITH {_LINES}, n AS (SELECT doc_id, idx, lead(text) OVER (PARTITION BY doc_id ORDER BY idx) AS following FROM lines) SELECT doc_id, CAST(idx AS INT) AS idx, md5(following) AS digest FROM n WHERE following IS NOT NULL")
+def next_rows(spark: SparkSession, d: str) -> DataFrame:
+    following = F.lead("text").over(Window.partitionBy("doc_id").orderBy("idx"))
+    rows = extraction.paragraphs(_docs(spark, d)).withColumn("following", following)
+    return rows.where("following is not null").select("doc_id", "idx", F.md5(F.col("following").cast("binary")).alias("digest"))
+
+
+@register("w13_last_values", f"WITH {LOG_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, query_id DESC) AS rn FROM log) SELECT user_id, array_to_string(list(k ORDER BY rn DESC), ',') AS last_values FROM r WHERE rn <= 10 GROUP BY user_id")
+def last_values(spark: SparkSession, d: str) -> DataFrame:
+    found = analytics.first_last(query_log(spark, d), ["user_id"], ["ts", "query_id"], "k", 10)
+    return found.select("user_id", F.array_join(F.col("last").cast("array<string>"), ",").alias("last_values"))
+
+
+@register("w14_newest_ten", f"WITH {LOG_SQL} SELECT user_id, query_id FROM log QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, query_id DESC) <= 10")
+def newest_ten(spark: SparkSession, d: str) -> DataFrame:
+    return store.latest(query_log(spark, d), ["user_id"], [F.desc("ts"), F.desc("query_id")], 10).select("user_id", "query_id")
+
+
+@register("o02_reversed_ties", f"WITH {ENTRIES_SQL}, r AS (SELECT id, category, row_number() OVER (PARTITION BY category ORDER BY confidence DESC, id DESC) AS rn FROM entries) SELECT category, id, CAST(rn AS INT) AS rn FROM r WHERE rn <= 5")
+def reversed_ties(spark: SparkSession, d: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("confidence"), F.desc("id")))
+    return entries(spark, d).select("category", "id", place.alias("rn")).where("rn <= 5")
+
+
+@register("o05_most_confident", f"WITH {ENTRIES_SQL} SELECT id FROM entries ORDER BY confidence DESC, id LIMIT 50")
+def most_confident(spark: SparkSession, d: str) -> DataFrame:
+    return entries(spark, d).orderBy(F.desc("confidence"), "id").limit(50).select("id")
+
+
+@register("f07_between", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-12-31' GROUP BY o_orderpriority")
+def between(spark: SparkSession, d: str) -> DataFrame:
+    day = F.col("o_orderdate").cast("timestamp")
+    rows = table(spark, d, "orders").where(day.between(F.lit("1995-01-01").cast("timestamp"), F.lit("1995-12-31").cast("timestamp")))
+    return rows.groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@register("d04_delays", "SELECT o_orderkey, CAST(epoch(max(l_shipdate)) - epoch(max(o_orderdate)) AS BIGINT) AS seconds FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+def delays(spark: SparkSession, d: str) -> DataFrame:
+    """How long an order waits for its last shipment."""
+    second = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    shipped = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("shipped"))
+    return table(spark, d, "orders").join(shipped, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", (second("shipped") - second("o_orderdate")).alias("seconds"))
+
+
+@register("r01_arrays", rf"WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[{_W}]+')) AS w FROM conversations) SELECT conv_id, turn, array_to_string(list_sort(w)[1:5], '|') AS first_five, list_has_any(w, ['help', 'the', 'und']) AS has_any, list_sort(w)[1] AS first_word FROM w")
+def arrays(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.sort_array(F.array_distinct(T.tokens(F.col("text")))).alias("w"))
+    return rows.select("conv_id", "turn", F.array_join(F.slice("w", 1, 5), "|").alias("first_five"), F.arrays_overlap("w", F.array(F.lit("help"), F.lit("the"), F.lit("und"))).alias("has_any"), F.get("w", F.lit(0)).alias("first_word"))
+
+
+@register("r02_counters", rf"WITH w AS (SELECT conv_id, unnest(regexp_extract_all(lower(text), '[{_W}]+')) AS word FROM conversations), c AS (SELECT conv_id, word, count(*) AS n FROM w GROUP BY ALL) SELECT conv_id, count(*) AS n_words, max(n) AS most, min(word) FILTER (n = m) AS word FROM (SELECT *, max(n) OVER (PARTITION BY conv_id) AS m FROM c) GROUP BY conv_id")
+def counters(spark: SparkSession, d: str) -> DataFrame:
+    """A counter of words for each conversation: its size, its largest item and that item's word."""
+    words = table(spark, d, "conversations").select("conv_id", F.explode(T.tokens(F.col("text"))).alias("word"))
+    counts = words.groupBy("conv_id", "word").agg(F.count("*").alias("n"))
+    return counts.groupBy("conv_id").agg(F.count("*").alias("n_words"), F.max("n").alias("most"), F.min_by("word", F.struct(-F.col("n"), "word")).alias("word"))
+
+
+@register("src26_last_thousand", f"WITH {FEEDBACK_SQL} SELECT query_id, rating FROM feedback ORDER BY ts DESC, query_id DESC LIMIT 1000")
+def last_thousand(spark: SparkSession, d: str) -> DataFrame:
+    return feedback(spark, d).orderBy(F.desc("ts"), F.desc("query_id")).limit(1000).select("query_id", "rating")
+
+
+@register("src27_alert_history", f"WITH {LOG_SQL}, {_ALERTS} SELECT query_id, metric FROM alerts WHERE ts >= TIMESTAMP '2024-02-20' - INTERVAL 30 DAY")
+def alert_history(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts of the last thirty days, written as JSON and read again."""
+    path = scratch_folder(spark, "alerts")
+    rows = _alerts(spark, d).where(F.col("ts") >= F.lit("2024-02-20").cast("timestamp") - F.expr("interval 30 days"))
+    rows.select("query_id", "metric").write.json(path)
+    return spark.read.schema("query_id long, metric string").json(path)
+
+
+@register("sink02_analytics_export", f"WITH {LOG_SQL} SELECT intent, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM log GROUP BY intent")
+def analytics_export(spark: SparkSession, d: str) -> DataFrame:
+    """Figures by intent, exported as JSON and read again."""
+    path = scratch_folder(spark, "analytics")
+    query_log(spark, d).groupBy("intent").agg(F.count("*").alias("n"), F.sum("cents").alias("cents")).write.json(path)
+    return spark.read.schema("intent string, n long, cents long").json(path)
+
+
+@register("j18_named_intents", "SELECT event_id AS query_id, CASE event_type WHEN 'click' THEN 'followed' WHEN 'view' THEN 'read' WHEN 'purchase' THEN 'solved' WHEN 'error' THEN 'failed' ELSE 'other' END AS outcome FROM events")
+def named_intents(spark: SparkSession, d: str) -> DataFrame:
+    """A dictionary join: the dictionary is part of the plan, so nothing is shuffled."""
+    known = {"click": "followed", "view": "read", "purchase": "solved", "error": "failed"}
+    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return table(spark, d, "events").select(F.col("event_id").alias("query_id"), F.coalesce(F.try_element_at(names, F.col("event_type")), F.lit("other")).alias("outcome"))
