@@ -25,6 +25,17 @@ def character_grams(text: str, size: int) -> np.ndarray:
     return np.unique(_mix(hashed))
 
 
+def letters(text: str) -> np.ndarray:
+    """Hashes of the characters with their numbers among equal ones, whatever their order: what two texts share of
+    these is all that can match between them."""
+    seen: dict[str, int] = {}
+    out = np.empty(len(text), np.uint64)
+    for i, c in enumerate(text):
+        out[i] = (ord(c) << 16) + seen.get(c, 0)
+        seen[c] = seen.get(c, 0) + 1
+    return _mix(out)
+
+
 def word_grams(text: str, size: int) -> np.ndarray:
     """Hashes of the distinct runs of ``size`` words; the whole of a shorter text is one."""
     words = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in re.findall(r"\w+", text)], np.uint64)
