@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corvina.functions import text as T
 from corvina.operators import extraction
+from corvina.session import cut_lineage
 
 #: A candidate's confidence is the mean of how far it looks like a question and an answer; it must reach
 LEAST = 0.3
@@ -35,6 +36,14 @@ def blocks(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "idx", kind.alias("kind"), plain(inner).alias("text"), cells.alias("cells"))
 
 
+def scored(rows: DataFrame) -> DataFrame:
+    """Blocks with ask and tell: how far the text of an item or a paragraph looks like a question and an answer. They are
+    written once, since every kind of pair and the headings read them."""
+    pairs = F.col("kind").isin("item", "paragraph") & (F.col("text") != "")
+    likeness = lambda of: F.when(pairs, of(F.col("text")))
+    return cut_lineage(rows.withColumn("ask", likeness(T.question_likeness)).withColumn("tell", likeness(T.answer_likeness)))
+
+
 def _of_rows(rows: DataFrame) -> DataFrame:
     """Rows of two cells or more: the first two, read in the direction that looks more like question and answer."""
     one, other = F.get("cells", F.lit(0)), F.get("cells", F.lit(1))
@@ -49,21 +58,22 @@ def _adjacent(rows: DataFrame, kind: str, name: str) -> DataFrame:
     """Neighbours of one kind: any block of it with the next one of the page."""
     own = rows.where((F.col("kind") == kind) & (F.col("text") != ""))
     window = Window.partitionBy("page_id").orderBy("idx")
-    own = own.withColumn("answer", F.lead("text").over(window)).withColumn("next", F.lead("idx").over(window)).where("answer is not null")
-    confidence = (T.question_likeness(F.col("text")) + T.answer_likeness(F.col("answer"))) / 2
-    return own.select("page_id", F.col("idx").alias("starts_at"), (F.col("next") + 1).cast("int").alias("ends_before"), F.lit(name).alias("kind"), F.col("text").alias("question"), "answer", confidence.alias("confidence"))
+    following = F.lead(F.struct("text", "idx", "tell")).over(window)
+    own = own.withColumn("next", following).where("next is not null")
+    confidence = (F.col("ask") + F.col("next.tell")) / 2
+    return own.select("page_id", F.col("idx").alias("starts_at"), (F.col("next.idx") + 1).cast("int").alias("ends_before"), F.lit(name).alias("kind"), F.col("text").alias("question"), F.col("next.text").alias("answer"), confidence.alias("confidence"))
 
 
 def _of_one(rows: DataFrame) -> DataFrame:
     """Paragraphs that ask and go on to answer."""
     question, answer = (F.btrim(F.regexp_extract("text", r"(?s)^(.*?\?)\s+(\S.*)$", k)) for k in (1, 2))
-    own = rows.where("kind = 'paragraph'").select("page_id", F.col("idx").alias("starts_at"), (F.col("idx") + 1).alias("ends_before"), F.lit("single").alias("kind"), question.alias("question"), answer.alias("answer"))
+    own = rows.where((F.col("kind") == "paragraph") & F.contains("text", F.lit("?"))).select("page_id", F.col("idx").alias("starts_at"), (F.col("idx") + 1).alias("ends_before"), F.lit("single").alias("kind"), question.alias("question"), answer.alias("answer"))
     confidence = ONE_PARAGRAPH * (T.question_likeness(F.col("question")) + T.answer_likeness(F.col("answer"))) / 2
     return own.where("question <> '' and answer <> ''").withColumn("confidence", confidence)
 
 
 def candidates(rows: DataFrame, least: float = LEAST) -> DataFrame:
-    """page_id and CANDIDATE: all pairs that ``blocks`` offer, whether or not they overlap."""
+    """page_id and CANDIDATE: all pairs that blocks, as ``scored`` gives them, offer, whether or not they overlap."""
     every = [_of_rows(rows), _adjacent(rows, "item", "list"), _adjacent(rows, "paragraph", "paragraph"), _of_one(rows)]
     out = every[0]
     for one in every[1:]:
@@ -110,8 +120,7 @@ def entries(pages: DataFrame, least: float = LEAST) -> DataFrame:
     Texts are cleaned of blanks, the category comes from the heading above, and the id from the page, the
     place and the question, so that another run gives the same. Equal entries of a page count once,
     the first of them. A page without html has none."""
-    # blocks are read twice: by the pairs and for the headings
-    rows = blocks(pages.where("html is not null"))
+    rows = scored(blocks(pages.where("html is not null")))
     window = Window.partitionBy("page_id").orderBy("idx")
     heading = F.last(F.when((F.col("kind") == "heading") & (F.col("text") != ""), F.col("text")), ignorenulls=True).over(window)
     sections = rows.select("page_id", F.col("idx").alias("starts_at"), F.coalesce(heading, F.lit(GENERAL)).alias("section"))

@@ -45,7 +45,7 @@ def page_entries(spark: SparkSession, d: str) -> DataFrame:
 
 @register("u04_candidates")
 def page_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return patterns.candidates(patterns.blocks(table(spark, d, "pages").select("page_id", "html")))
+    return patterns.candidates(patterns.scored(patterns.blocks(table(spark, d, "pages").select("page_id", "html"))))
 
 
 _SYNC = f"""source AS (SELECT doc_id AS id, md5(text) AS hash FROM documents),
