@@ -15,8 +15,8 @@ from corvina.llm.common import cut_lineage, small_side
 
 #: Least share of a document's words in its language.
 LANGUAGE_SHARE = 0.4
-#: Units that an encoding worker remembers: fewer than alone, as heaps have grown in the stages before.
-REMEMBERED = 100_000
+#: Units that an encoding worker remembers and draws for at once: fewer than alone, as heaps have grown in the stages before.
+REMEMBERED, DRAWN = 100_000, 1 << 16
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, ids (array of piece ids), n_pieces, lossless."""
-    return piece_codec.encode_documents(docs, piece_codec.Codec(docs, remembered=REMEMBERED), ("doc_id", "source", "lang"), packed=False)
+    return piece_codec.encode_documents(docs, piece_codec.Codec(docs, remembered=REMEMBERED, drawn=DRAWN), ("doc_id", "source", "lang"), packed=False)
 
 
 STAGES = [

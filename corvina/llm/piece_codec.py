@@ -38,12 +38,10 @@ SEED = 2024
 REMEMBERED = 300_000
 #: Steps of a unit that a node may skip; an occurrence that skips a later one is merged on its own.
 STEPS = 64
-#: Occurrences that draw at once.
-DRAWN = 1 << 16
+#: Occurrences that draw at once, and characters of texts whose units are gathered for that, for each of them.
+DRAWN, GATHER = 1 << 17, 8
 #: Units of at most so many characters are merged together in numpy, by classes of length.
 LENGTHS = (4, 8, 12, 20, 36)
-#: Characters of texts whose units are gathered before they are encoded.
-GATHER = 1 << 19
 #: Rows of a batch that are coded before they are sent on.
 STEP = 256
 
@@ -97,8 +95,8 @@ def load_pieces(path: str = MODEL_FILE) -> tuple[list[str], list[float], list[st
 
 
 class Encoder:
-    def __init__(self, pieces: Pieces, dropout: float = DROPOUT, seed: int = SEED, remembered: int = REMEMBERED):
-        self.pieces, self.seed, self.remembered = pieces, seed, remembered
+    def __init__(self, pieces: Pieces, dropout: float = DROPOUT, seed: int = SEED, remembered: int = REMEMBERED, drawn: int = DRAWN):
+        self.pieces, self.seed, self.remembered, self.drawn = pieces, seed, remembered, drawn
         self.limit = int(dropout * (1 << 32))
         self._forget()
 
@@ -334,15 +332,15 @@ class Encoder:
         at = 0
         while at < len(texts):
             size, to = 0, at
-            while to < len(texts) and (to == at or size + len(texts[to] or "") <= GATHER):
+            while to < len(texts) and (to == at or size + len(texts[to] or "") <= GATHER * self.drawn):
                 size += len(texts[to] or "")
                 to += 1
             cut = [UNIT.findall(" " + text) if text else [] for text in texts[at:to]]
             counts = np.array([len(units) for units in cut], np.int64)
             own, units = self._keys(keys[at:to], counts), list(chain.from_iterable(cut))
             parts: list[bytes] = []
-            for i in range(0, len(units), DRAWN):
-                parts += self._cuts(units[i : i + DRAWN], own[i : i + DRAWN])
+            for i in range(0, len(units), self.drawn):
+                parts += self._cuts(units[i : i + self.drawn], own[i : i + self.drawn])
             ends = np.cumsum(counts).tolist()
             out += [None if text is None else b"".join(parts[start:end]) for text, start, end in zip(texts[at:to], [0, *ends], ends, strict=False)]
             at = to
@@ -358,22 +356,22 @@ def decode(packed: bytes, pieces: Pieces) -> str:
 _ENCODERS: dict = {}
 
 
-def _encoder(shared, dropout: float, seed: int, remembered: int) -> Encoder:
-    """One per worker and model: what it remembers serves all its tasks."""
-    key = (shared.value[3], dropout, seed, remembered)
+def _encoder(shared, *options) -> Encoder:
+    """One per worker, model and options: what it remembers serves all its tasks."""
+    key = (shared.value[3], *options)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(Pieces(*shared.value[:3]), dropout, seed, remembered)
+        _ENCODERS[key] = Encoder(Pieces(*shared.value[:3]), *options)
     return _ENCODERS[key]
 
 
 class Codec:
-    """Column functions for one model. ``dropout`` 0 gives the model's own segmentation; ``remembered``
-    bounds a worker's memory, at the price of merging more often."""
+    """Column functions for one model. ``dropout`` 0 gives the model's own segmentation; ``remembered`` and
+    ``drawn`` bound a worker's memory, at the price of merging and drawing more often, with the same results."""
 
-    def __init__(self, docs: DataFrame, path: str = MODEL_FILE, dropout: float = DROPOUT, seed: int = SEED, remembered: int = REMEMBERED):
+    def __init__(self, docs: DataFrame, path: str = MODEL_FILE, dropout: float = DROPOUT, seed: int = SEED, remembered: int = REMEMBERED, drawn: int = DRAWN):
         self.shared = docs.sparkSession.sparkContext.broadcast((*load_pieces(path), path))
-        self.options = (dropout, seed, remembered)
+        self.options = (dropout, seed, remembered, drawn)
 
     def encode(self, text: Column, doc_id: Column) -> Column:
         """Packed ids (binary, little-endian unsigned) of whole texts. A null text has none (null); a
