@@ -33,7 +33,7 @@ def judged(incoming: DataFrame, held: DataFrame, largest: int = LARGEST, force:
         F.when(F.coalesce(F.btrim("document"), F.lit("")) == "", "no name")
         .when(F.coalesce(F.btrim(content), F.lit("")) == "", "no content")
         .when(F.octet_length(content) > largest, "too large")
-        .when(content.rlike(r"(?i)<html[\s>]") & ~content.rlike(r"(?i)</html\s*>\s*$"), "cut off")
+        .when(content.rlike(r"(?i)<html[ \t\n\f\r>]") & ~content.rlike(r"(?i)</html[ \t\n\f\r]*>[ \t\n\f\r]*\z"), "cut off")
     )
     rows = incoming.select("document", F.sha2(F.coalesce(content, F.lit("")).cast("binary"), 256).alias("hash"), reason.alias("reason"))
     named = rows.where("reason is null or reason <> 'no name'")

@@ -137,6 +137,21 @@ def test_ingestion_that_dies_between_its_commits(spark, tmp_path):
     assert job.entries.read().count() == 6 and job.held().count() == 2
 
 
+def test_pages_of_one_address(spark, tmp_path):
+    """Each page is a document of its own, as in the queries' SQL, though others have its address."""
+    import duckdb
+
+    from corvina import catalog
+
+    pages = [(i, f"u{i % 7}", None if i == 9 else f"<html>{PAGE}{i}</html>") for i in range(30)]
+    pages += [(30, "u1", "<html>cut"), (31, None, PAGE), (32, " ", PAGE), (33, "u1", PAGE + "\u0085"), (34, "u2", "<html\x0b" + PAGE[6:]), (34, "u2", "<html\x0b" + PAGE[6:])]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("src12_ingest",):
+        assert rows_of(catalog.QUERIES[name](spark, str(tmp_path))) == sorted(duck.execute(catalog.ORACLES[name]).fetchall(), key=str)
+
+
 def test_change_feed(spark, tmp_path):
     random.seed(3)
     schema = "id long, version long, op string, v string"
