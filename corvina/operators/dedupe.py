@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvina.functions import ratios
 from corvina.functions import signatures as S
 from corvina.functions import text as T
 from corvina.operators.links import components, linked
@@ -71,15 +71,28 @@ def _compare(threshold: float):
         for rows in batches:
             found = []
             for a, b, left, right in rows[["a", "b", "left", "right"]].itertuples(index=False):
-                matcher = SequenceMatcher(None, left, right)
-                # both are upper bounds of the ratio
-                if matcher.real_quick_ratio() >= threshold and matcher.quick_ratio() >= threshold and (ratio := matcher.ratio()) >= threshold:
+                if (ratio := ratios.ratio_from(left, right, threshold)) is not None:
                     found.append((a, b, ratio))
             yield pd.DataFrame(found, columns=["a", "b", "ratio"]).astype({"a": "int64", "b": "int64", "ratio": "float64"})
 
     return compare
 
 
+def _may_reach(threshold: float):
+    """Of pairs of short texts those whose common letters in order allow the ratio."""
+
+    def may_reach(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        total = (left != 0).sum(axis=1) + (right != 0).sum(axis=1)
+        return 2.0 * ratios.subsequences(left, right) / total >= threshold
+
+    return may_reach
+
+
+def _codes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield texts.map(lambda text: ratios.codes(text, SHORT))
+
+
 def _part_links(rows: DataFrame, part: str, threshold: float) -> DataFrame:
     """a, b, ratio, component: links between the entries that have a text of this part first, and of
     every other entry with the first that has the same text."""
@@ -94,8 +107,9 @@ def _part_links(rows: DataFrame, part: str, threshold: float) -> DataFrame:
 
     links = linked(signed.select("id", F.explode("bands").alias("band")).distinct(), signed.select("id", "marks"), verify, AGREE[part])
     if part == "question":
-        short = cut_lineage(nodes.where(F.length("text") <= SHORT).select("id", _sign("letters")("text").alias("s")).select("id", "s.*"))
-        more = linked(short.select("id", F.explode("bands").alias("band")).distinct(), short.select("id", "marks"), verify, LETTERS_AGREE)
+        short = nodes.where(F.length("text") <= SHORT).select("id", _sign("letters")("text").alias("s"), F.pandas_udf(_codes, "binary")("text").alias("codes"))
+        short = cut_lineage(short.select("id", "s.*", "codes"))
+        more = linked(short.select("id", F.explode("bands").alias("band")).distinct(), short.select("id", "marks", "codes"), verify, LETTERS_AGREE, _may_reach(threshold))
         links = links.unionByName(more).distinct()
     copies = texts.select(F.col("id").alias("b"), "same").join(nodes.select("same", F.col("id").alias("a")), "same").where("a <> b").select("a", "b", F.lit(1.0).alias("ratio"))
     return links.unionByName(copies).withColumn("component", F.lit(part))

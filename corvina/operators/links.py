@@ -21,6 +21,8 @@ from corvina.session import cut_lineage
 TASK_EDGES = 100_000
 #: Rows of a band that meet each other at once.
 BLOCK = 256
+#: Pairs whose codes are compared at once.
+PAIRS = 16_384
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -51,7 +53,7 @@ def components(links: DataFrame) -> DataFrame:
     return nodes.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
-def _meet(least: float) -> Callable:
+def _meet(least: float, may_link: Callable | None) -> Callable:
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[pd.DataFrame] = []
         key = ["band", "left", "right"]
@@ -68,14 +70,26 @@ def _meet(least: float) -> Callable:
             for start, end in zip(bounds, bounds[1:], strict=False):
                 part = frame.iloc[start:end]
                 marks = np.stack([np.frombuffer(x, np.uint8) for x in part["marks"]])
+                codes = np.stack([np.frombuffer(x, "<u4") for x in part["codes"]]) if may_link else None
+                met: list[tuple[np.ndarray, np.ndarray]] = []
                 ids, roots, side = part["id"].to_numpy(), part["root"].to_numpy(), part["is_left"].to_numpy()
                 rows, columns = np.flatnonzero(side), np.flatnonzero(part["is_right"].to_numpy())
                 for i in rows.tolist():
-                    alike = (marks[columns] == marks[i]).mean(axis=1) >= least
-                    other = columns[alike & (roots[columns] != roots[i])]
-                    found += [(min(ids[i], j), max(ids[i], j)) for j in ids[other].tolist()]
+                    other = columns[roots[columns] != roots[i]]
+                    other = other[(marks[other] == marks[i]).mean(axis=1) >= least]
+                    met.append((np.full(len(other), i), other))
+                left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*met, strict=True) if met else ((), ())))
+                # each pair once, though both of its rows are on both sides
+                once = ~side[right] | ~part["is_right"].to_numpy()[left] | (left < right)
+                left, right = left[once], right[once]
+                if may_link:
+                    cuts_ = range(0, len(left), PAIRS)
+                    may = np.concatenate([may_link(codes[left[k : k + PAIRS]], codes[right[k : k + PAIRS]]) for k in cuts_]) if len(left) else np.zeros(0, bool)
+                    left, right = left[may], right[may]
+                found.append(np.stack((np.minimum(ids[left], ids[right]), np.maximum(ids[left], ids[right])), axis=1))
             waiting = [] if batch is None else [frame.iloc[bounds[-1] :]]
-            yield pd.DataFrame(found, columns=["a", "b"]).astype("int64").drop_duplicates()
+            pairs_found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+            yield pd.DataFrame(pairs_found, columns=["a", "b"]).astype("int64").drop_duplicates()
 
     return pairs
 
@@ -85,9 +99,9 @@ def _and_none(batches: Iterator) -> Iterator:
     yield None
 
 
-def _left_over(members: DataFrame, roots: DataFrame, marks: DataFrame, least: float) -> DataFrame:
-    """Distinct pairs (a, b) that share a band of three rows or more but no class, and of whose marks at
-    least a share of ``least`` agrees."""
+def _left_over(members: DataFrame, roots: DataFrame, marks: DataFrame, least: float, may_link: Callable | None) -> DataFrame:
+    """Distinct pairs (a, b) that share a band of three rows or more but no class, of whose marks at
+    least a share of ``least`` agrees, and that ``may_link`` doesn't rule out by their codes."""
     known = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = known.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rest = known.join(mixed, "band").join(marks, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -95,15 +109,17 @@ def _left_over(members: DataFrame, roots: DataFrame, marks: DataFrame, least: fl
     place = lambda left, right, is_left, is_right: F.struct(left.alias("left"), right.alias("right"), is_left.alias("is_left"), is_right.alias("is_right"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     places = F.transform(every, lambda b: F.when(b == F.col("own"), place(b, b, F.lit(True), F.lit(True))).when(b > F.col("own"), place(F.col("own"), b, F.lit(True), F.lit(False))).otherwise(place(b, F.col("own"), F.lit(False), F.lit(True))))
-    met = rest.select("band", "id", "root", "marks", F.explode(places).alias("p")).select("band", "p.*", "id", "root", "marks")
+    own = marks.columns[1:]
+    met = rest.select("band", "id", "root", *own, F.explode(places).alias("p")).select("band", "p.*", "id", "root", *own)
     met = met.repartition("band", "left", "right").sortWithinPartitions("band", "left", "right")
-    return met.mapInPandas(_meet(least), "a long, b long").distinct()
+    return met.mapInPandas(_meet(least, may_link), "a long, b long").distinct()
 
 
-def linked(bands: DataFrame, marks: DataFrame, verify: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+def linked(bands: DataFrame, marks: DataFrame, verify: Callable[[DataFrame], DataFrame], least: float, may_link: Callable | None = None) -> DataFrame:
     """The links that ``verify`` confirms among pairs (a, b): enough of them to connect all that are
     candidates and alike. ``bands``: id, band; ``marks``: id, marks (bytes, of which similar rows share
-    many)."""
+    many), and, for ``may_link``, codes (as many 32-bit numbers in each row). That tells of arrays of two
+    sides' codes which pairs could be confirmed at all: a band's other pairs never become rows."""
     shared = bands.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = cut_lineage(bands.join(shared, "band"))
     links = cut_lineage(verify(members.where("leader < id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()))
@@ -116,4 +132,4 @@ def linked(bands: DataFrame, marks: DataFrame, verify: Callable[[DataFrame], Dat
     again = known.join(other, "band").where("root <> root_a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     links = cut_lineage(links.unionByName(verify(again)))
     roots = cut_lineage(components(links))
-    return cut_lineage(links.unionByName(verify(_left_over(members, roots, marks, least))))
+    return cut_lineage(links.unionByName(verify(_left_over(members, roots, marks, least, may_link))))
