@@ -7,6 +7,7 @@ file that can't be opened gives one row with an error instead of failing the job
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 
 MAX_BYTES, LARGE_BYTES = 50 * 1024 * 1024, 10 * 1024 * 1024
 SCHEMA = "path string, sha256 string, kind string, table_idx int, row_idx int, idx int, style string, text string, error string"
+#: Files are read into frames of about so many rows or characters: one for each file costs more than its unpacking.
+FRAME_ROWS, FRAME_CHARS = 4_096, 4 << 20
+_CONTROL = re.compile(r"[\x00-\x08\x0a-\x1f]")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -60,24 +64,33 @@ def _rows(path: str, content: bytes) -> list[tuple]:
         return [(path, digest, "error", None, None, None, None, None, f"{type(problem).__name__}: {problem}"[:200])]
 
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=[field.split()[0] for field in SCHEMA.split(", ")], dtype=object)
+    return frame.astype({c: "Int32" for c in ("table_idx", "row_idx", "idx")})
+
+
 def read(files: DataFrame) -> DataFrame:
     """The rows of SCHEMA for files without errors."""
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [field.split()[0] for field in SCHEMA.split(", ")]
         for batch in batches:
+            rows, chars = [], 0
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                frame = pd.DataFrame(_rows(path, content), columns=names, dtype=object)
-                for c in ("table_idx", "row_idx", "idx"):
-                    frame[c] = frame[c].astype("Int32")
-                yield frame
+                more = _rows(path, content)
+                rows += more
+                chars += sum(len(row[7] or "") for row in more)
+                if len(rows) >= FRAME_ROWS or chars >= FRAME_CHARS:
+                    yield _frame(rows)
+                    rows, chars = [], 0
+            if rows:
+                yield _frame(rows)
 
     return files.where(F.size("errors") == 0).select("path", "content").mapInPandas(unpack, SCHEMA)
 
 
 def _packed(text: str) -> bytes:
     out = io.BytesIO()
-    lines = [escape("".join(c for c in line if c >= " " or c == "\t")) for line in text.split("\n")]
+    lines = [escape(_CONTROL.sub("", line)) for line in text.split("\n")]
     body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{line}</w:t></w:r></w:p>' for line in lines)
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as pack:
         pack.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{_W[1:-1]}"><w:body>{body}</w:body></w:document>')
