@@ -7,6 +7,7 @@ gives.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -126,25 +127,41 @@ def entry_keywords(text: Column) -> Column:
     return F.slice(F.array_distinct(F.filter(found, lambda w: ~w.isin(L.EXTRACT_STOP))), 1, 10)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it occurs there."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _trimmed_low(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), r"(?U)^\s+|\s+$", "")
+
+
 def question_likeness(text: Column) -> Column:
     """0 to 1: 0.3 for each sign, 0.4 for a final ?, 0.3 for a question word in front; less if over
     200 or under 10 characters."""
-    low = F.regexp_replace(F.lower(text), r"(?U)^\s+|\s+$", "")
-    tenths = reduce(lambda a, b: a + b, [F.when(low.rlike(sign), 3).otherwise(0) for sign in L.QUESTION_SIGNS])
-    tenths = tenths + F.when(low.endswith("?"), 4).otherwise(0) + F.when(F.coalesce(F.get(words(low), F.lit(0)).isin(L.INTERROGATIVES), F.lit(False)), 3).otherwise(0)
-    hundredths = tenths * 100 * F.when(F.length(text) > 200, 7).otherwise(10) * F.when(F.length(text) < 10, 8).otherwise(10)
-    return F.when(F.length(low) >= 3, F.least(hundredths / F.lit(100000.0), F.lit(1.0))).otherwise(0.0)
+
+    def likeness(low: Column) -> Column:
+        tenths = reduce(lambda a, b: a + b, [F.when(low.rlike(sign), 3).otherwise(0) for sign in L.QUESTION_SIGNS])
+        asks = F.regexp_extract(low, r"(?U)^\S+", 0).isin(L.INTERROGATIVES)
+        tenths = tenths + F.when(low.endswith("?"), 4).otherwise(0) + F.when(asks, 3).otherwise(0)
+        hundredths = tenths * 100 * F.when(F.length(text) > 200, 7).otherwise(10) * F.when(F.length(text) < 10, 8).otherwise(10)
+        return F.when(F.length(low) >= 3, F.least(hundredths / F.lit(100000.0), F.lit(1.0))).otherwise(0.0)
+
+    return _once(_trimmed_low(text), likeness)
 
 
 def answer_likeness(text: Column) -> Column:
     """0 to 1: 0.4 for each sign, 0.2 without a final ?, 0.2 and 0.1 over 20 and 50 characters, 0.1
     for a usual start."""
-    low = F.regexp_replace(F.lower(text), r"(?U)^\s+|\s+$", "")
-    tenths = reduce(lambda a, b: a + b, [F.when(low.rlike(sign), 4).otherwise(0) for sign in L.ANSWER_SIGNS])
-    first = F.array_join(F.slice(words(low), 1, 2), " ")
-    usual = reduce(lambda a, b: a | b, [first.startswith(start) for start in L.ANSWER_STARTERS])
-    tenths = tenths + F.when(~low.endswith("?"), 2).otherwise(0) + F.when(F.length(text) > 20, 2).otherwise(0) + F.when(F.length(text) > 50, 1).otherwise(0) + F.when(usual, 1).otherwise(0)
-    return F.when(F.length(low) >= 3, F.least(tenths / F.lit(10.0), F.lit(1.0))).otherwise(0.0)
+    starts = "^(?:" + "|".join(L.ANSWER_STARTERS) + ")"
+
+    def likeness(low: Column) -> Column:
+        tenths = reduce(lambda a, b: a + b, [F.when(low.rlike(sign), 4).otherwise(0) for sign in L.ANSWER_SIGNS])
+        first = F.regexp_replace(F.regexp_extract(low, r"(?U)^\S+(?:\s+\S+)?", 0), r"(?U)\s+", " ")
+        tenths = tenths + F.when(~low.endswith("?"), 2).otherwise(0) + F.when(F.length(text) > 20, 2).otherwise(0) + F.when(F.length(text) > 50, 1).otherwise(0) + F.when(first.rlike(starts), 1).otherwise(0)
+        return F.when(F.length(low) >= 3, F.least(tenths / F.lit(10.0), F.lit(1.0))).otherwise(0.0)
+
+    return _once(_trimmed_low(text), likeness)
 
 
 def strip_prefix(text: Column) -> Column:

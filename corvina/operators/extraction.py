@@ -38,9 +38,10 @@ def adjacent_pairs(lines: DataFrame, least: float = 0.3) -> DataFrame:
     likenesses is at least ``least``. Scanning down, an accepted pair uses up both lines: of a run of
     lines that could each begin a pair, the first, third, ... do."""
     window = Window.partitionBy("doc_id").orderBy("idx")
-    pairs = lines.withColumn("answer", F.lead("text").over(window))
-    ask, answer = T.question_likeness(F.col("text")), T.answer_likeness(F.col("answer"))
-    pairs = pairs.withColumn("confidence", (ask + answer) / 2).withColumn("ok", F.col("answer").isNotNull() & (ask >= least) & (F.col("confidence") >= least))
+    # each line is judged once, before the shuffle: what is like an answer belongs to the line in front
+    judged = lines.withColumn("ask", T.question_likeness(F.col("text"))).withColumn("tell", T.answer_likeness(F.col("text")))
+    pairs = judged.withColumn("answer", F.lead("text").over(window)).withColumn("confidence", (F.col("ask") + F.lead("tell").over(window)) / 2)
+    pairs = pairs.withColumn("ok", F.coalesce((F.col("ask") >= least) & (F.col("confidence") >= least), F.lit(False)))
     breaks = pairs.withColumn("run", F.sum((~F.col("ok")).cast("int")).over(window))
     nth = F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("idx"))
     return breaks.where("ok").withColumn("nth", nth).where(F.col("nth") % 2 == 1).select("doc_id", "idx", F.col("text").alias("question"), "answer", "confidence")
