@@ -13,9 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvina.functions import ratios
 from corvina.functions import text as T
 from corvina.functions import vectors as V
-from corvina.session import cut_lineage
+from corvina.session import cut_lineage, spread
 
 #: Rows of a block of vectors; two blocks are scored at once.
 BLOCK = 1024
@@ -201,13 +202,16 @@ def ngram_matches(entries: DataFrame, queries: DataFrame, threshold: float) -> D
     return out.withColumn("share", F.col("shared") / F.col("n_query")).where(F.col("share") >= threshold)
 
 
-def lexical_scores(entries: DataFrame, queries: DataFrame, threshold: float = 0.3) -> DataFrame:
+def lexical_scores(entries: DataFrame, queries: DataFrame, threshold: float = 0.3, most: int | None = None) -> DataFrame:
     """qid, id, plain, sim: 0.3 keyword share + 0.4 question overlap + 0.2 overlap with synonyms, over
     the entries' question and keywords, plus 0.1 character ratio by ``sequence_ratio`` where that can
     still decide: pairs that can't reach the threshold with a full ratio are left out before it.
 
     A score without the ratio needs a common word, so pairs come from an equi-join on words; sums over
     a pair's common words give all three overlaps, without either side's word lists.
+
+    With ``most``, pairs that can't be among a query's best so many are left out too: those that stay below
+    the score without the ratio of so many others even with a full one.
     """
     q = queries.select("qid", F.lower(T.matcher_form(F.col("text"))).alias("q_text")).withColumn("own", T.matcher_keywords(F.col("q_text"))).withColumn("wide", T.expand_synonyms(F.col("own")))
     e = entries.select("id", F.col("question").alias("e_text"), T.matcher_keywords(F.col("question")).alias("own"), T.matcher_keywords(F.col("keywords")).alias("keys"))
@@ -222,21 +226,36 @@ def lexical_scores(entries: DataFrame, queries: DataFrame, threshold: float = 0.
     overlap = lambda both, a, b: F.when(F.col(a) + F.col(b) == 0, 0.0).otherwise(F.col(both) / (F.col(a) + F.col(b) - F.col(both)))
     plain = 0.3 * share + 0.4 * overlap("own", "nq_own", "ne_own") + 0.2 * overlap("wide", "nq_wide", "ne_wide")
     pairs = common.withColumn("plain", plain).where(F.col("plain") >= threshold - 0.1).select("qid", "id", "plain")
+    needed = F.lit(threshold)
+    if most is not None:
+        pairs = cut_lineage(_near_best(cut_lineage(pairs), most, 0.1))
+        needed = F.greatest(needed, "last")
+    n_pairs = pairs.count() if most is not None else None
     pairs = pairs.join(q.select("qid", "q_text"), "qid").join(e.select("id", "e_text"), "id")
-    ratio = sequence_ratio(F.col("q_text"), F.lower("e_text"))
+    pairs = pairs if n_pairs is None else spread(pairs, n_pairs)
+    ratio = sequence_ratio(F.col("q_text"), F.lower("e_text"), (needed - F.col("plain") - 1e-9) / 0.1)
     return pairs.withColumn("sim", F.col("plain") + 0.1 * ratio).where(F.col("sim") >= threshold).select("qid", "id", "plain", "sim")
 
 
-def sequence_ratio(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp ratio of two texts, as difflib has it; no built-in function gives it."""
+def _near_best(pairs: DataFrame, most: int, slack: float) -> DataFrame:
+    """Pairs (qid, id, plain) but those that lie more than ``slack`` below ``most`` others of their query; last: what the
+    last of these has (null: there are fewer)."""
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("plain"), "id"))
+    last = pairs.select("qid", "id", "plain", place.alias("place")).where(F.col("place") <= most).where(F.col("place") == most).select("qid", F.col("plain").alias("last"))
+    # sums of doubles: a margin far above their error
+    return pairs.join(last, "qid", "left").where(F.col("last").isNull() | (F.col("plain") >= F.col("last") - slack - 1e-9))
+
 
-    def ratios(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        from difflib import SequenceMatcher
+def sequence_ratio(a: Column, b: Column, least: Column) -> Column:
+    """Ratcliff-Obershelp ratio of two texts, as difflib has it, or null if it is below ``least``; no built-in
+    function gives it."""
 
-        for left, right in pairs:
-            yield pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(left, right, strict=True)], dtype="float64")
+    def found(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right, bound in batches:
+            yield pd.Series([ratios.ratio_from(x or "", y or "", z) for x, y, z in zip(left, right, bound, strict=True)], dtype="float64")
 
-    return F.pandas_udf(ratios, "double")(a, b)
+    # so called, it isn't asked again by a filter that is pushed below the shuffle of its pairs
+    return F.pandas_udf(found, "double").asNondeterministic()(a, b, least)
 
 
 def diverse(candidates: DataFrame, limit: float = 0.8, k: int = 5) -> DataFrame:

@@ -121,7 +121,7 @@ def cascade(spark: SparkSession, d: str) -> DataFrame:
 def lexical(spark: SparkSession, d: str) -> DataFrame:
     rows = entries(spark, d).withColumn("keywords", F.array_join(T.entry_keywords(F.col("question")), " "))
     queries = rows.where(F.col("id") % EVERY == 0).select(F.col("id").alias("qid"), F.col("question").alias("text"))
-    return R.top_k(R.lexical_scores(rows, queries), 5, ["qid"]).select("qid", "id", "rn")
+    return R.top_k(R.lexical_scores(rows, queries, most=5), 5, ["qid"]).select("qid", "id", "rn")
 
 
 @register("j16_overlap", f"""WITH {_SCORES}, t AS ({_top('scored', 5)}), w AS (SELECT qid, id, list_distinct(list_transform(string_split_regex(trim(lower(text)), '\\s+'), lambda x: x)) AS words FROM t JOIN documents ON doc_id = id),

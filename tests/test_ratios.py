@@ -63,3 +63,18 @@ def test_pairs_that_cannot_reach_the_ratio_never_become_rows():
     frame = pd.DataFrame(rows, columns=["band", "left", "right", "is_left", "is_right", "id", "root", "marks", "codes"])
     found = pd.concat(links._meet(0.4, dedupe._may_reach(0.7))(iter([frame])))
     assert sorted(map(tuple, found.to_numpy().tolist())) == [(0, 1), (0, 3), (1, 3), (4, 5)]
+
+
+def test_lexical_search_asks_for_no_ratio_that_cannot_count(spark):
+    """The best of each query are the same with and without the cut at its last one."""
+    from corvina.operators import retrieval
+
+    rng = random.Random(9)
+    words = ["alpha", "bravo", "carbon", "delta", "engine", "forest", "garden"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(1, 6)))) for i in range(120)]
+    entries = spark.createDataFrame([(*r, r[1]) for r in rows], "id long, question string, keywords string")
+    queries = spark.createDataFrame(rows[::20], "qid long, text string")
+    every = retrieval.lexical_scores(entries, queries)
+    some = retrieval.lexical_scores(entries, queries, most=3)
+    best = [sorted(map(tuple, retrieval.top_k(x, 3, ["qid"]).select("qid", "id", "rn", "sim").collect())) for x in (every, some)]
+    assert best[0] == best[1] and some.count() < every.count()
