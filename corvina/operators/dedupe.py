@@ -35,6 +35,8 @@ SHORT, PAIR_ROWS = 24, 2
 #: Such short questions are also signed by their letters: components of a band, bands, and the share of the signature
 #: that must agree. Texts of a ratio of 0.70 share 0.54 of their letters at least, whatever their order.
 LETTER_ROWS, LETTER_BANDS, LETTERS_AGREE = 4, 64, 0.42
+#: Bins of letters that a text's characters are counted in.
+BINS = 64
 #: Share of a signature that must agree for a pair that is left over in a band to be compared.
 AGREE = {"question": 0.25, "answer": 0.15}
 
@@ -78,14 +80,35 @@ def _compare(threshold: float):
     return compare
 
 
-def _may_reach(threshold: float):
-    """Of pairs of short texts those whose common letters in order allow the ratio."""
+class _LettersReach:
+    """Of pairs of short texts those whose common letters, and then whose common letters in order, allow the ratio."""
 
-    def may_reach(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+
+    def some(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        total = (left != 0).sum(axis=1)[:, None] + (right != 0).sum(axis=1)
+        return 2.0 * ratios.common_letters(left, right) / total >= self.threshold
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         total = (left != 0).sum(axis=1) + (right != 0).sum(axis=1)
-        return 2.0 * ratios.subsequences(left, right) / total >= threshold
+        return 2.0 * ratios.subsequences(left, right) / total >= self.threshold
+
+
+class _CountsReach(_LettersReach):
+    """Of pairs of any texts those whose lengths, and then whose numbers of letters, allow the ratio."""
+
+    def some(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        left, right = left.sum(axis=1, dtype=np.int64)[:, None], right.sum(axis=1, dtype=np.int64)
+        return 2.0 * np.minimum(left, right) / (left + right) >= self.threshold
 
-    return may_reach
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        total = left.sum(axis=1, dtype=np.int64) + right.sum(axis=1, dtype=np.int64)
+        return 2.0 * np.minimum(left, right).sum(axis=1, dtype=np.int64) / total >= self.threshold
+
+
+def _may_reach(threshold: float) -> _LettersReach:
+    return _LettersReach(threshold)
 
 
 def _codes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -93,19 +116,24 @@ def _codes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(lambda text: ratios.codes(text, SHORT))
 
 
+def _counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield texts.map(lambda text: ratios.letter_counts(text, BINS))
+
+
 def _part_links(rows: DataFrame, part: str, threshold: float) -> DataFrame:
     """a, b, ratio, component: links between the entries that have a text of this part first, and of
     every other entry with the first that has the same text."""
     texts = rows.where(F.col(part) != "").select("id", F.col(part).alias("text"), F.md5(F.col(part).cast("binary")).alias("same"))
     nodes = cut_lineage(texts.groupBy("same").agg(F.min(F.struct("id", "text")).alias("r")).select("same", "r.*"))
-    signed = cut_lineage(nodes.select("id", _sign(part)("text").alias("s")).select("id", "s.*"))
+    signed = cut_lineage(nodes.select("id", _sign(part)("text").alias("s"), F.pandas_udf(_counts, "binary")("text").alias("codes")).select("id", "s.*", "codes"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         left, right = nodes.select(F.col("id").alias("a"), F.col("text").alias("left")), nodes.select(F.col("id").alias("b"), F.col("text").alias("right"))
         pairs = cut_lineage(pairs)
         return spread(pairs.join(left, "a").join(right, "b"), pairs.count()).mapInPandas(_compare(threshold), "a long, b long, ratio double")
 
-    links = linked(signed.select("id", F.explode("bands").alias("band")).distinct(), signed.select("id", "marks"), verify, AGREE[part])
+    links = linked(signed.select("id", F.explode("bands").alias("band")).distinct(), signed.select("id", "marks", "codes"), verify, AGREE[part], _CountsReach(threshold))
     if part == "question":
         short = nodes.where(F.length("text") <= SHORT).select("id", _sign("letters")("text").alias("s"), F.pandas_udf(_codes, "binary")("text").alias("codes"))
         short = cut_lineage(short.select("id", "s.*", "codes"))

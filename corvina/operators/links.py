@@ -9,6 +9,7 @@ through without all of its pairs, and no candidate pair of different classes goe
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -20,9 +21,18 @@ from corvina.session import cut_lineage
 #: Links that one task passes on: a step of a small graph doesn't write a file for each of many tasks.
 TASK_EDGES = 100_000
 #: Rows of a band that meet each other at once.
-BLOCK = 256
-#: Pairs whose codes are compared at once.
-PAIRS = 16_384
+BLOCK = 1024
+#: Rows of a block that meet the others at once, and pairs whose marks and codes are compared at once.
+STRIP, PAIRS = 256, 16_384
+
+
+class Bound(Protocol):
+    """What rows' codes tell of which pairs could be confirmed at all: ``some`` of each row of one array with each of another,
+    at little cost, and ``pairs`` of each row with that in its place."""
+
+    def some(self, left: np.ndarray, right: np.ndarray) -> np.ndarray: ...
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray: ...
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -53,7 +63,7 @@ def components(links: DataFrame) -> DataFrame:
     return nodes.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
-def _meet(least: float, may_link: Callable | None) -> Callable:
+def _meet(least: float, may_link: Bound | None) -> Callable:
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[pd.DataFrame] = []
         key = ["band", "left", "right"]
@@ -71,22 +81,24 @@ def _meet(least: float, may_link: Callable | None) -> Callable:
                 part = frame.iloc[start:end]
                 marks = np.stack([np.frombuffer(x, np.uint8) for x in part["marks"]])
                 codes = np.stack([np.frombuffer(x, "<u4") for x in part["codes"]]) if may_link else None
-                met: list[tuple[np.ndarray, np.ndarray]] = []
-                ids, roots, side = part["id"].to_numpy(), part["root"].to_numpy(), part["is_left"].to_numpy()
-                rows, columns = np.flatnonzero(side), np.flatnonzero(part["is_right"].to_numpy())
-                for i in rows.tolist():
-                    other = columns[roots[columns] != roots[i]]
-                    other = other[(marks[other] == marks[i]).mean(axis=1) >= least]
-                    met.append((np.full(len(other), i), other))
-                left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*met, strict=True) if met else ((), ())))
-                # each pair once, though both of its rows are on both sides
-                once = ~side[right] | ~part["is_right"].to_numpy()[left] | (left < right)
-                left, right = left[once], right[once]
-                if may_link:
-                    cuts_ = range(0, len(left), PAIRS)
-                    may = np.concatenate([may_link(codes[left[k : k + PAIRS]], codes[right[k : k + PAIRS]]) for k in cuts_]) if len(left) else np.zeros(0, bool)
-                    left, right = left[may], right[may]
-                found.append(np.stack((np.minimum(ids[left], ids[right]), np.maximum(ids[left], ids[right])), axis=1))
+                ids, roots, side, other_side = part["id"].to_numpy(), part["root"].to_numpy(), part["is_left"].to_numpy(), part["is_right"].to_numpy()
+                rows, columns = np.flatnonzero(side), np.flatnonzero(other_side)
+                for k in range(0, len(rows) if len(columns) else 0, STRIP):
+                    strip = rows[k : k + STRIP]
+                    # each pair once, though both of its rows are on both sides
+                    may = (roots[strip][:, None] != roots[columns]) & ~(other_side[strip][:, None] & side[columns] & (strip[:, None] >= columns))
+                    if may_link and may.any():
+                        may &= may_link.some(codes[strip], codes[columns])
+                    left, right = np.nonzero(may)
+                    left, right = strip[left], columns[right]
+                    for at in range(0, len(left), PAIRS):
+                        a, b = left[at : at + PAIRS], right[at : at + PAIRS]
+                        alike = np.count_nonzero(marks[a] == marks[b], axis=1) / marks.shape[1] >= least
+                        a, b = a[alike], b[alike]
+                        if may_link:
+                            may_pair = may_link.pairs(codes[a], codes[b])
+                            a, b = a[may_pair], b[may_pair]
+                        found.append(np.stack((np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])), axis=1))
             waiting = [] if batch is None else [frame.iloc[bounds[-1] :]]
             pairs_found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
             yield pd.DataFrame(pairs_found, columns=["a", "b"]).astype("int64").drop_duplicates()
@@ -99,7 +111,7 @@ def _and_none(batches: Iterator) -> Iterator:
     yield None
 
 
-def _left_over(members: DataFrame, roots: DataFrame, marks: DataFrame, least: float, may_link: Callable | None) -> DataFrame:
+def _left_over(members: DataFrame, roots: DataFrame, marks: DataFrame, least: float, may_link: Bound | None) -> DataFrame:
     """Distinct pairs (a, b) that share a band of three rows or more but no class, of whose marks at
     least a share of ``least`` agrees, and that ``may_link`` doesn't rule out by their codes."""
     known = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -115,11 +127,11 @@ def _left_over(members: DataFrame, roots: DataFrame, marks: DataFrame, least: fl
     return met.mapInPandas(_meet(least, may_link), "a long, b long").distinct()
 
 
-def linked(bands: DataFrame, marks: DataFrame, verify: Callable[[DataFrame], DataFrame], least: float, may_link: Callable | None = None) -> DataFrame:
+def linked(bands: DataFrame, marks: DataFrame, verify: Callable[[DataFrame], DataFrame], least: float, may_link: Bound | None = None) -> DataFrame:
     """The links that ``verify`` confirms among pairs (a, b): enough of them to connect all that are
     candidates and alike. ``bands``: id, band; ``marks``: id, marks (bytes, of which similar rows share
-    many), and, for ``may_link``, codes (as many 32-bit numbers in each row). That tells of arrays of two
-    sides' codes which pairs could be confirmed at all: a band's other pairs never become rows."""
+    many), and, for ``may_link``, codes (as many 32-bit numbers in each row). Pairs of a band that it rules
+    out by their codes never become rows."""
     shared = bands.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = cut_lineage(bands.join(shared, "band"))
     links = cut_lineage(verify(members.where("leader < id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()))

@@ -78,3 +78,45 @@ def test_lexical_search_asks_for_no_ratio_that_cannot_count(spark):
     some = retrieval.lexical_scores(entries, queries, most=3)
     best = [sorted(map(tuple, retrieval.top_k(x, 3, ["qid"]).select("qid", "id", "rn", "sim").collect())) for x in (every, some)]
     assert best[0] == best[1] and some.count() < every.count()
+
+
+def test_long_texts_cost_little_more_than_their_length():
+    """Texts of whose rare characters each pair once made a step: 10^9 of them here."""
+    import time
+
+    rng = random.Random(10)
+    a, b = (" ".join("".join(rng.choices("eeeetttaaaoooiiinnnsssrrrhhhlllbcdfgkmpquvwxyz", k=rng.randint(2, 9))) for _ in range(60_000)) for _ in range(2))
+    began = time.process_time()
+    assert ratios.ratio_from(a, b, 0.7) is None
+    assert time.process_time() - began < 20
+
+
+def test_ratios_of_texts_with_long_runs_of_rare_characters():
+    rng = random.Random(11)
+    letters = "".join(chr(0x4E00 + k) for k in range(900))
+    for n in range(20):
+        a = "".join(rng.choices(letters, k=rng.choice([199, 300, 1500])))
+        b = _changed(rng, a[n * 7 :] + a[: n * 7] if n % 3 else a, letters)
+        want = SequenceMatcher(None, a, b).ratio()
+        for least in (0.0, 0.7, want):
+            assert ratios.ratio_from(a, b, least) == (want if want >= least else None)
+
+
+def test_common_letters():
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("abcé\U0001f600 \0", k=rng.randint(1, 24))) for _ in range(40)]
+    codes = np.stack([np.frombuffer(ratios.codes(t, 24), "<u4") for t in texts])
+    found = ratios.common_letters(codes[:10], codes).tolist()
+    assert found == [[sum(min(a.count(c), b.count(c)) for c in set(a)) for b in texts] for a in texts[:10]]
+
+
+def test_pairs_of_longer_texts_that_cannot_reach_the_ratio_never_become_rows():
+    import pandas as pd
+
+    from corvina.operators import dedupe, links
+
+    texts = ["abcde " * 20, "abcde " * 18, "vwxyz " * 20, "abcde " * 90]
+    rows = [("band", 0, 0, True, True, i, i, b"\0" * 8, ratios.letter_counts(t, 64)) for i, t in enumerate(texts)]
+    frame = pd.DataFrame(rows, columns=["band", "left", "right", "is_left", "is_right", "id", "root", "marks", "codes"])
+    found = pd.concat(links._meet(0.4, dedupe._CountsReach(0.7))(iter([frame])))
+    assert sorted(map(tuple, found.to_numpy().tolist())) == [(0, 1)]
