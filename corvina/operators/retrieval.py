@@ -22,6 +22,8 @@ from corvina.session import cut_lineage, spread
 BLOCK = 1024
 #: Query blocks up to which all of them are broadcast to the entries' blocks.
 BROADCAST_BLOCKS = 16
+#: Bins of letters that texts' characters are counted in.
+BINS = 32
 #: Bytes of an Arrow batch of pairs of blocks.
 BATCH_BYTES = 64 << 20
 
@@ -208,42 +210,90 @@ def lexical_scores(entries: DataFrame, queries: DataFrame, threshold: float = 0.
     still decide: pairs that can't reach the threshold with a full ratio are left out before it.
 
     A score without the ratio needs a common word, so pairs come from an equi-join on words; sums over
-    a pair's common words give all three overlaps, without either side's word lists.
+    a pair's common words give all three overlaps, without either side's word lists. Queries, and entries, that are
+    alike are one row until their pairs have a score.
 
     With ``most``, pairs that can't be among a query's best so many are left out too: those that stay below
-    the score without the ratio of so many others even with a full one.
+    the score of so many others even with the largest ratio that their letters allow.
     """
-    q = queries.select("qid", F.lower(T.matcher_form(F.col("text"))).alias("q_text")).withColumn("own", T.matcher_keywords(F.col("q_text"))).withColumn("wide", T.expand_synonyms(F.col("own")))
-    e = entries.select("id", F.col("question").alias("e_text"), T.matcher_keywords(F.col("question")).alias("own"), T.matcher_keywords(F.col("keywords")).alias("keys"))
-    e = e.withColumn("every", F.array_union("own", "keys")).withColumn("wide", T.expand_synonyms(F.col("every")))
+    q = _alike(queries.withColumn("q_text", F.lower(T.matcher_form(F.col("text")))), "qid", ["q_text"], "query")
+    q = cut_lineage(q.withColumn("own", T.matcher_keywords(F.col("q_text"))).withColumn("wide", T.expand_synonyms(F.col("own"))))
+    e = _alike(entries, "id", ["question", "keywords"], "entry", most).withColumn("e_text", F.lower("question"))
+    e = e.withColumn("own", T.matcher_keywords(F.col("question"))).withColumn("keys", T.matcher_keywords(F.col("keywords")))
+    e = cut_lineage(e.drop("question", "keywords").withColumn("every", F.array_union("own", "keys")).withColumn("wide", T.expand_synonyms(F.col("every"))))
     has = lambda words: F.array_contains(words, F.col("word")).cast("int")
-    q_words = q.select("qid", F.size("own").alias("nq_own"), F.size("wide").alias("nq_wide"), "own", F.explode("wide").alias("word")).select("qid", "nq_own", "nq_wide", "word", has("own").alias("q_own"))
-    e_words = e.select("id", F.size("own").alias("ne_own"), F.size("wide").alias("ne_wide"), F.size("keys").alias("ne_keys"), "own", "every", F.explode("wide").alias("word"))
-    e_words = e_words.select("id", "ne_own", "ne_wide", "ne_keys", "word", has("own").alias("e_own"), has("every").alias("e_every"))
+    q_words = q.select("query", F.size("own").alias("nq_own"), F.size("wide").alias("nq_wide"), "own", F.explode("wide").alias("word")).select("query", "nq_own", "nq_wide", "word", has("own").alias("q_own"))
+    e_words = e.select("entry", F.size("own").alias("ne_own"), F.size("wide").alias("ne_wide"), F.size("keys").alias("ne_keys"), "own", "every", F.explode("wide").alias("word"))
+    e_words = e_words.select("entry", "ne_own", "ne_wide", "ne_keys", "word", has("own").alias("e_own"), has("every").alias("e_every"))
     sizes = ["nq_own", "nq_wide", "ne_own", "ne_wide", "ne_keys"]
-    common = q_words.join(e_words, "word").groupBy("qid", "id", *sizes).agg(F.sum("e_every").alias("every"), F.sum(F.col("q_own") * F.col("e_own")).alias("own"), F.count("*").alias("wide"))
+    common = q_words.join(e_words, "word").groupBy("query", "entry", *sizes).agg(F.sum("e_every").alias("every"), F.sum(F.col("q_own") * F.col("e_own")).alias("own"), F.count("*").alias("wide"))
     share = F.when(F.col("ne_keys") == 0, 0.0).otherwise(F.col("every") / F.col("nq_wide"))
     overlap = lambda both, a, b: F.when(F.col(a) + F.col(b) == 0, 0.0).otherwise(F.col(both) / (F.col(a) + F.col(b) - F.col(both)))
     plain = 0.3 * share + 0.4 * overlap("own", "nq_own", "ne_own") + 0.2 * overlap("wide", "nq_wide", "ne_wide")
-    pairs = common.withColumn("plain", plain).where(F.col("plain") >= threshold - 0.1).select("qid", "id", "plain")
-    needed = F.lit(threshold)
+    pairs = common.withColumn("plain", plain).where(F.col("plain") >= threshold - 0.1).select("query", "entry", "plain").withColumn("needed", F.lit(threshold))
+    texts = lambda of: of.join(q.select("query", "q_text"), "query").join(e.select("entry", "e_text"), "entry")
     if most is not None:
-        pairs = cut_lineage(_near_best(cut_lineage(pairs), most, 0.1))
-        needed = F.greatest(needed, "last")
-    n_pairs = pairs.count() if most is not None else None
-    pairs = pairs.join(q.select("qid", "q_text"), "qid").join(e.select("id", "e_text"), "id")
-    pairs = pairs if n_pairs is None else spread(pairs, n_pairs)
-    ratio = sequence_ratio(F.col("q_text"), F.lower("e_text"), (needed - F.col("plain") - 1e-9) / 0.1)
-    return pairs.withColumn("sim", F.col("plain") + 0.1 * ratio).where(F.col("sim") >= threshold).select("qid", "id", "plain", "sim")
-
-
-def _near_best(pairs: DataFrame, most: int, slack: float) -> DataFrame:
-    """Pairs (qid, id, plain) but those that lie more than ``slack`` below ``most`` others of their query; last: what the
-    last of these has (null: there are fewer)."""
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("plain"), "id"))
-    last = pairs.select("qid", "id", "plain", place.alias("place")).where(F.col("place") <= most).where(F.col("place") == most).select("qid", F.col("plain").alias("last"))
+        pairs = _worth_a_ratio(cut_lineage(pairs), q.select("query", "q_text"), e.select("entry", "e_text", F.size("ids").alias("n")), most)
+    scored = _with_ratio(texts(pairs) if most is None else spread(texts(pairs), pairs.count()), threshold)
+    scored = scored.join(q.select("query", F.explode("ids").alias("qid")), "query").join(e.select("entry", F.explode("ids").alias("id")), "entry")
+    return scored.select("qid", "id", "plain", "sim")
+
+
+def _alike(rows: DataFrame, key: str, texts: list[str], name: str, most: int | None = None) -> DataFrame:
+    """A row with a number of its own for rows that are alike in ``texts``; ids: the ``most`` smallest of their keys, or all."""
+    rows = rows.where(F.col(key).isNotNull()).select(key, *texts)
+    if most is not None:
+        rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*texts).orderBy(key))).where(F.col("place") <= most)
+    return rows.groupBy(*texts).agg(F.collect_list(key).alias("ids")).withColumn(name, F.monotonically_increasing_id())
+
+
+def _with_ratio(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (plain, needed, q_text, e_text) with sim, where that is the threshold or more; one below ``needed`` may be left out."""
+    ratio = sequence_ratio(F.col("q_text"), F.col("e_text"), (F.col("needed") - F.col("plain") - 1e-9) / 0.1)
+    return pairs.withColumn("sim", F.col("plain") + 0.1 * ratio).where(F.col("sim") >= threshold).drop("q_text", "e_text")
+
+
+def _worth_a_ratio(pairs: DataFrame, q: DataFrame, e: DataFrame, most: int) -> DataFrame:
+    """Pairs (query, entry, plain, needed) but those that can't be among a query's best, whatever their order; of an entry
+    n count. First the score without a ratio of the best tells what is needed, then the scores of those that may be best."""
+    pairs = cut_lineage(_needed(pairs.join(e.select("entry", "n"), "entry"), "plain", most, 0.1))
+    counted = [of.select(of.columns[0], F.pandas_udf(_letters, "binary")(of.columns[1]).alias(side)) for of, side in ((q, "left"), (e, "right"))]
+    bound = F.col("plain") + 0.1 * F.pandas_udf(_most_ratio, "double")("left", "right")
+    pairs = pairs.join(cut_lineage(counted[0]), "query").join(cut_lineage(counted[1]), "entry").withColumn("bound", bound).drop("left", "right")
+    pairs = cut_lineage(pairs.where(F.col("bound") >= F.col("needed") - 1e-9))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "entry"))
+    first = cut_lineage(pairs.withColumn("place", place).where(F.col("place") <= 2 * most).drop("place"))
+    first = spread(first.join(q, "query").join(e.select("entry", "e_text"), "entry"), first.count())
+    best = cut_lineage(_with_ratio(first, 0.0).select("query", "entry", "n", "sim"))
+    needed = _last(best, "sim", most)
+    pairs = pairs.join(needed, "query", "left").withColumn("needed", F.greatest("needed", "last"))
+    return cut_lineage(pairs.where(F.col("bound") >= F.col("needed") - 1e-9).select("query", "entry", "plain", "needed"))
+
+
+def _last(pairs: DataFrame, score: str, most: int) -> DataFrame:
+    """query, last: the score of the last of a query's best ``most``; none for a query that has fewer."""
+    by = Window.partitionBy("query").orderBy(F.desc(score), "entry")
+    best = pairs.select("query", "entry", "n", score, F.row_number().over(by).alias("place")).where(F.col("place") <= most)
+    best = best.withColumn("so_many", F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return best.where(F.col("so_many") >= most).groupBy("query").agg(F.max(score).alias("last"))
+
+
+def _needed(pairs: DataFrame, score: str, most: int, slack: float) -> DataFrame:
+    """Pairs but those that lie more than ``slack`` below the last of a query's best; that score is needed of the others."""
     # sums of doubles: a margin far above their error
-    return pairs.join(last, "qid", "left").where(F.col("last").isNull() | (F.col("plain") >= F.col("last") - slack - 1e-9))
+    pairs = pairs.join(_last(pairs, score, most), "query", "left").withColumn("needed", F.greatest("needed", "last")).drop("last")
+    return pairs.where(F.col(score) >= F.col("needed") - slack - 1e-9)
+
+
+def _letters(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda text: ratios.letter_counts(text or "", BINS))
+
+
+def _most_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    """The most that the ratio of two texts can be by their numbers of letters."""
+    counts = [np.frombuffer(b"".join(side), "<u4").reshape(-1, BINS).astype(np.int64) for side in (left, right)]
+    total = counts[0].sum(axis=1) + counts[1].sum(axis=1)
+    return pd.Series(np.where(total > 0, 2.0 * np.minimum(*counts).sum(axis=1) / np.maximum(total, 1), 1.0))
 
 
 def sequence_ratio(a: Column, b: Column, least: Column) -> Column:

@@ -120,3 +120,22 @@ def test_pairs_of_longer_texts_that_cannot_reach_the_ratio_never_become_rows():
     frame = pd.DataFrame(rows, columns=["band", "left", "right", "is_left", "is_right", "id", "root", "marks", "codes"])
     found = pd.concat(links._meet(0.4, dedupe._CountsReach(0.7))(iter([frame])))
     assert sorted(map(tuple, found.to_numpy().tolist())) == [(0, 1)]
+
+
+def test_lexical_search_asks_once_for_texts_that_are_alike(spark, monkeypatch):
+    """Copies of a few texts: the best of each query are those of all pairs, and few pairs are compared."""
+    from corvina.operators import retrieval
+
+    rng, compared = random.Random(13), []
+    words = ["alpha", "bravo", "carbon", "delta", "engine", "forest", "garden", "harbour"]
+    texts = [" ".join(rng.sample(words, k=rng.randint(2, 5))) for _ in range(12)]
+    rows = [(i, rng.choice(texts)) for i in range(400)]
+    entries = spark.createDataFrame([(*r, r[1]) for r in rows], "id long, question string, keywords string")
+    queries = spark.createDataFrame(rows[::10], "qid long, text string")
+    plain_spread = retrieval.spread
+    monkeypatch.setattr(retrieval, "spread", lambda df, n: compared.append(n) or plain_spread(df, n))
+    every = retrieval.lexical_scores(entries, queries)
+    some = retrieval.lexical_scores(entries, queries, most=5)
+    best = [sorted(map(tuple, retrieval.top_k(x, 5, ["qid"]).select("qid", "id", "rn", "sim").collect())) for x in (every, some)]
+    assert best[0] == best[1] and len(best[0]) == 40 * 5
+    assert sum(compared) <= 2 * 12 * 12
