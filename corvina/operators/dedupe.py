@@ -157,7 +157,7 @@ def similar(entries: DataFrame, threshold: float = 0.70) -> DataFrame:
     describes. A pair that shares no band is missed (the README says how many).
     """
     form = lambda c: T.squeeze(F.lower(F.coalesce(F.col(c), F.lit(""))))
-    rows = entries.where("id is not null").select("id", form("question").alias("question"), form("answer").alias("answer"))
+    rows = cut_lineage(entries.where("id is not null").select("id", form("question").alias("question"), form("answer").alias("answer")))
     links = cut_lineage(_part_links(rows, "question", threshold).unionByName(_part_links(rows, "answer", threshold)))
     roots = components(links.select("a", "b")).select("id", F.col("root").alias("class_id"))
     ends = links.select(F.col("a").alias("id"), F.col("b").alias("other_id"), "ratio", "component").unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other_id"), "ratio", "component"))
